@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side with at most this many narrow rows is broadcast (checked by counting); a larger one is shuffled.
 BROADCAST_ROWS = 500_000
@@ -15,17 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's checkpoint folder and go on from the files, so that lost executors cost no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a laptop) a local one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests, a laptop) a local folder is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return str(context.getCheckpointDir())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the cluster's checkpoint folder and go on from the files, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the cluster's checkpoint folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """`schema` with the fields of a DDL string after its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark `df` for broadcasting if it has at most `limit` rows (counted here unless `rows` is known), else leave the join to a shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import chat, decontaminate, langid, licenses, mixing, pii, simhash, winnow
+from .common import cut, table
 from .sharding import hypergeometric_shards
 from .token_counts import narrow_token_counts
 
@@ -30,9 +31,75 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.format_chats(turns.unionByName(more)))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    out = mixing.mix(sized, F.array("source"), F.col("size"))
+    return out.select("doc_id", "size", F.col("source_size")[0].alias("source_size"), F.col("target")[0].alias("target"), "taken")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_counts": op1_token_counts,
-    "op2_sharding": op2_sharding,
+    f.__name__: f
+    for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_chat_formatting, op5_personal_data, op6_simhash, op7_mixing, op8_language_id, op9_license_scan, op10_decontamination)
 }
 
-ORACLES: dict[str, str] = {}
+#: Containment of an item's word 5-grams, for items of five words and more, by brute force.
+OP10 = r"""
+WITH cleaned AS (
+  SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
+  WHERE item_id IS NOT NULL AND regexp_matches(text, '[\p{L}\p{N}]')),
+items AS (
+  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS s
+  FROM (SELECT *, least(len(w), 5) AS n FROM cleaned)),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
+words AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
+  WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+held AS (
+  SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS s
+  FROM words, (SELECT DISTINCT n FROM items)),
+pairs AS (SELECT doc_id, item_id, count(*) AS n_found FROM held JOIN items USING (n, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n_shingles AS BIGINT) AS n_shingles, CAST(n_found AS BIGINT) AS n_found, round(n_found / n_shingles, 6) AS containment
+FROM pairs JOIN sizes USING (item_id) WHERE n_found / n_shingles >= 0.8
+"""
+
+ORACLES: dict[str, str] = {"op10_decontamination": OP10}

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
+
 # Character classes. The letters that can follow an apostrophe in a contraction have classes of their own.
 END, LETTER, NUMBER, SPACE, WHITE, QUOTE, OTHER, L_STMD, L_RV, L_L, L_E = range(11)
 CLASSES = 11
@@ -301,8 +303,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", into: str = "n_to
     other columns, whatever their names; repeated rows and empty tables need no special care. No shuffle. Memory: a
     batch of texts is processed in pieces of about `batch_chars` characters (one longer text at a time).
     """
-    schema = df.schema.add(into, "long") if into not in df.columns else df.drop(into).schema.add(into, "long")
-    kept = [c for c in df.columns if c != into]
+    df = df.drop(into)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = compiled(path)
@@ -318,7 +319,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", into: str = "n_to
             columns = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.int64())], [*batch.schema.names, into])
 
-    return df.select(*kept).mapInArrow(count, schema)
+    return df.mapInArrow(count, extended(df.schema, f"{into} long"))
 
 
 def narrow_token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
