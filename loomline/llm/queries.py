@@ -88,14 +88,14 @@ WITH cleaned AS (
   SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
   WHERE item_id IS NOT NULL AND regexp_matches(text, '[\p{L}\p{N}]')),
 items AS (
-  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS s
+  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
   FROM (SELECT *, least(len(w), 5) AS n FROM cleaned)),
 sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
 words AS (
   SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
   WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 held AS (
-  SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS s
+  SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
   FROM words, (SELECT DISTINCT n FROM items)),
 pairs AS (SELECT doc_id, item_id, count(*) AS n_found FROM held JOIN items USING (n, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, CAST(n_shingles AS BIGINT) AS n_shingles, CAST(n_found AS BIGINT) AS n_found, round(n_found / n_shingles, 6) AS containment

@@ -2,7 +2,7 @@
 
 Every k-gram of code points is hashed with a rolling polynomial hash; of each window of w consecutive hashes the
 smallest is kept, the rightmost one on ties, together with its position. Any passage of w + k - 1 code points that two
-texts share gives them a common fingerprint; a passage shorter than k gives none.
+texts of at least 4 k code points share gives them a common fingerprint; a passage shorter than k gives none.
 """
 
 from __future__ import annotations
@@ -19,18 +19,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import extended
 
-K, W = 20, 81  # finds every shared passage of 100 code points
+K, W = 10, 51  # finds every shared passage of 60 code points
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def gram(points: int, k: int) -> int:
+    """Length of the grams of a text: k, less in a text of under 4 k code points."""
+    return min(k, max(1, points // 4))
+
+
+def window(hashes: int, w: int) -> int:
+    """Hashes in a window: w, less in a short text, so that it keeps several. What a wider window keeps, a narrower one keeps too."""
+    return min(w, max(1, hashes // 8))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def rolling_hashes(points: np.ndarray, k: int) -> np.ndarray:
-    """32-bit hashes of all k-grams: a polynomial modulo 2^64 built by doubling, then mixed. Fewer than k points: one hash of all."""
-    k = min(k, len(points))
-    if k == 0:
+    """32-bit hashes of all k-grams: a polynomial modulo 2^64 built by doubling, then mixed. Fewer than k points: none."""
+    if len(points) < k:
         return np.zeros(0, np.uint32)
     with np.errstate(over="ignore"):
         power, width, grown = BASE, 1, points.astype(np.uint64) + np.uint64(1)
@@ -54,12 +63,13 @@ def rolling_hashes(points: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes kept and their positions, in order of position. An empty text has none; a short one has one window."""
-    hashes = rolling_hashes(code_points(text), k)
+    """Hashes kept and their positions, in order of position. An empty text has none."""
+    points = code_points(text)
+    hashes = rolling_hashes(points, gram(len(points), k))
     n = len(hashes)
     if n == 0:
         return hashes, np.zeros(0, np.int64)
-    w = min(w, n)
+    w = window(n, w)
     # the smallest hash first, then the rightmost position
     least = (hashes.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
     have = 1
@@ -83,8 +93,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def winnowing(df: DataFrame, text: str = "text", k: int = K, w: int = W) -> DataFrame:
     """Add `hashes` (array<long>, 32-bit values) and `positions` (array<int>, code points) to `df`; no shuffle.
 
-    A null text counts as empty and has no fingerprints. A text of fewer than k code points has one, of the whole
-    text at position 0. Repeated rows give equal results; an empty table gives no rows; other columns are kept, and
+    A null text counts as empty and has no fingerprints. Short texts have shorter grams and windows. Repeated rows give equal results; an empty table gives no rows; other columns are kept, and
     columns called hashes or positions are replaced.
     """
     df = df.drop("hashes", "positions")
