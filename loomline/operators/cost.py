@@ -94,7 +94,7 @@ def _rated(people: DataFrame, actors: DataFrame, rates: DataFrame, how: str = "i
 
 def cost_row(prefix: str, key: str, basis: str, **columns: Column) -> list[Column]:
     """The columns of a cost event, null where not given."""
-    kinds = {"actor_hash": "string", "hours": "double", "rate_band": MONEY, "cost": MONEY}
+    kinds = {"actor_hash": "string", "hours": "double", "rate_band": "decimal(18,6)", "cost": MONEY}
     rest = [columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
     return [F.concat(F.lit(prefix), F.col(key)).alias("cost_event_id"), F.col("work_item_id"), *rest, F.lit(basis).alias("basis")]
 
@@ -121,7 +121,7 @@ def price_ci(runs: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def blended_rate(actors: DataFrame, rates: DataFrame) -> DataFrame:
     """The mean hourly rate over all actors with one, as one row; 0 if there are none."""
     known = actors.join(F.broadcast(rates), "role_band").where("hourly is not null")
-    return known.agg(F.coalesce(F.round(F.sum("hourly") / F.nullif(F.count("*"), F.lit(0)), 2), F.lit(0)).cast(MONEY).alias("blended"))
+    return known.agg(F.coalesce(F.sum("hourly") / F.nullif(F.count("*"), F.lit(0)), F.lit(0)).cast("decimal(18,6)").alias("blended"))
 
 
 def price_meetings(meetings: DataFrame, actors: DataFrame, rates: DataFrame) -> DataFrame:

@@ -130,12 +130,15 @@ CUTOFF = "2024-01-03 00:00:00"
 
 
 def shaped(df: DataFrame, columns: str) -> DataFrame:
-    """Columns by name and kind, in the types and with the digits that results are compared in."""
+    """Columns by name and kind, in the types and with the digits that results are compared in.
+
+    Values that lie on a tie but for the noise of summation are lifted over it before they are rounded.
+    """
     out = []
     for item in columns.split():
         name, kind = item.split(":")
         c = F.col(name).cast(KINDS[kind])
-        out.append({"h": F.round(c, 4), "m": F.round(c, 2)}.get(kind, c).alias(name))
+        out.append({"h": F.round(c + 1e-7, 4), "m": F.round(c + 1e-6, 2)}.get(kind, c).alias(name))
     return df.select(*out)
 
 
@@ -146,7 +149,7 @@ def shaped_sql(sql: str, columns: str) -> str:
     for item in columns.split():
         name, kind = item.split(":")
         c = f"CAST({name} AS {types[kind]})"
-        out.append({"h": f"ROUND({c}, 4)", "m": f"ROUND({c}, 2)"}.get(kind, c) + f" AS {name}")
+        out.append({"h": f"ROUND({c} + 1e-7, 4)", "m": f"ROUND({c} + 1e-6, 2)"}.get(kind, c) + f" AS {name}")
     return f"SELECT {', '.join(out)} FROM ({sql}) AS answer"
 
 
@@ -223,9 +226,9 @@ work_session AS (
   SELECT substr(sha256(actor_hash || '|' || strftime(started_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(started_at) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(epoch_us(started_at) % 1000000 AS VARCHAR), 6, '0') END || '+00:00|' || work_item_id), 1, 24) AS session_id,
     actor_hash, work_item_id, started_at, ended_at, ROUND(hours * n / n_events, 4) AS hours, n AS n_events
   FROM (SELECT gap_minutes, actor_hash, nr, work_item_id, COUNT(*) AS n FROM numbered WHERE gap_minutes = 480 GROUP BY ALL) JOIN swept USING (gap_minutes, actor_hash, nr)),
-blended AS (SELECT CAST(ROUND(COALESCE(SUM(CAST(hourly AS DOUBLE)) / NULLIF(COUNT(*), 0), 0), 2) AS DECIMAL(18,2)) AS rate FROM actor JOIN rate_card USING (role_band)),
+blended AS (SELECT CAST(COALESCE(SUM(CAST(hourly AS DOUBLE)) / NULLIF(COUNT(*), 0), 0) AS DECIMAL(18,6)) AS rate FROM actor JOIN rate_card USING (role_band)),
 cost_event AS (
-  SELECT 'sess:' || session_id AS cost_event_id, work_item_id, actor_hash, hours, hourly AS rate_band, CAST(ROUND(CAST(hours AS DECIMAL(18,4)) * hourly, 2) AS DECIMAL(18,2)) AS cost, 'session_inferred' AS basis
+  SELECT 'sess:' || session_id AS cost_event_id, work_item_id, actor_hash, hours, CAST(hourly AS DECIMAL(18,6)) AS rate_band, CAST(ROUND(CAST(hours AS DECIMAL(18,4)) * hourly, 2) AS DECIMAL(18,2)) AS cost, 'session_inferred' AS basis
   FROM work_session JOIN actor USING (actor_hash) JOIN rate_card USING (role_band)
   UNION ALL SELECT 'ci:' || run_id, work_item_id, NULL, NULL, NULL, CAST(ROUND(CAST(runner_minutes AS DECIMAL(12,3)) * 0.57126::DECIMAL(10,6), 2) AS DECIMAL(18,2)), 'ci_runner' FROM ci_run WHERE work_item_id IS NOT NULL AND runner_minutes > 0
   UNION ALL SELECT 'meet:' || meeting_id, work_item_id, NULL, attendee_count * duration_min / 60.0, rate, CAST(ROUND(CAST(attendee_count * duration_min / 60.0 AS DECIMAL(18,4)) * rate, 2) AS DECIMAL(18,2)), 'meeting' FROM calendar_event, blended

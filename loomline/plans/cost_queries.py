@@ -104,7 +104,7 @@ def _(t: Tables) -> DataFrame:
     return rated.groupBy("role_band").agg(F.max("hourly").alias("hourly"), F.countDistinct("actor_hash").alias("n_actors"), F.count("*").alias("n_events"))
 
 
-COST = "cost_event_id:s work_item_id:s actor_hash:s hours:h rate_band:m cost:m basis:s"
+COST = "cost_event_id:s work_item_id:s actor_hash:s hours:h rate_band:h cost:m basis:s"
 
 
 @query("c13_priced_sessions", COST, "SELECT * FROM cost_event WHERE basis = 'session_inferred'")
