@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ATTRS = ("ingest_source", "authored_by", "run_id", "conclusion", "attempt", "pr_number", "actor_absent")
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,6 +45,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ci, F.when(_mod(4) == 1, 2).otherwise(1)).alias("attempt"),
         F.when(~ticket & ~ci & (act != "commit"), F.col("k").cast("string")).alias("pr_number"),
         F.when(ci, "machine").alias("actor_absent"),
+        F.when(act == "commit", F.md5(F.col("id").cast("string"))).alias("sha"),
     )
     return e.select(
         F.col("id").cast("string").alias("event_id"),
