@@ -148,8 +148,8 @@ def shaped_sql(sql: str, columns: str) -> str:
     out = []
     for item in columns.split():
         name, kind = item.split(":")
-        c = f"CAST({name} AS {types[kind]})"
-        out.append({"h": f"ROUND({c} + 1e-7, 4)", "m": f"ROUND({c} + 1e-6, 2)"}.get(kind, c) + f" AS {name}")
+        c = f'CAST("{name}" AS {types[kind]})'
+        out.append({"h": f"ROUND({c} + 1e-7, 4)", "m": f"ROUND({c} + 1e-6, 2)"}.get(kind, c) + f' AS "{name}"')
     return f"SELECT {', '.join(out)} FROM ({sql}) AS answer"
 
 
