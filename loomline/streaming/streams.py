@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,6 +13,16 @@ from ..params import DEFAULT, Params
 from ..sources.landing import upsert_raw, write_raw
 
 
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there now into files of the shared checkpoint folder, and read them."""
+    spark = stream.sparkSession
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    path = f"{shared}/{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def deduplicated(stream: DataFrame, key: str = "event_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Each key once within the delay; state older than the watermark is dropped."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
