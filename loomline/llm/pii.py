@@ -85,9 +85,8 @@ def _after(text: str, at: int) -> str:
 
 
 def shape(token: str) -> str:
-    """What kind of characters a token has: an @, letters and digits, or digits only, and roughly how many."""
-    kind = "@" if "@" in token else "a9" if any(c.isalpha() for c in token) else "9"
-    return f"{kind}{min(4, len(token) // 5)}"
+    """What kind of characters a token has: an @, letters and digits, or digits only. How rare the word beside it is otherwise decides."""
+    return "@" if "@" in token else "a9" if any(c.isalpha() for c in token) else "9"
 
 
 def occurrences(text: str, found: list[tuple[str, int, int]]) -> list[tuple[int, int, str | None, str, str, str, str]]:

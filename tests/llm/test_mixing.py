@@ -1,11 +1,12 @@
 import random
 
+import pytest
 from loomline.llm.mixing import capped_targets, min_cost_flow, mix, mix_by_source, word_count
 from pyspark.sql import functions as F
 
 
 def test_targets():
-    assert capped_targets([100, 10, 50], [5, 2, 1], 240.0, 2) == [240 - 20 - (220 / 6), 20.0, 220 / 6]
+    assert capped_targets([100, 10, 50], [5, 2, 1], 240.0, 2) == pytest.approx([240 - 20 - (220 / 6), 20.0, 220 / 6])
     assert capped_targets([0, 4], [5, 2], 6.0, 2) == [0.0, 6.0] and capped_targets([], [], 0.0, 2) == []
 
 
