@@ -102,4 +102,16 @@ SELECT doc_id, item_id, CAST(n_shingles AS BIGINT) AS n_shingles, CAST(n_found A
 FROM pairs JOIN sizes USING (item_id) WHERE n_found / n_shingles >= 0.8
 """
 
-ORACLES: dict[str, str] = {"op10_decontamination": OP10}
+#: Turns, and the characters that escaping adds to them: one for each backslash and control string.
+OP4 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM(17 + length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '\\|\[/?INST\]|</s>'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op10_decontamination": OP10}
