@@ -122,7 +122,8 @@ def with_successor(df: DataFrame, key: str, text: str, use: Callable[[Any, str,
     keys = df.select(F.col("_key").cast("long").alias("_key")).where(F.col("_key").isNotNull())
     ranges = max(1, min(most_ranges, -(-keys.count() // rows_per_range)))
     cuts = sorted({int(x) for x in keys.approxQuantile("_key", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
-    groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)] or [[0]]
+    cuts = cuts or [0]
+    groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
     coarse, fine = F.lit(np.array([g[0] for g in groups], np.int64)), F.array(*[F.lit(np.array(g, np.int64)) for g in groups])
     group = F.size(F.filter(coarse, lambda x: x <= F.col("_key"))) - 1
     # range 0 holds the null keys, range 1 those below the first border

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from loomline.llm.winnow import code_points, edit_report, edited, gram, likeness, rolling_hashes, window, winnow, winnowing
+from loomline.llm.winnow import code_points, edit_report, edited, gram, likeness, rolling_hashes, window, winnow, winnowing, with_successor
 
 
 def brute(text, k, w):
@@ -52,7 +52,10 @@ def test_report_against_brute_force(docs):
 
 def test_awkward_rows(awkward, empty, spark):
     rows = edit_report(awkward("n_chars")).collect()
-    assert len(rows) == 9 and rows[-1].doc_id is None or None in {r.doc_id for r in rows}
+    texts = {r.doc_id: r.text or "" for r in awkward().collect()}
+    order = [7, 6, 5, 4, 3, 2, 1, 1, None]
+    want = sorted((str(a), hashlib.sha256(edited(texts[a], texts[b]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1]))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in rows) == want
     assert len({r.fingerprint for r in rows if r.doc_id == 1}) == 1
     assert {r.fingerprint for r in rows if r.doc_id in (2, 3)} == {""}
     assert edit_report(empty).count() == 0 and winnowing(empty).count() == 0
@@ -60,3 +63,17 @@ def test_awkward_rows(awkward, empty, spark):
     assert len(alone) == 1 and alone[0].near_next == 1.0
     got = winnowing(awkward("hashes")).where("doc_id = 6").first()
     assert len(got.hashes) == len(got.positions) > 100
+
+
+def test_few_rows_a_range_and_negative_keys(spark):
+    rows = [(k, f"text number {k} " * 9) for k in [*range(-40, 40, 3), None]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted((r for r in rows if r[0] is not None), reverse=True) + [rows[-1]]
+    want = {a[0]: hashlib.sha256(edited(a[1], b[1]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1])}
+
+    def report(own, text, other, following):
+        return (hashlib.sha256(edited(text, following).encode()).hexdigest(),)
+
+    for size in (1, 4, 1000):
+        got = with_successor(df, "doc_id", "text", report, len, "sha string", rows_per_range=size)
+        assert {r.doc_id: r.sha for r in got.collect()} == want
