@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -52,15 +52,6 @@ def sum_if(condition: Column, value: str | Column) -> Column:
     return F.sum(F.when(condition, col(value)))
 
 
-def ranked_value(df: DataFrame, keys: list[str], value: str, p: float, into: str, rule: str) -> DataFrame:
-    """One row per key with the order statistic at p: `nearest` rounds its index half to even, `floor` cuts it."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    at = F.lit(p) * (F.col("_n") - 1)
-    index = F.rint(at) if rule == "nearest" else F.floor(at)
-    picked = df.where(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(value)) - 1})
-    return picked.where(F.col("_i") == index).select(*keys, F.col(value).alias(into))
-
-
 def suppressed(n: str | Column, k: int) -> Column:
     return F.coalesce(col(n), F.lit(0)) < k
 

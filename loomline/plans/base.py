@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cost, effort, process, waste
-from ..params import DEFAULT
 from ..sources import sample_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -191,6 +191,12 @@ def test_guard(spark):
             quality.guard(candidates, referenced)
 
 
+def test_vocabulary_splits_rows(spark):
+    df = spark.createDataFrame([("commit",), ("guess",), (None,)], "activity string")
+    good, bad = quality.split_valid(df, "activity", ("commit", "merged"))
+    assert [r.activity for r in good.collect()] == ["commit"] and {r.activity for r in bad.collect()} == {"guess", None}
+
+
 def test_umbrella_without_a_scale(spark):
     rows = [("a", "pr", START, START), ("b", "pr", START, at(600)), ("c", "pr", START, START), ("d", "pr", START, None)]
     items = spark.createDataFrame(rows, "work_item_id string, case_source string, opened_at timestamp_ntz, closed_at timestamp_ntz")
