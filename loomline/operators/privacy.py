@@ -13,7 +13,9 @@ from ..params import DEFAULT, Params
 BOT_LOGINS = ("dependabot", "dependabot-preview", "renovate", "renovate-bot", "github-actions", "asfgit", "asf-ci", "codecov")
 BOT_PATTERN = r"^apache-.*-bot$|^.*\[bot\]$"
 IDENTITY_TOKENS = ("login", "email", "name", "salary")
-EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+# What \w and \b mean differs between engines beyond ASCII, so classes and borders are written out.
+BORDER = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+EMAIL = BORDER + r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+" + BORDER
 MENTION = r"(?<![\w./-])@([A-Za-z0-9](?:[A-Za-z0-9-]{0,38}))"
 USER_FIELDS = ("assignee", "reporter", "creator", "watcher", "request participants")
 MODELLED_FIELDS = ("status", "resolution", "priority", "issuetype", "component", "fix version", "version", "labels", "sprint")

@@ -216,6 +216,13 @@ def _(t: Tables) -> DataFrame:
     return t.raw("supplier").select("s_suppkey", privacy.is_bot(F.expr(LOGIN), kind).alias("bot"))
 
 
+def redacted(documents: DataFrame) -> DataFrame:
+    docs = documents.select("doc_id", F.concat(F.lit("by smith and SMITH, not smithy; mail "), "text").alias("text"), F.array(F.lit("smith"), F.lit("smi")).alias("logins"))
+    hidden = privacy.redact(docs, "text", "logins", SALT)
+    short = F.substring(privacy.pseudonym(F.lit("smith"), SALT), 1, 8)
+    return hidden.select("doc_id", F.md5(F.replace("text", short, F.lit("SHORT"))).alias("text_md5"))
+
+
 @query(
     "v3_redacted_texts",
     "doc_id:i text_md5:s",
@@ -223,10 +230,17 @@ def _(t: Tables) -> DataFrame:
     prelude=False,
 )
 def _(t: Tables) -> DataFrame:
-    docs = t.raw("documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("by smith and SMITH, not smithy; mail "), "text").alias("text"), F.array(F.lit("smith"), F.lit("smi")).alias("logins"))
-    hidden = privacy.redact(docs, "text", "logins", SALT)
-    short = F.substring(privacy.pseudonym(F.lit("smith"), SALT), 1, 8)
-    return hidden.select("doc_id", F.md5(F.replace("text", short, F.lit("SHORT"))).alias("text_md5"))
+    return redacted(t.raw("documents").where("lang = 'en'"))
+
+
+@query(
+    "v3_redacted_documents",
+    "doc_id:i text_md5:s",
+    r"SELECT doc_id, md5(regexp_replace('by smith and SMITH, not smithy; mail ', 'smith\b', 'SHORT', 'gi') || regexp_replace(text, '\b[\w.+-]+@[\w-]+\.[\w.-]+\b', '<email-redacted>', 'g')) AS text_md5 FROM documents",
+    prelude=False,
+)
+def _(t: Tables) -> DataFrame:
+    return redacted(t.raw("documents"))
 
 
 def people(t: Tables) -> DataFrame:

@@ -275,3 +275,16 @@ def test_plans_stay_native(spark, sf_dir):
     scan = process.variant_class(log)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in scan and "value" not in scan.split("ReadSchema")[1].split("\n")[0]
     assert process.event_sequence(log)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_redaction_beside_letters_beyond_ascii(spark):
+    rows = [("éana@x.org", []), ("ana@x.orgé", []), ("mél@x.org", []), ("écrire à jo@x.org.", [])]
+    out = [r.t for r in privacy.redact(spark.createDataFrame(rows, "t string, l array<string>"), "t", "l", "s").collect()]
+    assert out == ["é<email-redacted>", "<email-redacted>é", "mé<email-redacted>", "écrire à <email-redacted>."]
+
+
+def test_redaction_of_all_documents(spark, sf_dir):
+    from loomline.plans import QUERIES
+
+    rows = QUERIES["v3_redacted_documents"](spark, sf_dir)
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
