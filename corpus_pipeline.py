@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, near-duplicates, decontamination, mixing, sharding."""
+"""A corpus pipeline: language ID, near-duplicates, decontamination, near copies, mixing, sharding."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import decontaminate, langid, mixing, sharding, simhash
+from loomline.llm import decontaminate, langid, mixing, nearcopies, sharding, simhash
 from loomline.llm.common import scratch, table
 
 SHARDS = 24
@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates at 2 bits, which bounds the groups of the stage of near copies."""
     return simhash.one_of_each(docs)
 
 
@@ -29,6 +29,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group at a Jaccard similarity of 0.8 or more on five-word shingles, most of which 2 bits miss."""
+    return nearcopies.one_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for every whole copy, and for a part of at least half a document."""
     mixed = mixing.mix_by_source(docs)
@@ -45,6 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language ID", language),
     ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
+    ("near copies on five-word shingles", near_copies),
     ("mixing sources to target weights", mix),
     ("sharding", shards),
 ]

@@ -1,0 +1,138 @@
+"""Near copies by MinHash on five-word shingles, verified by exact Jaccard similarity.
+
+Every text gets 64 least hashes of its shingles; 16 bands of 4 of them are cells in which texts meet. In a cell, texts
+are ordered by their signatures (one byte a hash, beginning at the band's own, so each band has another order) and each
+meets the NEAR before it: all pairs of a cell of up to NEAR + 1 texts, and a number of pairs that is linear in a larger
+one. Pairs whose signatures rule out the similarity are dropped; the others are verified on the texts, first those next to each
+other, then the rest between groups that these did not join, so that a large group of copies is not verified pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, small
+from .simhash import components
+
+WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS, NEAR = 16, 4, 16
+HASHES = BANDS * ROWS
+#: Four standard deviations of the estimate below 0.8: a pair at 0.8 is dropped by a chance of 1 in 8,000, more similar ones by less.
+RULED_OUT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / HASHES) ** 0.5
+_DRAWS = np.random.default_rng(42).integers(1, 2**63, (2, HASHES, 1), np.uint64)
+_XOR, _TIMES = _DRAWS[0], _DRAWS[1] | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of five words (words as in simhash.fingerprint); of all words if there are fewer; none: empty."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    digest, n = xxhash.xxh64_intdigest, min(WORDS, len(parts))
+    words = np.array([digest(p) for p in parts], np.uint64)
+    h = np.zeros(len(parts) - n + 1, np.uint64)
+    for i in range(n):
+        h = (h ^ words[i : len(parts) - n + 1 + i]) * _STEP
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def least(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each of the seeded orders."""
+    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        out = np.minimum(out, ((hashes[i : i + 4096] ^ _XOR) * _TIMES).min(axis=1))
+    return out
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """From (_row, _text): cell (long), sig (binary) and _row, one row a band; none for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, sig, row = [], [], []
+            for r, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not len(h := shingles(t.as_py())):
+                    continue
+                low = least(h)
+                short = (low & np.uint64(255)).astype(np.uint8).tobytes()
+                for k in range(BANDS):
+                    cell.append(xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k))
+                    sig.append(short[k * ROWS :] + short[: k * ROWS])
+                    row.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(cell, np.uint64).view(np.int64)), pa.array(sig, pa.binary()), pa.array(row, pa.int64())], ["cell", "sig", "_row"])
+
+    return rows.mapInArrow(run, "cell long, sig binary, _row long")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of rows that meet in a cell, and how far apart they stand at least (lag)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sig, row = np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint8), np.zeros(0, np.int64)
+        for batch in batches:
+            old = len(cell)
+            cell, row = np.append(cell, batch.column(0).to_numpy()), np.append(row, batch.column(2).to_numpy())
+            sig = np.vstack([sig, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, HASHES)])
+            found = []
+            for lag in range(1, NEAR + 1):
+                i = np.arange(max(old, lag), len(cell))
+                i = i[cell[i] == cell[i - lag]]
+                i = i[(sig[i] == sig[i - lag]).mean(axis=1) >= RULED_OUT]
+                found.append(np.stack([np.maximum(row[i], row[i - lag]), np.minimum(row[i], row[i - lag]), np.full(len(i), lag)]))
+            a, b, lags = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(lags)], ["a", "b", "lag"])
+            cell, sig, row = cell[-NEAR:], sig[-NEAR:], row[-NEAR:]
+
+    ordered = met.repartition("cell").sortWithinPartitions("cell", "sig", "_row")
+    return ordered.mapInArrow(run, "a long, b long, lag long").groupBy("a", "b").agg(F.min("lag").alias("lag"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have a Jaccard similarity of SIMILARITY or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [jaccard(shingles(x.as_py()), shingles(y.as_py())) >= SIMILARITY for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    left = rows.select(F.col("_row").alias("a"), F.col("_text").alias("x"))
+    right = rows.select(F.col("_row").alias("b"), F.col("_text").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """From (_row, _text): node and root for every row that has a near copy, directly or over others; root is the least row."""
+    pairs = cut(candidates(cells(rows)))
+    edges = cut(verified(pairs.where("lag = 1"), rows))
+    near = cut(components(edges))
+    a, b = near.select(F.col("node").alias("a"), F.col("root").alias("ra")), near.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    apart = pairs.where("lag > 1").join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) != coalesce(rb, b)")
+    more = cut(verified(cut(apart.select("a", "b")), rows))
+    return near if more.isEmpty() else components(edges.unionByName(more))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`df` without near copies: of each group one row stays, that of the least key (a null key is the greatest).
+
+    It is decided by row: repeated and null keys are rows like others. Texts without words have no copies and stay.
+    The rows to drop are broadcast if there are few enough of them, else joined by a shuffle.
+    """
+    numbered = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    found = cut(groups(numbered.select("_row", F.col(text).alias("_text"))))
+    named = found.join(numbered.select(F.col("_row").alias("node"), F.col(key).alias("_key")), "node")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "node")).alias("first"))
+    out = cut(named.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("_row")))
+    return numbered.join(small(out), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

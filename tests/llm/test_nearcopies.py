@@ -1,0 +1,48 @@
+import random
+
+import corpus_pipeline
+from loomline.llm.nearcopies import NEAR, one_of_each
+
+
+def sets(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar(a, b):
+    return len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+
+
+def copies(n, of=1, words=300, seed=8):
+    """Texts with near copies of them, by replaced words, and the similarity to the first."""
+    rng, out = random.Random(seed), []
+    for g in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        out.append((g, " ".join(base), 1.0))
+        for _ in range(of):
+            copy = list(base)
+            for i in rng.sample(range(words), rng.randint(1, 14)):
+                copy[i] = f"v{rng.randrange(5000)}"
+            out.append((g, " ".join(copy), similar(" ".join(base), " ".join(copy))))
+    return out
+
+
+def test_the_pipeline_drops_copies_of_similarity_0_8(spark, sf_dir):
+    rows = copies(80)
+    docs = spark.createDataFrame([(i, t, g) for i, (g, t, _) in enumerate(rows)], "doc_id long, text string, g int")
+    for name, stage in corpus_pipeline.STAGES:
+        if name.startswith(("SimHash", "near copies")):
+            docs = stage(spark, docs, sf_dir)
+    kept = {r.doc_id for r in docs.collect()}
+    wrong = [round(s, 3) for i, (_, _, s) in enumerate(rows) if s < 1 and (i in kept) != (s < 0.8)]
+    assert sum(0.8 <= s < 1 for *_, s in rows) > 30 and sum(s < 0.8 for *_, s in rows) > 10
+    # SimHash may also have dropped a less similar one
+    assert all(s < 0.8 for s in wrong) and len(wrong) <= 3
+
+
+def test_large_groups_and_rows_alike_in_key(spark):
+    near = [(t, s) for _, t, s in copies(1, of=12 * NEAR) if s > 0.9]
+    rows = [(None if i % 3 == 0 else 7, t) for i, (t, _) in enumerate(near)] + [(9, ""), (9, None), (7, "quite another text that stays here"), (None, "one more text without a name here")]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(near) > 2 * NEAR and len(got) == 5 and sorted(r.doc_id or 0 for r in got) == [0, 7, 7, 9, 9]
+    assert one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
