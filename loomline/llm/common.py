@@ -1,16 +1,17 @@
-"""What the operators of this package share: reading tables, cutting lineage, size checks."""
+"""What the operators of this package share: reading tables, cutting lineage, size checks, names set aside."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
-#: A side with at most this many narrow rows is broadcast (checked by counting); a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+#: A side with at most this many rows and bytes is broadcast (both are measured); a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests, a laptop) a local folder is made."""
+    """The session's spark.checkpoint.dir; where that is unset, a local session (tests, a laptop) gets a temporary folder and a cluster an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
     return str(context.getCheckpointDir())
 
 
@@ -31,11 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet to the cluster's checkpoint folder and read it again."""
+def scratch(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write `df` as Parquet to the cluster's checkpoint folder; the rows read again, and where they are."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what `scratch` has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
@@ -43,10 +55,23 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcasting if it has at most `limit` rows (counted here unless `rows` is known), else leave the join to a shuffle."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
-
-
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark `df` for broadcasting if it is measured to have at most `rows` rows and `size` bytes, else leave the join to a shuffle."""
+    wide = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    held = [F.coalesce(F.sum(w), F.lit(0)) for w in wide]
+    found = df.agg(F.count("*"), *[h.alias(f"b{i}") for i, h in enumerate(held)]).first()
+    return F.broadcast(df) if found[0] <= rows and 16 * len(df.columns) * found[0] + sum(found[1:]) <= size else df
+
+
+def aside(df: DataFrame, reserved: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """`df` with the columns whose names are reserved (in any case) under names of their own, and what gives all its columns back."""
+    taken = {c.lower() for c in (*df.columns, *reserved)}
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in {r.lower() for r in reserved}:
+            i = 0
+            while (fresh := f"_kept{i}_{c}").lower() in taken:
+                i += 1
+            taken.add(fresh.lower())
+            names[c] = fresh
+    return df.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in df.columns]

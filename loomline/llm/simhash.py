@@ -1,18 +1,20 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint's 64 bits are cut into two segments. Around every distinct fingerprint the Hamming ball of radius 1 is
-enumerated within each segment while the other one is kept, and all fingerprints are entered in a table under each of
-these 65 values. Two fingerprints that differ in at most 2 bits always meet there: at the value halfway between them.
-Fingerprints that meet differ in at most 2 bits, which is verified on the whole fingerprint all the same.
-
-So a cell of the table holds at most 65 fingerprints, however large a group of copies is, and the links to a cell's
-least fingerprint connect what the links between all its pairs would. (The textbook form, which enumerates one side's
-balls only and looks up single segments, gets all pairs of a large group that shares a segment.)
+A fingerprint's 64 bits are cut into m segments. If two fingerprints differ in at most r bits, then in at most
+floor(r / m) bits in one of their segments (pigeonhole). So every distinct fingerprint is entered in m tables, each keyed
+by one segment, the Hamming ball of that radius is enumerated within each segment of each fingerprint, the table matches
+are fetched, and their complete distances are verified.
+
+A table's cell can hold any number of fingerprints that are alike in one segment only. Cells with more than `most` are
+not paired: their entries go on to tables keyed by the segment and one of the rest, again by pigeonhole over what is
+left of the r bits, and so on until the whole fingerprint is the key, where a cell holds one. So no pair is lost and no
+cell gives all its pairs, however many fingerprints share a segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, extended, small
+from .common import aside, cut, extended, small
 
-BITS, SEGMENT = 64, 32
-SEED = 42
+BITS, SEED = 64, 42
 
 
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
@@ -46,89 +47,167 @@ def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", into: str = "fingerprint", words: int = 3, seed: int = SEED) -> DataFrame:
     """Replace the column `text` by `into` (long, the 64 bits as a signed number). A null text counts as empty: 0. No shuffle."""
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (text, into)], F.col(text).alias("_text"))
-    kept = [c for c in df.columns if c != "_text"]
+    kept = [c for c in df.columns if c not in (text, into)]
+    df = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py() or "", words, seed) for t in batch.column(len(kept))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(found)], [*kept, into])
 
-    return df.mapInArrow(run, extended(df.drop("_text").schema, f"{into} long"))
+    return df.mapInArrow(run, extended(df.select(*[F.col(f"`{c}`") for c in kept]).schema, f"{into} long"))
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def balls(fingerprint: Column) -> Column:
-    """The fingerprint itself and, segment by segment, with one bit changed."""
-    flips = [[1 << b for b in range(s, s + SEGMENT)] for s in range(0, BITS, SEGMENT)]
-    masks = [0, *(m for segment in flips for m in segment)]
-    return F.array(*[fingerprint.bitwiseXOR(F.lit(np.uint64(m).astype(np.int64).item())) for m in masks])
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b), a > b, between distinct fingerprints that connect all pairs at most 2 bits apart."""
-    if radius != 2:
-        raise ValueError("the tables are built for 2 bits")
-    cells = distinct.select("fingerprint", F.explode(balls(F.col("fingerprint"))).alias("cell"))
-    met = cells.withColumn("least", F.min("fingerprint").over(Window.partitionBy("cell"))).where("least < fingerprint")
-    return met.where(distance(F.col("fingerprint"), F.col("least")) <= radius).select(F.col("fingerprint").alias("a"), F.col("least").alias("b")).distinct()
+def split(mask: int, segments: int) -> list[list[int]]:
+    """The bits that are not in `mask`, cut into segments as equal as can be."""
+    free = [1 << b for b in range(BITS) if not mask >> b & 1]
+    ends = [len(free) * i // segments for i in range(segments + 1)]
+    return [free[x:y] for x, y in zip(ends, ends[1:]) if x < y]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def ball(bits: list[int], radius: int) -> list[int]:
+    """All masks of at most `radius` of the given bits."""
+    return [sum(c) for n in range(min(radius, len(bits)) + 1) for c in combinations(bits, n)]
+
+
+def _enter(df: DataFrame, masks: list[int], segments: int, radius: int | None) -> DataFrame:
+    """Entries of the tables keyed by each mask and one more segment; with a radius, one for each value of the ball there.
+
+    `mask` holds the bits that are key so far, `cell` their values. What is left of the radius follows from both.
+    """
+    out = []
+    for mask in masks:
+        at, parts = df.where(F.col("mask") == signed(mask)), split(mask, segments)
+        for bits in parts:
+            key = F.lit(signed(mask | sum(bits)))
+            own = F.col("fingerprint").bitwiseAND(F.lit(signed(sum(bits))))
+            if radius is None:
+                out.append(at.select("fingerprint", key.alias("mask"), F.col("cell").bitwiseOR(own).alias("cell")))
+                continue
+            left = radius - distance(F.col("fingerprint").bitwiseAND(F.col("mask")), F.col("cell")) if mask else F.lit(radius)
+            reach = F.floor(left / len(parts))
+            for r in range(radius // len(parts) + 1) if mask else [radius // len(parts)]:
+                flips = F.array(*[F.lit(signed(m)) for m in ball(bits, r)])
+                x = (at.where(reach == r) if mask else at).select("fingerprint", "cell", F.explode(flips).alias("f"))
+                out.append(x.select("fingerprint", key.alias("mask"), F.col("cell").bitwiseOR(own.bitwiseXOR(F.col("f"))).alias("cell")))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+def links(distinct: DataFrame, radius: int = 2, segments: int = 2, most: int = 1024) -> DataFrame:
+    """All pairs (a, b), a > b, of the distinct values in `fingerprint` that differ in at most `radius` bits, each once.
+
+    Cells of at most `most` entries are paired with the probes that reach them; larger ones are keyed by more bits. The
+    distance is verified within the join, so only links leave it. Only masks of large cells come to the driver.
+    """
+    held = distinct.select("fingerprint", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("cell"))
+    probes, masks, found = held, [0], []
+    while masks:
+        held, probes = _enter(held, masks, segments, None), _enter(probes, masks, segments, radius)
+        if len(found):  # cells that are reached in more than one way
+            held, probes = cut(held.distinct()), cut(probes.distinct())
+        large = cut(held.groupBy("mask", "cell").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "cell"))
+        masks = [r[0] & ((1 << BITS) - 1) for r in large.select("mask").distinct().collect()]
+        few, next_held, next_probes = held, None, None
+        if masks:
+            few = held.join(small(large), ["mask", "cell"], "left_anti")
+            next_held, next_probes = (cut(x.join(small(large), ["mask", "cell"], "left_semi")) for x in (held, probes))
+        p, t = probes.alias("p"), few.alias("t")
+        near = (F.col("p.fingerprint") > F.col("t.fingerprint")) & (distance(F.col("p.fingerprint"), F.col("t.fingerprint")) <= radius)
+        found.append(p.join(t, (F.col("p.mask") == F.col("t.mask")) & (F.col("p.cell") == F.col("t.cell")) & near).select(F.col("p.fingerprint").alias("a"), F.col("t.fingerprint").alias("b")))
+        held, probes = next_held, next_probes
+    pairs = found[0]
+    for x in found[1:]:
+        pairs = pairs.unionByName(x)
+    return pairs.distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): one row (node, root) for each node in a link; root is the least node.
 
-    Alternates large-star and small-star steps, which keep the number of links bounded by their first number. Each
-    round is written to the checkpoint folder; a node's least neighbour is found by an aggregate, never by gathering
-    its neighbours. Only counts come to the driver.
+    Alternates large-star and small-star steps, which keep the number of links bounded by their first number, until
+    every node hangs on a root of its own (tested on all links). Each round is written to the checkpoint folder; a
+    node's least neighbour is found by an aggregate, never by gathering its neighbours. Only counts come to the driver.
     """
-    edges, before = cut(edges), None
-    for _ in range(rounds):
+    edges = cut(edges)
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b").distinct()
         edges = cut(star)
-        state = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if state == before or (state[0] == state[3] and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()):
+        n, nodes = edges.agg(F.count("*"), F.countDistinct("a")).first()
+        if n == nodes and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
+def _roots(printed: DataFrame, radius: int, segments: int) -> DataFrame:
+    """fingerprint and root (the least fingerprint reachable) of all distinct fingerprints."""
+    distinct = cut(printed.select("fingerprint").distinct())
+    roots = components(links(distinct, radius, segments))
+    return cut(distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3) -> DataFrame:
     """One row per row of `df`: `key`, fingerprint (long) and component_id, the least `key` reachable over links.
 
     Texts without words have fingerprint 0 and are linked like any other. Null keys are given a component but never
-    name one, unless it has no other. Copies meet in one row per fingerprint before anything is compared. An empty
-    table gives no rows; columns of `df` but the two named are ignored.
+    name one, unless it has no other. Copies, repeated rows and ties meet in one row per fingerprint before anything is
+    compared. An empty table gives no rows; columns of `df` but the two named are ignored.
     """
-    printed = cut(fingerprints(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text"))
-    distinct = cut(printed.groupBy("fingerprint").agg(F.min("_key").alias("first")))
-    roots = components(links(distinct, radius))
-    named = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("fingerprint", "component_id")
+    printed = cut(fingerprints(df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_text", words=words))
+    roots = _roots(printed, radius, segments)
+    firsts = printed.groupBy("fingerprint").agg(F.min("_key").alias("first"))
+    named = cut(firsts.join(roots, "fingerprint"))
+    labels = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fingerprint", "component_id")
     return printed.join(labels, "fingerprint").select(F.col("_key").alias(key), "fingerprint", "component_id")
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
-    """`df` without near-duplicates: of each component only the row with the least key stays (one, if that row is repeated).
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3) -> DataFrame:
+    """`df` without near-duplicates: of each component exactly one row stays, the one with the least key.
 
-    Rows with a null key have nothing to be named by and all stay. The keys to drop are broadcast if there are few
-    enough of them, else the rows are joined by a shuffle.
+    Keys are compared first (null last), then the XXH64 of the text; of rows equal in both the first in the order of
+    all their columns' hash stays. So rows with a null or repeated key are judged by their own texts, like any other.
+    An empty table gives no rows; all columns are kept, whatever their names. Rows with unique keys are not shuffled:
+    the keys to drop are broadcast if they are few enough. Those with null or repeated keys are.
     """
-    found = cut(near_duplicates(df, key, text, radius).groupBy(key).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    out = found.where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(key)
-    kept = df.join(small(out), key, "left_anti")
-    if found.where(F.col(key).isNotNull() & (F.col("n") > 1)).isEmpty():
+    names = ("_key", "_hash", "_print", "_root", "_best", "_all", "_n", "fingerprint")
+    own, back = aside(df, names)
+    k, t = back[df.columns.index(key)], back[df.columns.index(text)]
+    digest = F.xxhash64(F.coalesce(t, F.lit("")))
+    printed = cut(fingerprints(own.select(k.alias("_key"), digest.alias("_hash"), t.alias("_text")), "_text", words=words))
+    roots = _roots(printed, radius, segments)
+    rooted = cut(printed.join(roots, "fingerprint").select("_key", "_hash", F.col("root").alias("_root")))
+    order = F.struct(F.col("_key").isNull(), "_key", "_hash")
+    best = rooted.groupBy("_root").agg(F.min(order).alias("_best"))
+    judged = rooted.join(best, "_root").select("_key", "_hash", "_root", (order == F.col("_best")).alias("_best"))
+    # by key: unique ones are kept or dropped at once
+    state = cut(judged.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count("*").alias("_n"), F.bool_and("_best").alias("_best")))
+    out = small(state.where("_n > 1 or not _best").select("_key"))
+    kept = own.withColumn("_key", k).join(out, "_key", "left_anti")
+    repeated = state.where("_n > 1").select("_key")
+    special = own.withColumn("_key", k).where(F.col("_key").isNull())
+    if not repeated.isEmpty():
+        special = special.unionByName(own.withColumn("_key", k).join(small(repeated), "_key", "left_semi").select(*special.columns))
+    kept = kept.where(F.col("_key").isNotNull())
+    if not special.isEmpty():
+        bests = judged.where("_best").select("_key", "_hash", "_root").distinct()
+        hashed = special.withColumns({"_hash": digest, "_all": F.xxhash64(F.lit(1), *[f"`{c}`" for c in own.columns])})
+        b = bests.select(F.col("_key").alias("_print"), F.col("_hash").alias("_n"), "_root")
+        met = hashed.join(b, F.col("_key").eqNullSafe(F.col("_print")) & (F.col("_hash") == F.col("_n")))
+        one = met.withColumn("_best", F.row_number().over(Window.partitionBy("_root").orderBy("_all"))).where("_best = 1")
+        kept = kept.select(*back).unionByName(one.select(*back))
         return kept
-    repeated = small(found.where(F.col(key).isNotNull() & (F.col("n") > 1)).select(key))
-    again = kept.join(repeated, key, "left_semi").withColumn("_one", F.row_number().over(Window.partitionBy(key).orderBy(text))).where("_one = 1").drop("_one")
-    return kept.join(repeated, key, "left_anti").unionByName(again.select(*[F.col(f"`{c}`") for c in kept.columns]))
+    return kept.select(*back)

@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
 
+import pytest
 import xxhash
-from loomline.llm.simhash import components, fingerprint, fingerprints, links, near_duplicates, one_of_each
+from loomline.llm.simhash import ball, components, fingerprint, fingerprints, links, near_duplicates, one_of_each, split
 from pyspark.sql import functions as F
 
 
@@ -37,20 +39,46 @@ def test_fingerprints(spark, docs):
     assert df.select(F.xxhash64(F.lit("a b c"))).first()[0] & (2**64 - 1) == xxhash.xxh64_intdigest(b"a b c", seed=42)
 
 
-def test_links_connect_all_near_pairs(spark):
-    rng = random.Random(4)
+def brute_links(values, radius):
+    return {(max(a, b), min(a, b)) for a, b in itertools.combinations(values, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+
+
+def clustered(rng, groups, most, flips):
     values = set()
-    for _ in range(25):
+    for _ in range(groups):
         v = rng.getrandbits(64) - 2**63
-        for _ in range(rng.randint(1, 12)):
-            for _ in range(rng.randint(0, 4)):
+        for _ in range(rng.randint(1, most)):
+            for _ in range(rng.randint(0, flips)):
                 v ^= 1 << rng.randrange(63)
             values.add(v)
+    return values
+
+
+@pytest.mark.parametrize("radius, segments, most", [(2, 2, 1024), (2, 2, 20), (5, 3, 40), (4, 4, 1024)])
+def test_links_are_all_near_pairs(spark, radius, segments, most):
+    values = clustered(random.Random(4), 12, 90, 4)
     df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
-    found = {r.node: r.root for r in components(links(df)).collect()}
-    want = {v: r for v, r in brute_components(sorted(values)).items()}
-    groups = lambda m: {frozenset(v for v in values if m.get(v, v) == r) for r in {m.get(v, v) for v in values}}
-    assert groups(found) == groups(want)
+    got = [(r.a, r.b) for r in links(df, radius, segments, most).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_links(values, radius)
+
+
+def test_many_fingerprints_share_a_segment(spark):
+    rng = random.Random(5)
+    low = rng.getrandbits(32)
+    values = {(rng.getrandbits(31) << 32) | low for _ in range(50_000)}
+    near = {(v ^ (1 << 40) ^ (1 << 3)) for v in itertools.islice(sorted(values), 200)}
+    every = sorted(values | near)
+    got = {(r.a, r.b) for r in links(spark.createDataFrame([(v,) for v in every], "fingerprint long")).collect()}
+    held, want = set(every), set()
+    for v in every:  # the whole ball, looked up
+        want |= {(max(v, v ^ m), min(v, v ^ m)) for m in ball([1 << b for b in range(63)], 2) if m and v ^ m in held}
+    assert len(want) >= 200 and got == want
+
+
+def test_segments_cover_what_is_left():
+    for mask, m in ((0, 2), (0, 3), ((1 << 22) - 1, 3), ((1 << 62) - 1, 3)):
+        bits = [b for part in split(mask, m) for b in part]
+        assert sorted(bits) == [1 << i for i in range(64) if not mask >> i & 1]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -74,6 +102,14 @@ def test_whole_table(docs):
 def test_awkward_rows(awkward, empty):
     rows = near_duplicates(awkward("fingerprint")).collect()
     assert len(rows) == 9 and {r.component_id for r in rows if r.doc_id in (2, 3, 4)} == {2}
-    kept = one_of_each(awkward("component_id"))
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 6, 7] and kept.columns == awkward("component_id").columns
+    for extra in ("component_id", "_key", "_best", "fingerprint", "_root", "_all", "mask", "cell"):
+        kept = one_of_each(awkward(extra))
+        assert sorted((r.doc_id or 0, r[extra] or 0) for r in kept.collect()) == [(0, 4), (1, 1), (2, 2), (5, 5), (6, 6), (7, 7)] and kept.columns == awkward(extra).columns
     assert near_duplicates(empty).count() == 0 and one_of_each(empty).count() == 0
+
+
+def test_repeated_and_null_keys_are_judged_by_their_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five", "uno dos tres cuatro cinco")
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c), (None, a), (12, c + " seis"), (5, b)]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(3, a), (5, b), (0, c), (12, c + " seis")])
