@@ -1,9 +1,11 @@
 import zlib
 
-from loomline.llm.langid import Settings, held_out, identify, learn, predict, train
+import pytest
+from loomline.llm.langid import Settings, bucket_counts, held_out, identify, learn, predict, subwords, train
 from pyspark.sql import functions as F
 
-FAST = Settings(rows_per_language=120, epochs=3)
+FAST = Settings(rows_per_language=120)
+TWO = [(bucket_counts(t, FAST.buckets), lang) for t, lang in [("abc def", "x"), ("ghi jkl", "y")] * 20]
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -21,13 +23,13 @@ def test_only_rows_to_learn_from_matter(spark, docs):
 
 
 def test_without_letters_or_languages():
-    model = train([("abc def", "x"), ("ghi jkl", "y")] * 20, FAST)
+    model = train(TWO, FAST)
     assert predict("12 + !", model) == predict(None, model) == predict("", model) == ("und", 0.0)
     assert predict("abc def abc", model)[0] == "x" and predict("abc", train([], FAST)) == ("und", 0.0)
 
 
 def test_long_texts_equal_their_parts():
-    model = train([("abc def", "x"), ("ghi jkl", "y")] * 20, FAST)
+    model = train(TWO, FAST)
     assert predict("ghi jkl " * 90_000, model)[0] == "y"
 
 
@@ -36,3 +38,18 @@ def test_awkward_rows(awkward, empty, docs):
     out = identify(awkward("score"), model).collect()
     assert len(out) == 9 and {r.lang_pred for r in out if r.doc_id in (2, 3, 4)} == {"und"} and all(r.rejected for r in out if r.doc_id in (2, 3, 4))
     assert identify(empty, model).count() == 0 and learn(empty).languages == ()
+
+
+def test_whole_texts_are_counted():
+    text = "le la " * 100_000
+    used, n = bucket_counts(text, 1 << 15)
+    found = subwords(text, 1 << 15)
+    assert abs(int(n.sum()) - len(found)) < 100 and set(used) == set(found)
+
+
+def test_labels_and_rows_are_bounded(spark):
+    rows = [(i, f"words of label {i % 7}", f"l{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(learn(df, settings=FAST).languages) == 7
+    with pytest.raises(ValueError):
+        learn(df, settings=Settings(most_languages=6))
