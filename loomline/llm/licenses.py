@@ -7,6 +7,7 @@ each hit, where the notice could lie, the regex library's bounded-error matching
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -70,27 +71,30 @@ def automaton() -> tuple[ahocorasick.Automaton, list[regex.Pattern]]:
 
 
 def notices(lower: str) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, edits) of the notices in a lower-cased text, non-overlapping for each notice, by start."""
+    """(notice, start, end, edits) of the notices in a lower-cased text, by start; non-overlapping for each notice.
+
+    Around every seed hit the best match is verified on its own; of matches of one notice that overlap the one with the
+    fewest edits stays (then the first, then the shorter). Time grows with the number of hits.
+    """
     pieces_of, patterns = automaton()
-    spots: dict[int, list[tuple[int, int]]] = {}
+    spots: dict[int, set[int]] = {}
     for end, (length, where) in pieces_of.iter(lower):
         for i, offset in where:
-            begin, slack = end + 1 - length - offset, errors(NOTICES[i][0])
-            spots.setdefault(i, []).append((max(0, begin - slack), begin + len(NOTICES[i][0]) + slack))
+            spots.setdefault(i, set()).add(end + 1 - length - offset)
     out = []
-    for i, ranges in spots.items():
-        need, text_at = len(NOTICES[i][0]) - errors(NOTICES[i][0]), 0
-        merged: list[list[int]] = []
-        for a, b in sorted(ranges):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            a = max(a, text_at)
-            while len(lower) - a >= need and (m := patterns[i].search(lower, a, min(b, len(lower)))):
-                out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                a = text_at = max(m.end(), a + 1)
+    for i, begins in spots.items():
+        size, slack = len(NOTICES[i][0]), errors(NOTICES[i][0])
+        hits = set()
+        for begin in begins:
+            a, b = max(0, begin - slack), min(len(lower), begin + size + slack)
+            if b - a >= size - slack and (m := patterns[i].search(lower, a, b)):
+                hits.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        taken: list[tuple[int, int]] = []
+        for edits, a, b in sorted(hits):
+            at = bisect.bisect(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                out.append((i, a, b, edits))
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -129,7 +133,9 @@ def license_scan(df: DataFrame, text: str = "text") -> DataFrame:
     n_words, n_base (long), first_word, last_word (long, of exact phrases, else null), base_labels, labels (string,
     distinct, sorted, comma-joined; empty if none), score (double: 1 for an exact phrase, else the best notice's share
     of unedited characters), notices (array of struct of label, start, end in code points, and edits). A null text
-    counts as empty. Only A-Z are lowered. Columns with these names are replaced.
+    counts as empty. Only A-Z are lowered. Very long texts are searched whole, in time linear in their seed hits; ties
+    between notices are all reported, those between matches of one are decided by `notices`. Repeated rows are rows of
+    their own, an empty table gives no rows. Columns with these names are replaced.
     """
     added = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices array<struct<label:string,start:bigint,end:bigint,edits:bigint>>"
     names = [part.split()[0] for part in added.split(", ")]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import regex
 from loomline.llm.licenses import NOTICES, PHRASES, errors, license_scan, notices, pieces, scan
@@ -44,6 +45,41 @@ def test_seeds_lose_nothing():
             assert (i in found) == bool(regex.search(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={errors(notice)}}}", text))
 
 
+def test_every_planted_notice_is_reported_once():
+    rng = random.Random(10)
+    for _ in range(60):
+        text, planted = "", []
+        for _ in range(rng.randint(1, 8)):
+            i = rng.randrange(len(NOTICES))
+            edited = list(NOTICES[i][0])
+            edits = rng.randint(0, errors(NOTICES[i][0]))
+            for at in rng.sample(range(1, len(edited) - 1), edits):
+                edited[at] = rng.choice(["#", "", edited[at] + "#"])
+            planted.append((i, len(text), len(text) + len("".join(edited)), edits))
+            text += "".join(edited) + rng.choice([" ", ". ", " qqqqqqqq "])
+        found = notices(text)
+        for i, a, b, edits in planted:
+            hits = [x for x in found if x[0] == i and x[1] < b and x[2] > a]
+            assert len(hits) == 1 and hits[0][3] <= edits and abs(hits[0][1] - a) <= errors(NOTICES[i][0]), (text, hits)
+        for i, a, b, edits in found:
+            n = NOTICES[i][0]
+            assert edits <= errors(n) and regex.fullmatch(f"(?:{regex.escape(n, literal_spaces=True)}){{e<={edits}}}", text[a:b])
+            assert all(y <= a or x >= b for j, x, y, _ in found if j == i and (x, y) != (a, b))
+
+
+def test_weaker_notices_before_better_ones():
+    mpl = [i for i, (n, _) in enumerate(NOTICES) if n == "mozilla public license"][0]
+    assert [x[1:] for x in notices("mozilla publik license mozilla public license") if x[0] == mpl] == [(0, 22, 1), (23, 45, 0)]
+    assert len([x for x in notices("all rights reservd all rights reserved")]) == 2
+    assert len([x for x in notices("all rights resarved. all rights reserved.")]) == 2
+
+
+def test_many_notices_take_linear_time():
+    text = "all rights resarved " * 50_000  # 1 MB
+    began = time.time()
+    assert len(notices(text)) == 50_000 and time.time() - began < 60
+
+
 def test_awkward_rows(awkward, empty, docs):
     assert license_scan(awkward("n_base")).count() == 9 and license_scan(empty).count() == 0
     assert "text" not in license_scan(docs).columns and license_scan(docs).where("n_words is null or labels is null").count() == 0
