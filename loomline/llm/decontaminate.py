@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import aside, cut, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -56,42 +56,45 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     n_found counts those of the item's distinct shingles that the document holds; both texts are lower-cased and all but
     letters and digits separates words. Null and empty texts have no shingles. Rows that share a key are one document
     and items that share a key one item (of the shingles of both). Rows with a null key are left out: a pair could not
-    name them. Other columns are ignored. Whole documents are searched. The sketches are broadcast if they are few
-    enough, else joined by a shuffle; so are the keys of candidate documents for verification.
+    name them. Other columns are ignored. Whole documents are searched, words and texts of any length; of hashes that tie
+    in a sketch's order the first by its words counts. Documents are split once for all lengths of items. Hashes of
+    sketches and the keys of candidate documents are broadcast if they are measured to be small, else shuffled; words
+    of shingles are never broadcast by request.
     """
     parts = cut(item_shingles(items.where(F.col(item_key).isNotNull()), item_key, item_text, shingle, threshold, seed))
     lengths = sorted(r[0] for r in parts.select("n").distinct().collect())  # at most `shingle` different ones
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("w"))
+    own = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("_key"), words(F.col(f"`{text}`")).alias("w"))
     if not lengths:
         return own.select(F.col("_key").alias(key)).limit(0).crossJoin(parts.limit(0).select(F.col("item").alias(item_key), F.col("size").alias("n_shingles"), F.col("size").alias("n_found"), F.lit(0.0).alias("containment")))
-    sketch = parts.where("sketched").select("h", "item").distinct()
-    sketch = small(cut(sketch))
-
-    def found(n: int) -> DataFrame:
-        # outer, so that no filter on the array is derived, which would compute it twice
-        hashes = own.select("_key", F.explode_outer(F.transform(shingles(F.col("w"), n), lambda s: F.xxhash64(F.lit(seed), s))).alias("h"))
-        return hashes.join(sketch, "h").select("_key", "item")
-
-    every = [found(n) for n in lengths]
-    candidates = every[0]
-    for x in every[1:]:
-        candidates = candidates.unionByName(x)
-    candidates = cut(candidates.distinct())
-    keys = candidates.select("_key").distinct()
-    again = own.join(small(cut(keys)), "_key", "left_semi")
-    held = None
-    for n in lengths:
-        x = again.select("_key", F.explode_outer(shingles(F.col("w"), n)).alias("s"))
-        held = x if held is None else held.unionByName(x)
-    wanted = small(parts.select("item", "size", "s"))
-    pairs = held.join(wanted, "s").distinct().join(small(candidates), ["_key", "item"], "left_semi")
-    counted = pairs.groupBy("_key", "item", "size").agg(F.count("*").alias("n_found"))
+    sketch = small(cut(parts.where("sketched").select("h", "item").distinct()))
+    every = F.flatten(F.array(*[shingles(F.col("w"), n) for n in lengths]))
+    # outer, so that no filter on the array is derived, which would compute it twice
+    hashes = own.select("_key", F.explode_outer(F.transform(every, lambda s: F.xxhash64(F.lit(seed), s))).alias("h"))
+    candidates = cut(hashes.join(sketch, "h").select("_key", "item").distinct())
+    again = own.join(small(cut(candidates.select("_key").distinct())), "_key", "left_semi")
+    spelled = again.select("_key", F.explode_outer(every).alias("s")).withColumn("h", F.xxhash64(F.lit(seed), "s"))
+    # hashes are broadcast, if they are few, and find the shingles worth comparing; the words themselves are joined
+    held = spelled.join(small(cut(parts.select("h").distinct())), "h", "left_semi").distinct()
+    pairs = held.join(parts.select("item", "size", "n", "h", "s"), ["h", "s"]).join(small(candidates), ["_key", "item"], "left_semi")
+    counted = pairs.select("_key", "item", "n", "size", "s").distinct().groupBy("_key", "item", "n", "size").agg(F.count("*").alias("n_found"))
     merged = counted.groupBy("_key", "item").agg(F.sum("size").alias("n_shingles"), F.sum("n_found").alias("n_found"))
     share = F.col("n_found") / F.col("n_shingles")
     return merged.where(share >= threshold).select(F.col("_key").alias(key), F.col("item").alias(item_key), "n_shingles", "n_found", F.round(share, 6).alias("containment"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **settings: object) -> DataFrame:
-    """`docs` without the documents into which an item leaks; rows with a null key stay."""
-    found = cut(leaks(docs, items, key, **settings).select(key).distinct())
-    return docs.join(small(found), key, "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **settings: object) -> DataFrame:
+    """`docs` without the documents into which an item leaks; all columns are kept, whatever their names.
+
+    Rows that share a key are one document, as in `leaks`. A row with a null key is a document of its own, known by its text.
+    """
+    found = cut(leaks(docs, items, key, text, **settings).select(F.col(key).alias("_leaks")).distinct())
+    own, back = aside(docs, ("_leaks", "_text"))
+    k, t = back[docs.columns.index(key)], back[docs.columns.index(text)]
+    kept = own.withColumn("_leaks", k).join(small(found), "_leaks", "left_anti").select(*back)
+    unnamed = docs.where(F.col(f"`{key}`").isNull())
+    if unnamed.isEmpty():
+        return kept
+    name = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    lost = cut(leaks(unnamed.select(name.alias(key), f"`{text}`"), items, key, text, **settings).select(F.col(key).alias("_text")).distinct())
+    apart = own.withColumn("_text", F.when(k.isNull(), F.sha2(F.coalesce(t, F.lit("")), 256))).join(small(lost), "_text", "left_anti")
+    return apart.withColumn("_leaks", k).join(small(found), "_leaks", "left_anti").select(*back)

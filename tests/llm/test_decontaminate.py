@@ -58,5 +58,9 @@ def test_sketches_outnumber_what_may_be_missing(spark):
 def test_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, "hello world this is a short text"), (None, "a row without a name")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leaks(awkward("item"), items).collect()} == {(1, 1)}
-    assert without_leaks(awkward("h"), items).count() == 7
+    for extra in ("h", "_leaks", "_text", "w", "_key"):
+        kept = without_leaks(awkward(extra), items)
+        assert kept.columns == awkward(extra).columns and sorted((r.doc_id or 0, r[extra] or 0) for r in kept.collect()) == [(0, 4), (2, 2), (3, 3), (4, 0), (5, 5), (6, 6), (7, 7)]
+    unnamed = spark.createDataFrame([(5, "a row without a name")], "item_id long, text string")
+    assert {r.doc_id for r in without_leaks(awkward(), unnamed).collect()} == {1, 2, 3, 4, 5, 6, 7}
     assert leaks(empty, items).count() == 0 and leaks(awkward(), items.limit(0)).count() == 0
