@@ -8,12 +8,10 @@ Last, each set's share is filled with whole copies of its documents and a seeded
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import aside, cut
 
 WEIGHTS = (5, 2, 1)
 
@@ -43,60 +41,94 @@ def capped_targets(sizes: list[int], weights: list[int], total: float, most: flo
 
 
 def min_cost_flow(supplies: list[int], members: list[list[int]], quotas: list[int], copies: int) -> list[int]:
-    """Tokens taken from each set of sources: successive shortest paths from the sets over their sources to the quotas.
+    """Tokens taken from each set of sources at least cost: set i reaches the sources in members[i], its c-th copy of supplies[i] costs c - 1 a token.
 
-    Set i has `copies` arcs of capacity supplies[i] at costs 0, 1, 2, ... and reaches the sources in members[i].
+    Costs stand on the sets alone, and adding flow never has to take any from a set that gives some (paths that end at
+    the sets' source can be cut short). So a maximum flow with one copy of each set, raised to two copies, and so on, is
+    a maximum flow of least convex cost. Each level is raised by blocking flows over shortest paths, sets and sources in turn.
     """
     n, m = len(supplies), len(quotas)
-    source, sink = n + m, n + m + 1
-    arcs: list[list[int]] = []  # to, capacity, cost; an arc and its reverse stand side by side
-    leaving: list[list[int]] = [[] for _ in range(n + m + 2)]
-
-    def add(a: int, b: int, capacity: int, cost: int) -> None:
-        leaving[a].append(len(arcs))
-        arcs.append([b, capacity, cost])
-        leaving[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-
-    for i, s in enumerate(supplies):
-        for c in range(copies):
-            add(source, i, s, c)
-        for j in members[i]:
-            add(i, n + j, copies * s, 0)
-    for j, q in enumerate(quotas):
-        add(n + j, sink, q, 0)
-    potential = [0] * (n + m + 2)
-    while True:
-        dist: dict[int, int] = {}
-        by: dict[int, int] = {}
-        heap = [(0, source, -1)]
-        while heap:
-            d, a, arc = heapq.heappop(heap)
-            if a in dist:
-                continue
-            dist[a], by[a] = d, arc
-            for k in leaving[a]:
-                b, capacity, cost = arcs[k]
-                if capacity > 0 and b not in dist:
-                    heapq.heappush(heap, (d + cost + potential[a] - potential[b], b, k))
-        if sink not in dist:
-            break
-        for a in range(n + m + 2):
-            potential[a] += min(dist.get(a, dist[sink]), dist[sink])
-        path, a = [], sink
-        while a != source:
-            path.append(by[a])
-            a = arcs[by[a] ^ 1][0]
-        step = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= step
-            arcs[k ^ 1][1] += step
-    taken = [0] * n
-    for k in leaving[source]:
-        taken[arcs[k][0]] += arcs[k ^ 1][1]
+    taken, left = [0] * n, list(quotas)
+    flow: list[dict[int, int]] = [{} for _ in range(n)]  # set -> source -> tokens
+    givers: list[dict[int, None]] = [{} for _ in range(m)]  # sets that give to a source
+
+    for level in range(1, copies + 1):
+        while True:
+            # layers: sets with room, their sources, the sets that give to these and could give elsewhere, ...
+            depth_set, depth_source = [-1] * n, [-1] * m
+            layer = [i for i in range(n) if taken[i] < level * supplies[i]]
+            for i in layer:
+                depth_set[i] = 0
+            depth, reached = 0, False
+            while layer and not reached:
+                sources = []
+                for i in layer:
+                    for j in members[i]:
+                        if depth_source[j] < 0:
+                            depth_source[j] = depth
+                            sources.append(j)
+                            reached = reached or left[j] > 0
+                depth, layer = depth + 1, []
+                if not reached:
+                    for j in sources:
+                        for i in givers[j]:
+                            if depth_set[i] < 0:
+                                depth_set[i] = depth
+                                layer.append(i)
+            if not reached:
+                break
+            next_member = [0] * n
+            next_giver: list[list[int] | None] = [None] * m
+            for start in range(n):
+                while depth_set[start] == 0 and taken[start] < level * supplies[start]:
+                    path = _path(start, depth_set, depth_source, members, givers, next_member, next_giver, left)
+                    if not path:
+                        break
+                    step = min(level * supplies[start] - taken[start], left[path[-1]], *(flow[path[k + 1]][path[k]] for k in range(1, len(path) - 1, 2)))
+                    for k in range(0, len(path), 2):
+                        i, j = path[k], path[k + 1]
+                        flow[i][j] = flow[i].get(j, 0) + step
+                        givers[j][i] = None
+                        if k:
+                            flow[i][path[k - 1]] -= step
+                            if not flow[i][path[k - 1]]:
+                                del flow[i][path[k - 1]], givers[path[k - 1]][i]
+                    taken[start] += step
+                    left[path[-1]] -= step
     return taken
 
 
+def _path(start: int, depth_set: list[int], depth_source: list[int], members: list[list[int]], givers: list[dict[int, None]], next_member: list[int], next_giver: list, left: list[int]) -> list[int]:
+    """A way down the layers from a set to a source with room: set, source, set, ..., source; empty if none is left. Dead ends are not tried again."""
+    path = [start]
+    while path:
+        if len(path) % 2:  # at a set
+            i = path[-1]
+            while next_member[i] < len(members[i]) and depth_source[members[i][next_member[i]]] != depth_set[i]:
+                next_member[i] += 1
+            if next_member[i] < len(members[i]):
+                path.append(members[i][next_member[i]])
+                continue
+            path.pop()
+            if path:
+                next_giver[path[-1]].pop()
+        else:
+            j = path[-1]
+            if left[j] > 0:
+                return path
+            if next_giver[j] is None:
+                next_giver[j] = [i for i in givers[j] if depth_set[i] == depth_source[j] + 1]
+            waiting = next_giver[j]
+            while waiting and waiting[-1] not in givers[j]:
+                waiting.pop()
+            if waiting:
+                path.append(waiting[-1])
+                continue
+            path.pop()
+            next_member[path[-1]] += 1
+    return []
+
+
 def mix(df: DataFrame, memberships: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, keys: tuple[str, ...] = ("doc_id",), seed: int = 11, buckets: int = 4096, most_sets: int = 100_000) -> DataFrame:
     """Add size, taken (long: tokens the mix takes, repeats counted), sources (array<string>), target and source_size (arrays of double and long, by source).
 
@@ -105,15 +137,19 @@ def mix(df: DataFrame, memberships: Column, size: Column, weights: tuple[int, ..
     tokens, but none more than `most` times its own. Which documents a set gives one copy more is decided by a hash of
     the seed and `keys`; the last of them is taken in part, so that every set gives exactly its flow. Rows equal in
     `keys` stand at one place of that order and share its part evenly (rounded down). An empty table gives no rows;
-    columns of `df` with the new columns' names are replaced (`size` may read an old one).
+    columns of `df` with the new columns' names are replaced (`size` may read an old one), all others kept, whatever their names.
 
     To the driver come the sizes of the sets of sources, refused beyond `most_sets`, which bounds what is broadcast.
     The rows are ordered by hash in `buckets` parts of each set, whose sums tell in which part the cut falls; only
     that part is summed by row. Rows are not shuffled.
     """
     spark, added = df.sparkSession, ("size", "sources", "target", "source_size", "taken")
+    df = df.withColumns({"_mix_members": memberships, "_mix_size": size.cast("long"), "_mix_key": F.struct(*keys)})
+    memberships, size = F.col("_mix_members"), F.col("_mix_size")
+    df, back = aside(df, ("_sources", "_order", "_set", "_bucket", "_size", "_tokens", "_whole", "_part", "_target", "_source_size", "_end", "_cut", "_left", "_tied", "_room", "_before"))
+    kept = [c for c, name in zip(back, df.columns) if not name.startswith("_mix_") and name not in added]
     names = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(memberships, F.array().cast("array<string>"))) > 0, memberships).otherwise(F.array(F.lit(None).cast("string")))))
-    base = df.withColumns({"_sources": names, "_order": F.xxhash64(F.lit(seed), *keys)})
+    base = df.withColumns({"_sources": names, "_order": F.xxhash64(F.lit(seed), "_mix_key")})
     base = base.withColumns({"_set": F.to_json(F.struct(F.transform("_sources", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))).alias("s"))), "_bucket": F.pmod(F.shiftrightunsigned("_order", 20), F.lit(buckets)).cast("int")})
     sums = cut(base.select("_set", "_bucket", "_sources", size.alias("_size")).groupBy("_set", "_bucket").agg(F.sum("_size").alias("_tokens"), F.first("_sources").alias("_sources")))
     sets = sums.groupBy("_set").agg(F.sum("_tokens").alias("tokens"), F.first("_sources").alias("sources")).limit(most_sets + 1).collect()
@@ -141,7 +177,7 @@ def mix(df: DataFrame, memberships: Column, size: Column, weights: tuple[int, ..
     partly = (F.col("_bucket") == F.col("_end")) & (F.col("_order") == F.col("_cut"))
     more = F.when(whole, F.col("_size")).when(partly, F.floor(F.col("_size") * F.col("_left") / F.col("_tied"))).otherwise(0)
     new = (F.col("_size"), F.col("_sources"), F.col("_target"), F.col("_source_size"), F.col("_size") * F.col("_whole") + more)
-    return known.select(*[F.col(f"`{c}`") for c in df.columns if c not in added], *[c.cast("long").alias(n) if n in ("size", "taken") else c.alias(n) for c, n in zip(new, added)])
+    return known.select(*kept, *[c.cast("long").alias(n) if n in ("size", "taken") else c.alias(n) for c, n in zip(new, added)])
 
 
 def mix_by_source(df: DataFrame, source: str = "source", text: str = "text", **settings: object) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from loomline.llm.mixing import capped_targets, min_cost_flow, mix, mix_by_source, word_count
@@ -65,7 +66,22 @@ def test_word_count(spark):
     assert [r.n for r in df.orderBy("i").collect()] == [0, 0, 0, 1, 4, 1]
 
 
+def test_flow_of_many_sets_ends_soon():
+    rng = random.Random(7)
+    sources = 30
+    members = [sorted(rng.sample(range(sources), 3)) for _ in range(100_000)]
+    supplies = [rng.randint(1, 1000) for _ in members]
+    quotas = [round(rng.uniform(0.2, 2.4) * sum(supplies) / sources) for _ in range(sources)]
+    began = time.time()
+    taken = min_cost_flow(supplies, members, quotas, 2)
+    assert time.time() - began < 120 and all(0 <= t <= 2 * s for t, s in zip(taken, supplies))
+    assert sum(taken) == min(sum(quotas), 2 * sum(supplies)) or sum(taken) < sum(quotas)
+
+
 def test_awkward_rows(awkward, empty):
     out = mix_by_source(awkward("target")).collect()
     assert len(out) == 9 and all(r.taken <= 2 * r.size for r in out)
+    for extra in ("_bucket", "_set", "_order", "_sources", "_size", "_cut", "_left", "_part", "_mix"):
+        rows = mix_by_source(awkward(extra)).collect()
+        assert sorted((r.doc_id or 0, r[extra] or 0) for r in rows) == sorted((r.doc_id or 0, r[extra] or 0) for r in awkward(extra).collect())
     assert mix_by_source(empty).count() == 0
