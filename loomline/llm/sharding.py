@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import aside
+
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     """How many of `draws` items taken without replacement from good + bad are good; exact for populations of any size.
@@ -69,7 +71,8 @@ def hypergeometric_shards(df: DataFrame, shards: int, keys: list[str], seed: int
 
     Shards differ by one row at most. `keys` name the columns whose hash spreads the rows over the sending partitions;
     they should be near unique (rows with equal keys, nulls included, share a partition, not a shard). Rows equal in
-    all columns are interchangeable, so every rerun gives the same rows. An empty table gives no rows. Columns of `df`
+    all columns are interchangeable, so every rerun gives the same rows. Null and very long values are rows like others;
+    an empty table gives no rows. Columns of `df`
     called shard or slot are replaced; all others stay, whatever their names.
 
     No task needs a whole partition or shard: a sender's random order goes through parts, whose row counts give the
@@ -78,7 +81,9 @@ def hypergeometric_shards(df: DataFrame, shards: int, keys: list[str], seed: int
     alone; what is broadcast has at most most_senders * most_blocks numbers, 32 MB.
     """
     spark, df = df.sparkSession, df.drop("shard", "slot")
-    keyed, bare = [f"`{c}`" for c in keys], [f"`{c}`" for c in df.columns]
+    names = df.columns
+    df, back = aside(df, ("_sender", "_part", "_order", "_tie", "_rank", "_begun", "_shards", "_blocks", "_block", "_again", "_at", "_slot"))
+    keyed, bare = [f"`{df.columns[names.index(c)]}`" for c in keys], [f"`{c}`" for c in df.columns]
     fine = F.pmod(_seeded(seed, 1, keyed), F.lit(most_blocks)).cast("int")
     counts = {r[0]: r[1] for r in df.select(fine.alias("p")).groupBy("p").count().collect()}
     total = sum(counts.values())
@@ -106,4 +111,4 @@ def hypergeometric_shards(df: DataFrame, shards: int, keys: list[str], seed: int
     placed = ranked.withColumn("shard", place(F.col("_shards"))).withColumn("_block", place(F.col("_blocks")[F.col("shard")])).drop("_begun", "_shards", "_blocks")
     mixed = placed.withColumn("_again", F.xxhash64(F.lit(seed), F.lit(4), "_sender", "_rank")).withColumn("_at", F.row_number().over(receive) - 1)
     slotted = mixed.join(F.broadcast(slots), ["shard", "_block"])
-    return slotted.select(*[F.col(c) for c in bare], "shard", (F.col("_slot") + F.col("_at")).cast("long").alias("slot"))
+    return slotted.select(*back, "shard", (F.col("_slot") + F.col("_at")).cast("long").alias("slot"))

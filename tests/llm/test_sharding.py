@@ -46,7 +46,10 @@ def test_every_shard_is_equally_likely(spark):
 
 
 def test_awkward_rows(awkward, empty):
-    rows = hypergeometric_shards(awkward("slot"), 4, ["doc_id"]).collect()
-    _check(rows, 9, 4)
+    for extra in ("slot", "_order", "_rank", "_slot", "_sender", "_part", "_tie", "_block", "_at", "_again", "_begun", "_shards", "_BLOCKS"):
+        rows = hypergeometric_shards(awkward(extra), 4, ["doc_id"]).collect()
+        _check(rows, 9, 4)
+        if extra != "slot":
+            assert sorted((r.doc_id or 0, r[extra] or 0) for r in rows) == sorted((r.doc_id or 0, r[extra] or 0) for r in awkward(extra).collect())
     assert hypergeometric_shards(empty, 4, ["doc_id"]).count() == 0
     assert len(hypergeometric_shards(awkward(), 24, ["doc_id"]).collect()) == 9
