@@ -107,20 +107,23 @@ def winnowing(df: DataFrame, text: str = "text", k: int = K, w: int = W) -> Data
     return df.mapInArrow(run, extended(df.schema, "hashes array<long>, positions array<int>"))
 
 
-def with_successor(df: DataFrame, key: str, text: str, use: Callable[[Any, str, Any, str], tuple], measure: Callable[[str], Any], schema: str, rows_per_range: int = 1024, most_ranges: int = 4096) -> DataFrame:
+def with_successor(df: DataFrame, key: str, text: str, use: Callable[[Any, str, Any, str], tuple], measure: Callable[[str], Any], schema: str, bytes_per_range: int = 4 << 20, rows_per_range: int = 1024, most_ranges: int = 1 << 16) -> DataFrame:
     """Apply `use(measured, text, next_measured, next_text)` to each row and the row after it in descending order of `key` (after the last: the first).
 
     Returns `key` and the columns of `schema`, which `use` gives as a tuple; `measure(text)` is called once a text and
     task. Null texts count as empty; null keys come last; rows with equal keys are ordered by text.
 
-    One exchange of the rows: they are dealt into ranges of `key` with about equal numbers of rows, and the highest row
-    of each range also goes to the range above it as a guest, to follow its lowest row. A task sorts its range and
-    streams through it, holding a batch and a row. The borders come to the driver, at most `most_ranges`.
+    One exchange of the rows: they are dealt into ranges of `key` (a whole number) with about equal numbers of rows, and
+    the highest row of each range also goes to the range above it as a guest, to follow its lowest row. There are as many
+    ranges as rows and bytes ask for; the borders come to the driver, at most `most_ranges`. A task sorts its range
+    and streams through it, holding a batch and a row. Rows of one key share a range. An empty table gives no rows;
+    other columns are ignored.
     """
     spark = df.sparkSession
-    df = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    df = df.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     keys = df.select(F.col("_key").cast("long").alias("_key")).where(F.col("_key").isNotNull())
-    ranges = max(1, min(most_ranges, -(-keys.count() // rows_per_range)))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    ranges = max(1, min(most_ranges, max(-(-rows // rows_per_range), -(-size // bytes_per_range))))
     cuts = sorted({int(x) for x in keys.approxQuantile("_key", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
     cuts = cuts or [0]
     groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
@@ -164,11 +167,18 @@ def hexed(hashes: np.ndarray) -> str:
 
 
 def edit_report(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """Winnowed fingerprints of each text and its edited text, and the likeness to both that and the next document."""
+    """Winnowed fingerprints of each text and its edited text, with their positions, and the likeness to both that and the next document.
 
-    def report(own: np.ndarray, t: str, following: np.ndarray, next_text: str) -> tuple:
+    The columns are `key`, n_chars, edited_sha256, fingerprint and edited_fingerprint (hexadecimal), near_edited, near_next,
+    positions and edited_positions (arrays of the code points where the kept grams begin, one for each hash). A null text
+    counts as empty and has an empty fingerprint; two empty ones are alike (1). Null keys are the last documents, rows
+    with equal keys are ordered by text, repeated rows follow each other. Very long texts are hashed whole. An empty table
+    gives no rows; other columns are ignored, whatever their names.
+    """
+
+    def report(own: tuple, t: str, following: tuple, next_text: str) -> tuple:
         changed = edited(t, next_text)
-        other = winnow(changed, k, w)[0]
-        return len(t), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), hexed(own), hexed(other), likeness(own, other), likeness(own, following), len(own)
+        other, at = winnow(changed, k, w)
+        return len(t), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), hexed(own[0]), hexed(other), likeness(own[0], other), likeness(own[0], following[0]), own[1], at
 
-    return with_successor(df, key, text, report, lambda t: winnow(t, k, w)[0], "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long")
+    return with_successor(df, key, text, report, lambda t: winnow(t, k, w), "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>")

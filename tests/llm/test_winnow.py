@@ -1,12 +1,26 @@
 import hashlib
 import random
 
-from loomline.llm.winnow import code_points, edit_report, edited, gram, likeness, rolling_hashes, window, winnow, winnowing, with_successor
+from loomline.llm.winnow import code_points, edit_report, edited, likeness, rolling_hashes, winnow, winnowing, with_successor
+
+
+def plain_hashes(text, k):
+    """The same polynomial in Python's own numbers, gram by gram."""
+    out, base, mix, mask = [], 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 2**64 - 1
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * base + ord(c) + 1) & mask
+        for _ in range(2):
+            h = (h ^ (h >> 32)) * mix & mask
+        out.append(h >> 32)
+    return out
 
 
 def brute(text, k, w):
-    hashes = rolling_hashes(code_points(text), gram(len(text), k)).tolist() if text else []
-    w, out = window(len(hashes), w), []
+    k = min(k, max(1, len(text) // 4))
+    hashes = plain_hashes(text, k)
+    w, out = min(w, max(1, len(hashes) // 8)), []
     for i in range(len(hashes) - w + 1):
         least = min(hashes[i : i + w])
         at = max(j for j in range(i, i + w) if hashes[j] == least)
@@ -46,6 +60,10 @@ def test_report_against_brute_force(docs):
     for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
         changed, r = edited(text, following), found[i]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        for print_, at, t in ((r.fingerprint, r.positions, text), (r.edited_fingerprint, r.edited_positions, changed)):
+            if len(t) < 1500:
+                assert [(int(print_[8 * n : 8 * n + 8], 16), p) for n, p in enumerate(at)] == brute(t, 10, 51)
+            assert len(print_) == 8 * len(at)
         assert abs(r.near_edited - likeness(winnow(text)[0], winnow(changed)[0])) < 1e-9
         assert abs(r.near_next - likeness(winnow(text)[0], winnow(following)[0])) < 1e-9
 
@@ -75,5 +93,5 @@ def test_few_rows_a_range_and_negative_keys(spark):
         return (hashlib.sha256(edited(text, following).encode()).hexdigest(),)
 
     for size in (1, 4, 1000):
-        got = with_successor(df, "doc_id", "text", report, len, "sha string", rows_per_range=size)
+        got = with_successor(df, "doc_id", "text", report, len, "sha string", rows_per_range=size, bytes_per_range=500 * size)
         assert {r.doc_id: r.sha for r in got.collect()} == want
