@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -21,6 +22,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import extended
 
@@ -285,13 +287,51 @@ def generate(node: tuple, filters: dict[str, Callable]) -> Callable[[dict, Outpu
     name, items, body = node[1], _value(node[2], filters), generate(node[3], filters)
 
     def loop(env: dict, out: Output) -> None:
-        rows = list(items(env) or ())
-        for i, x in enumerate(rows):
-            body(env | {name: x, "loop": {"index0": i, "first": i == 0, "last": i == len(rows) - 1}}, out)
+        rows, nothing = iter(items(env) or ()), object()  # taken one by one, so that a stream of turns is never held whole
+        i, x = 0, next(rows, nothing)
+        while x is not nothing:
+            following = next(rows, nothing)
+            body(env | {name: x, "loop": {"index0": i, "first": i == 0, "last": following is nothing}}, out)
+            i, x = i + 1, following
 
     return loop
 
 
+class ReadBack(Output):
+    """Takes the formatted text piece by piece and reads it back turn by turn: digests of all turns and of what is trained on. Holds one turn."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held, self.begun, self.n_turns, self.loss_chars = "", 0, 0, 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str) -> None:
+        self.parts.append(text)
+        self.length += len(text)
+        if CONTROLS[2] in text:
+            self.settle()
+
+    def settle(self) -> None:
+        """Read what has come so far, up to the end of the last whole turn."""
+        self.held += "".join(self.parts)
+        self.parts.clear()
+        for a, b in self.spans:
+            trained = Escape.undo(self.held[a - self.begun : b - self.begun])
+            self.loss_chars += len(trained)
+            self.loss.update(trained.encode("utf-8", "surrogatepass"))
+        self.spans.clear()
+        end = self.held.rfind(CONTROLS[2]) + len(CONTROLS[2])
+        for role, said in read_back(self.held[:end]):
+            self.n_turns += 1
+            self.whole.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        self.held, self.begun = self.held[end:], self.begun + end
+
+    def result(self) -> tuple[int, str, int, str, int]:
+        if self.parts or self.held or self.spans:
+            raise ValueError("the last turn has no end")
+        return self.n_turns, self.whole.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.length
+
+
 class Escape:
     """Reversible escaping: a backslash is doubled, and one is put inside every control string, after its first character."""
 
@@ -318,6 +358,11 @@ class Template:
         self.tree = fold(parse(source), self.filters)
         self.run = generate(self.tree, self.filters)
 
+    def stream(self, messages: Iterator[dict], out: Output, **names: Any) -> Output:
+        """Render into `out`, taking the messages one by one."""
+        self.run({"messages": messages, **names}, out)
+        return out
+
     def render(self, messages: list[dict], **names: Any) -> tuple[str, list[tuple[int, int]]]:
         out = Output()
         self.run({"messages": messages, **names}, out)
@@ -356,7 +401,8 @@ def format_chats(df: DataFrame, source: str = TURNS, controls: tuple[str, ...] =
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a defined order and all
     are kept. A null role or text counts as empty; rows with a null key form one conversation. Columns other than the
-    four named are ignored. One exchange, of the turns by key; a conversation must fit in memory, as its text does.
+    four named are ignored; an empty table gives no rows. One exchange, of the turns by key; a conversation must fit in
+    memory here, as its text is one value of the result. `chat_digests` streams.
     """
     turns = df.select(F.col(key).alias("_key"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("m"))
     grouped = turns.groupBy("_key").agg(F.sort_array(F.collect_list("m")).alias("turns"))
@@ -373,20 +419,26 @@ def format_chats(df: DataFrame, source: str = TURNS, controls: tuple[str, ...] =
     return grouped.mapInArrow(run, schema)
 
 
-def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Read the formatted texts back: digests of all turns and of what the loss mask covers."""
+def chat_digests(df: DataFrame, source: str = TURNS, controls: tuple[str, ...] = CONTROLS, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row per conversation: `key`, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text.
+
+    Order, ties, nulls and other columns as in `format_chats`; `source` has to write turns as TURNS does. No conversation
+    is held whole: a task sorts its turns (spilling as it has to), formats them one by one and reads them back as they
+    come, so a conversation of any number of turns takes the memory of its longest one. An empty table gives no rows.
+    """
+    named = df.select(F.col(f"`{key}`").alias("k"), F.coalesce(f"`{role}`", F.lit("")).alias("role"), F.coalesce(f"`{text}`", F.lit("")).alias("text"), F.col(f"`{turn}`").alias("turn"))
+    ordered = named.repartition("k").sortWithinPartitions("k", "turn", "role", "text").select("k", "role", "text")
+    schema = extended(ordered.select(F.col("k").alias(key)).schema, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                turns = read_back(text)
-                loss = "".join(Escape.undo(text[s["start"] : s["end"]]) for s in spans)
-                whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    schema = extended(formatted.select(key).schema, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return formatted.select(key, "formatted", "spans").mapInArrow(run, schema)
+        template, kinds = compiled(source, controls), to_arrow_schema(schema)
+        turns = ((k.as_py(), {"role": r.as_py(), "text": t.as_py()}) for batch in batches for k, r, t in zip(*batch.columns))
+        rows: list[tuple] = []
+        for k, said in itertools.groupby(turns, lambda x: x[0]):
+            rows.append((k, *template.stream((m for _, m in said), ReadBack()).result()))
+            if len(rows) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+                rows = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], schema=kinds)
+
+    return ordered.mapInArrow(run, schema)

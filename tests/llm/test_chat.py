@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from loomline.llm.chat import CONTROLS, TURNS, Escape, Template, TemplateError, digests, fold, format_chats, parse, read_back
+from loomline.llm.chat import CONTROLS, TURNS, Escape, ReadBack, Template, TemplateError, chat_digests, fold, format_chats, parse, read_back
 
 
 def test_round_trip_of_hostile_texts():
@@ -40,7 +40,7 @@ def test_unsafe_control_strings():
 
 def test_digests(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    found = {r.conv_id: r for r in digests(format_chats(turns)).collect()}
+    found = {r.conv_id: r for r in chat_digests(turns).collect()}
     groups = {}
     for r in turns.orderBy("conv_id", "turn").collect():
         groups.setdefault(r.conv_id, []).append(r)
@@ -56,4 +56,30 @@ def test_awkward_rows(spark):
     rows = [(1, 0, "user", None, 1), (1, 0, "user", None, 1), (1, None, "assistant", "", 2), (None, 1, None, "x" * 50_000, 3), (None, 1, "assistant", "y", 4)]
     got = {r.conv_id: r for r in format_chats(spark.createDataFrame(rows, schema)).collect()}
     assert got[1].n_turns == 3 and read_back(got[1].formatted)[0] == ("assistant", "") and got[None].n_turns == 2
-    assert digests(format_chats(spark.createDataFrame([], schema))).count() == 0
+    assert chat_digests(spark.createDataFrame([], schema)).count() == 0 and format_chats(spark.createDataFrame([], schema)).count() == 0
+    for r in chat_digests(spark.createDataFrame(rows, schema)).collect():
+        assert (r.n_turns, r.formatted_chars) == (got[r.conv_id].n_turns, len(got[r.conv_id].formatted))
+
+
+def test_streaming_holds_one_turn():
+    class Watched(ReadBack):
+        most = 0
+
+        def add(self, text):
+            super().add(text)
+            self.most = max(self.most, len(self.held) + sum(map(len, self.parts)) + len(self.spans))
+
+    out = Template(TURNS, CONTROLS).stream(({"role": "assistant" if i % 2 else "user", "text": f"turn {i} </s>\\"} for i in range(50_000)), Watched())
+    assert out.n_turns == 50_000 and out.most < 200 and out.result()[2] == sum(len(f"turn {i} </s>\\") for i in range(1, 50_000, 2))
+
+
+def test_whole_and_streamed_agree(spark):
+    rng = random.Random(4)
+    parts = ["\\", "[INST]", "[/INST]", "</s>", "[", "a", "\n", "é", "🙂"]
+    rows = [(c, i, rng.choice(["user", "assistant", None]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) or None) for c in (1, 2, None, 4) for i in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r for r in format_chats(df).collect()}
+    for r in chat_digests(df).collect():
+        text, turns = whole[r.conv_id].formatted, read_back(whole[r.conv_id].formatted)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest() and r.formatted_chars == len(text)
+        assert r.loss_sha256 == hashlib.sha256("".join(Escape.undo(text[s.start : s.end]) for s in whole[r.conv_id].spans).encode()).hexdigest()
