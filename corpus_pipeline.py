@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, near-duplicates, decontamination, near copies, mixing, sharding."""
+"""A corpus pipeline: language ID, near-duplicates, decontamination, mixing, sharding."""
 
 from __future__ import annotations
 
@@ -7,42 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import decontaminate, langid, mixing, nearcopies, sharding, simhash
-from loomline.llm.common import scratch, table
+from loomline.llm import decontaminate, langid, mixing, sharding, simhash
+from loomline.llm.common import aside, remove, scratch, table
 
 SHARDS = 24
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model recognises; those it rejects go."""
-    found = langid.identify(docs, langid.learn(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language the model recognises; those it rejects go, as do null texts and those without letters.
+
+    Long texts are read whole; repeated rows share their fate, ties go as in the operator. All columns come back as they
+    were, whatever their names; an empty table gives no rows.
+    """
+    own, back = aside(docs, ("lang_pred", "score", "rejected"))
+    return langid.identify(own, langid.learn(docs)).where(~F.col("rejected")).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates at 2 bits, which bounds the groups of the stage of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates: fingerprints of five-word shingles at most 5 of 64 bits apart.
 
+    Of a group the row with the least doc_id stays (null last, ties by text), so of repeated rows one; null and empty
+    texts are one group. All columns come back, whatever their names; an empty table gives no rows.
+    """
+    return simhash.one_of_each(docs, radius=5, segments=3, words=5)
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks. Rows that share a doc_id are one document, those without one are known by their text.
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a Jaccard similarity of 0.8 or more on five-word shingles, most of which 2 bits miss."""
-    return nearcopies.one_of_each(docs)
+    Null and empty texts stay, as do all columns, whatever their names; an empty table gives no rows.
+    """
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for every whole copy, and for a part of at least half a document."""
-    mixed = mixing.mix_by_source(docs)
+    """Documents as often as the mix takes them: a row for every whole copy, and for a part of at least half a document.
+
+    Documents without words stay once. A null source is a source; rows that tie in doc_id share their part. All columns
+    come back, whatever their names; an empty table gives no rows.
+    """
+    own, back = aside(docs, ("size", "sources", "target", "source_size", "taken", "_copy"))
+    mixed = mixing.mix_by_source(own)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    return mixed.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*back)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its slot there."""
+    """Every row with its shard and its slot there, which replace columns of these names; all others are kept.
+
+    Repeated rows and null keys are rows like others; an empty table gives no rows.
+    """
     return sharding.hypergeometric_shards(docs, SHARDS, ["doc_id"])
 
 
@@ -50,7 +64,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language ID", language),
     ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
-    ("near copies on five-word shingles", near_copies),
     ("mixing sources to target weights", mix),
     ("sharding", shards),
 ]
@@ -60,8 +73,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's rows are written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; each one's rows are written as Parquet to the shared folder and read again, and deleted when the next one's are there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir))
+        docs, path = scratch(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
     return docs
