@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import evidence_id, hours_between, iso_utc, micros
+from ..functions.ranks import with_ranks
 from ..params import DEFAULT, Params
 
 
@@ -61,21 +62,8 @@ def session_distribution(sessions: DataFrame, p: Params = DEFAULT) -> DataFrame:
         chain = F.when(F.col("hours") < top, label) if chain is None else chain.when(F.col("hours") < top, label)
     labels = [label for _, label in BUCKETS] + ["8h+"]
     counts = [F.count(F.when(F.col("bucket") == label, 1)).alias(f"n_{i}") for i, label in enumerate(labels)]
-    stats = sessions.withColumn("bucket", chain.otherwise("8h+")).agg(
-        F.count("*").alias("n_sessions"), F.percentile("hours", F.lit(0.5)).alias("median_hours"), F.avg("hours").alias("mean_hours"), F.sum("hours").alias("total_hours"),
-        (F.sum("hours") / p.hours_per_engineer_year).alias("engineer_years"), *counts,
-    )
-    return stats.crossJoin(F.broadcast(floor_rank(sessions, "hours", 0.9, "p90_hours")))
-
-
-def floor_rank(df: DataFrame, value: str, share: float, into: str) -> DataFrame:
-    """The value at index floor(share * (n - 1)) of the sorted values, as one row.
-
-    Found without sorting all rows in one task: an interpolated percentile never lies below it and is at most one
-    value above, so the answer is the largest value not above the percentile.
-    """
-    cut = df.agg(F.percentile(value, F.lit(share)).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col(value) <= F.col("_cut") + 1e-12).agg(F.max(value).alias(into))
+    facts = [F.count("*").alias("n_sessions"), F.avg("hours").alias("mean_hours"), F.sum("hours").alias("total_hours"), (F.sum("hours") / p.hours_per_engineer_year).alias("engineer_years"), *counts]
+    return with_ranks(sessions.withColumn("bucket", chain.otherwise("8h+")), [], "hours", facts, {"median_hours": (0.5, "between"), "p90_hours": (0.9, "floor")}, cells_per_unit=64)
 
 
 def gap_sweep(events: DataFrame, p: Params = DEFAULT) -> DataFrame:

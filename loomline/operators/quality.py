@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, hours_between, is_in
+from ..functions.ranks import with_ranks
 from ..params import DEFAULT, Params
 from .privacy import identity_columns
 
@@ -104,7 +105,7 @@ def umbrellas(items: DataFrame, pull_requests: DataFrame, p: Params = DEFAULT) -
     pull_requests: work_item_id, n_prs.
     """
     spans = items.select("work_item_id", "case_source", (hours_between("opened_at", "closed_at") / 24).alias("days"))
-    median = spans.agg(F.percentile("days", F.lit(0.5)).alias("median"))
+    median = with_ranks(spans, [], "days", [F.count("*").alias("n")], {"median": (0.5, "between")}).select("median")
     limit = F.when(F.col("median") > 0, F.col("median") * p.umbrella_multiple)
     joined = spans.crossJoin(F.broadcast(median)).join(pull_requests, "work_item_id", "left")
     long, many = F.coalesce(F.col("days") > limit, F.lit(False)), F.coalesce(F.col("n_prs") >= p.umbrella_prs, F.lit(False))

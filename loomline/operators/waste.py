@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, floored, is_in, sum_if, suppressed
+from ..functions.ranks import with_ranks
 from ..params import DEFAULT, REVIEWS, Params
 from .cost import cited
 
@@ -28,7 +29,8 @@ def rework_cost(pairs: DataFrame, actors: DataFrame, rates: DataFrame) -> DataFr
 
 def latency_findings(both: DataFrame) -> DataFrame:
     """Per definition: number, median, mean and sum of non-negative latencies."""
-    return both.where("latency_hours >= 0").groupBy("definition").agg(F.count("*").alias("n"), F.percentile("latency_hours", F.lit(0.5)).alias("median_hours"), F.avg("latency_hours").alias("mean_hours"), F.sum("latency_hours").alias("total_hours"))
+    facts = [F.count("*").alias("n"), F.avg("latency_hours").alias("mean_hours"), F.sum("latency_hours").alias("total_hours")]
+    return with_ranks(both.where("latency_hours >= 0"), ["definition"], "latency_hours", facts, {"median_hours": (0.5, "between")})
 
 
 def backlog_segments(backlog: DataFrame) -> DataFrame:
@@ -36,10 +38,8 @@ def backlog_segments(backlog: DataFrame) -> DataFrame:
     waited = backlog.where("backlog_hours >= 0")
     segments = F.array(*[F.struct(F.lit(s).alias("segment"), v.alias("value")) for s, v in (("all", F.lit("all")), ("priority", F.col("priority")), ("issue_type", F.col("issue_type")))])
     long = waited.select("backlog_hours", F.explode(segments).alias("s")).select("backlog_hours", "s.*").where("value is not null and value != ''")
-    w = Window.partitionBy("segment", "value")
-    ranked = long.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("backlog_hours")) - 1})
-    at = F.rint(F.lit(0.9) * (F.col("n") - 1))
-    return ranked.groupBy("segment", "value").agg(F.count("*").alias("n"), F.sum("backlog_hours").alias("total_hours"), F.percentile("backlog_hours", F.lit(0.5)).alias("median_hours"), F.max(F.when(F.col("i") == at, F.col("backlog_hours"))).alias("p90_hours"))
+    ranks = {"median_hours": (0.5, "between"), "p90_hours": (0.9, "nearest")}
+    return with_ranks(long, ["segment", "value"], "backlog_hours", [F.count("*").alias("n"), F.sum("backlog_hours").alias("total_hours")], ranks)
 
 
 def ci_waste(runs: DataFrame) -> DataFrame:

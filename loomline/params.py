@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -13,6 +14,10 @@ ACTIVITIES = (
     "ticket_created", "ticket_started", "ticket_in_review", "ticket_resolved", "ticket_closed", "ticket_reopened", "meeting",
 )
 SOURCES = ("github", "jira", "synthetic")
+# First words of a publisher or address that stand for a missing one.
+PLACEHOLDER = re.compile(r"(?i)(todo|tbd|fill|xxx|change-?me|none|n/?a|unknown|\?)(?![a-z0-9])")
+# Names that are kept for examples and never belong to a source.
+EXAMPLE_HOST = re.compile(r"(?i)https?://([^/]*\.)?(example(\.(org|com|net))?|localhost|[^/]*\.(test|invalid))(?![a-z0-9.-])")
 
 
 @dataclass(frozen=True)
@@ -27,11 +32,14 @@ class Citation:
     def complete(self) -> bool:
         parts = self.retrieved.split("-")
         dated = [len(p) for p in parts] == [4, 2, 2] and all(p.isdigit() for p in parts) and 1 <= int(parts[1]) <= 12 and 1 <= int(parts[2]) <= 31
-        return bool(self.publisher.strip() and self.url.strip() and dated)
+        named = all(part.strip() and not PLACEHOLDER.match(part.strip()) for part in (self.publisher, self.url))
+        return bool(named and dated and re.match(r"https?://[^/\s]+\.[^/\s]+", self.url.strip()) and not EXAMPLE_HOST.match(self.url.strip()))
 
 
 @dataclass(frozen=True)
 class Params:
+    """What results depend on must equal the published rules and figures."""
+
     k: int = 5
     k_fallback: int = 3
     gap_minutes: int = 480
@@ -61,9 +69,9 @@ class Params:
     working_days: int = 230
     hours_per_day: int = 8
     currency: str = "INR"
-    rate_citation: Citation = Citation("salary percentiles", "https://example.org/salaries", "2026-08-09")
+    rate_citation: Citation = Citation("Levels.fyi, salaries of software engineers in India (percentiles, self-reported)", "https://www.levels.fyi/t/software-engineer/locations/india", "2026-08-09")
     ci_per_minute: Decimal | None = Decimal("0.57126")
-    ci_citation: Citation = Citation("published price list", "https://example.org/ci", "2026-08-09")
+    ci_citation: Citation = Citation("GitHub Docs, billing for Actions (standard Linux runner), converted at the ECB reference rate", "https://docs.github.com/en/billing/managing-billing-for-your-products/about-billing-for-github-actions", "2026-08-09")
     grid_kg_per_kwh: Decimal | None = None
     runner_watts: Decimal | None = None
     carbon_citation: Citation = Citation()

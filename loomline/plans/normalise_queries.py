@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import normalise as n
 from ..sources import landing
 from ..sources import sample_payloads as payloads
+from ..streaming import streams
 from .base import Tables, query
 
 ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({c}) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(epoch_us({c}) % 1000000 AS VARCHAR), 6, '0') END || '+00:00'"
@@ -342,6 +345,22 @@ def _(t: Tables) -> DataFrame:
     return landing.upsert_raw(landed(t, 0), landed(t, 1)).withColumn("version", F.split_part("body", F.lit(":"), F.lit(1)))
 
 
+@query("s1_read_landed", "entity_id:s version:s", f"SELECT repo || '#' || number AS entity_id, CASE WHEN number % 3 = 1 THEN '0' ELSE '1' END AS version FROM ({PR}) AS p")
+def _(t: Tables) -> DataFrame:
+    path = f"{streams.shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    both = landing.upsert_raw(landed(t, 0), landed(t, 1))
+    landing.write_raw(both.unionByName(both.withColumn("entity_type", F.lit("other"))), path)
+    return landing.raw(t.spark, path, "github_graphql", "pull_request").withColumn("version", F.split_part("body", F.lit(":"), F.lit(1)))
+
+
+@query("s6_rewritten_sprints", "sprint:i n:i", "SELECT sprint, COUNT(*) AS n FROM work_item GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    path = f"{streams.shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    for _ in range(2):  # a rerun leaves the same rows
+        landing.write_table(t.items.select("work_item_id", "sprint"), path, "sprint")
+    return t.spark.read.parquet(path).groupBy("sprint").agg(F.count("*").alias("n"))
+
+
 @query("s3_changed_only", "key:s", f"SELECT {KEY} AS key FROM (SELECT k, COUNT(*) AS c FROM ev WHERE activity LIKE 'ticket%' GROUP BY 1) WHERE c % 2 = 1")
 def _(t: Tables) -> DataFrame:
     raw = payloads.raw_events(t.spark, t.sf_dir).where("activity like 'ticket%'").groupBy("k").agg(F.count("*").alias("c"))
@@ -349,7 +368,7 @@ def _(t: Tables) -> DataFrame:
     return landing.changed_only(raw.select(key.alias("key"), F.col("c").alias("updated")), raw.where("c % 2 = 0").select(key.alias("key"), F.col("c").alias("updated")))
 
 
-@query("s7_replaced_by_source", "source:s n:i minutes:h", "SELECT CASE WHEN id % 100 = 7 THEN 'observed' ELSE 'synthetic' END AS source, COUNT(*) AS n, SUM(CASE WHEN id % 100 = 7 THEN 30.0 ELSE 90.0 END) AS minutes FROM ev WHERE id % 50 = 7 GROUP BY 1")
+@query("s7_replaced_by_source", "source:s n:i minutes:h", "SELECT CASE WHEN id % 100 = 7 THEN 'observed' ELSE 'synthetic' END AS source, COUNT(*) AS n, SUM(CASE WHEN id % 100 = 7 THEN 30.0 ELSE 90.0 END) AS minutes FROM ev GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     marked = t.meetings.withColumn("source", F.when(F.col("duration_min") == 30, "observed").otherwise("synthetic"))
     new = marked.where("source = 'synthetic'").withColumn("duration_min", F.col("duration_min") * 2)

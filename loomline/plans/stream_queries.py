@@ -14,6 +14,10 @@ def streamed_events(t: Tables) -> DataFrame:
     path = f"{t.sf_dir}/events.parquet"
     # as a pattern, since a plain path would have to be a folder
     e = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(f"{t.sf_dir}/event[s].parquet")
+    return event_columns(e)
+
+
+def event_columns(e: DataFrame) -> DataFrame:
     ci = (F.col("event_type") == "error") & (F.col("event_id") % 2 == 1)
     return e.select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(~ci, F.concat(F.lit("u"), F.col("user_id"))).alias("actor_hash"), F.when(ci, "ci_run").otherwise(F.col("event_type")).alias("activity"))
 
@@ -24,12 +28,7 @@ def _(t: Tables) -> DataFrame:
     return streams.drain(streams.deduplicated(twice)).groupBy("activity").agg(F.count("*").alias("n"))
 
 
-T2 = """
-SELECT actor_hash, started_at, ended_at, n_events FROM spans WHERE gap_minutes = 480
-  AND epoch_us(ended_at) + 28800000001 <= (SELECT (MAX(epoch_us(ts)) - 86400000000) // 1000 * 1000 FROM event_log WHERE activity <> 'ci_run')
-"""
-
-
-@query("t2_streamed_sessions", "actor_hash:s started_at:t ended_at:t n_events:i", T2)
+@query("t2_streamed_sessions", "actor_hash:s started_at:t ended_at:t n_events:i", "SELECT actor_hash, started_at, ended_at, n_events FROM spans WHERE gap_minutes = 480")
 def _(t: Tables) -> DataFrame:
-    return streams.drain(streams.streaming_sessions(streamed_events(t)))
+    closed = streams.drain(streams.streaming_sessions(streamed_events(t)))
+    return closed.unionByName(streams.open_sessions(event_columns(t.raw("events")), closed))

@@ -55,7 +55,7 @@ def _(t: Tables) -> DataFrame:
     return waste.ci_waste_priced(waste.ci_waste_minutes(t.ci_waste))
 
 
-CITED = Params(grid_kg_per_kwh=Decimal("0.71"), runner_watts=Decimal(150), carbon_citation=Citation("grid report", "https://example.org/grid", "2026-01-31"), ci_citation=Citation())
+CITED = Params(grid_kg_per_kwh=Decimal("0.71"), runner_watts=Decimal(150), carbon_citation=Citation("Central Electricity Authority, CO2 baseline database", "https://cea.nic.in/cdm-co2-baseline-database/", "2026-01-31"), ci_citation=Citation())
 
 
 @query("w5_ci_waste_carbon", PRICED, f"SELECT *, total_minutes / 60 AS hours, NULL AS cost, 'ci rate: citation is incomplete' AS cost_reason, ROUND(total_minutes / 60 * 150 / 1000 * 0.71, 3) AS carbon_kg, NULL AS carbon_reason FROM ({MINUTES}) AS m")

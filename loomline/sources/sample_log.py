@@ -107,14 +107,14 @@ def ci_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """meeting_id, work_item_id, ts, duration_min, attendee_count: one for every fiftieth event."""
-    e = raw_events(spark, sf_dir).where(_mod(50) == 7)
+    """meeting_id, work_item_id, ts, duration_min, attendee_count: one for every event."""
+    e = raw_events(spark, sf_dir)
     return e.select(F.concat(F.lit("m"), F.col("id")).alias("meeting_id"), "work_item_id", "ts", F.when(_mod(100) == 7, 30.0).otherwise(45.0).alias("duration_min"), (2 + _mod(5)).cast("int").alias("attendee_count"))
 
 
 def ai_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """usage_id, work_item_id, ts, tokens_in, tokens_out: one for every twentieth event."""
-    e = raw_events(spark, sf_dir).where(_mod(20) == 3)
+    """usage_id, work_item_id, ts, tokens_in, tokens_out: one for every event."""
+    e = raw_events(spark, sf_dir)
     return e.select(F.concat(F.lit("a"), F.col("id")).alias("usage_id"), "work_item_id", "ts", (1000 + _mod(977) * 40).alias("tokens_in"), (200 + _mod(331) * 15).alias("tokens_out"))
 
 

@@ -6,17 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
 from ..sources.landing import upsert_raw, write_raw
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where it is unset, a local session gets a temporary folder and a cluster an error."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-streams-")
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over what is there now into files of the shared checkpoint folder, and read them."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    shared = shared_folder(spark)
     path = f"{shared}/{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -28,21 +36,26 @@ def deduplicated(stream: DataFrame, key: str = "event_id", time: str = "ts", del
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def landed(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at `path`, asked of the file system that the path belongs to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
 def land(path: str) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that merges payloads into the landed table; a repeated batch changes nothing.
 
-    Only the kinds that the batch brings are read and replaced.
+    Only the kinds that the batch brings are read and replaced. An empty batch changes nothing, whether it is the first or a later one.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        kinds = batch.select("source", "entity_type").distinct()
-        try:
-            existing = spark.read.parquet(path).select(batch.columns).join(F.broadcast(kinds), ["source", "entity_type"], "left_semi").select(batch.columns)
-        except Exception as e:  # nothing has landed yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            existing = batch.limit(0)
+        if batch.isEmpty():
+            return
+        existing = batch.limit(0)
+        if landed(spark, path):
+            kinds = batch.select("source", "entity_type").distinct()
+            existing = spark.read.schema(batch.schema).parquet(path).join(kinds, ["source", "entity_type"], "left_semi").select(batch.columns)
         write_raw(upsert_raw(existing, batch).checkpoint(), path)
 
     return merge
@@ -59,3 +72,10 @@ def streaming_sessions(stream: DataFrame, p: Params = DEFAULT, delay: str = "1 d
     return grouped.select("actor_hash", (F.col("session_window.start") - F.expr(f"INTERVAL {p.lead_in_minutes} MINUTES")).alias("started_at"), "ended_at", "n_events")
 
 
+def open_sessions(events: DataFrame, closed: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """At the end of a source, the sessions that the watermark has not passed: those of events after an actor's last closed one."""
+    work = events.where("actor_hash is not null and activity != 'ci_run'")
+    last = closed.groupBy("actor_hash").agg(F.max("ended_at").alias("last_end"))
+    rest = work.join(last, "actor_hash", "left").where("last_end is null or ts > last_end")
+    grouped = rest.groupBy("actor_hash", F.session_window("ts", f"{p.gap_minutes} minutes 1 microsecond")).agg(F.count("*").alias("n_events"), F.max("ts").alias("ended_at"))
+    return grouped.select("actor_hash", (F.col("session_window.start") - F.expr(f"INTERVAL {p.lead_in_minutes} MINUTES")).alias("started_at"), "ended_at", "n_events")

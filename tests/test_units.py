@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import random
+
 import pytest
 from loomline.operators import capacity, cost, effort, normalise, privacy, process, quality, waste
+from loomline.functions.ranks import with_ranks
 from loomline.params import Citation, Params
 from loomline.sources import landing, sample_log
 from loomline.streaming import streams
@@ -70,6 +73,11 @@ def test_rates(spark):
     assert all(r.hourly is None and r.reason for r in uncited)
     with pytest.raises(ValueError):
         cost.rate_card(spark, Params(annual=(*Params().annual[::-1],)))
+    real = ("A statistics office", "https://stats.gov.in/wages", "2026-01-01")
+    assert Citation(*real).complete and Params().rate_citation.complete and Params().ci_citation.complete
+    for i, texts in ((0, ("TODO", "todo: find one", "Fill me", "tbd", "none", " ")), (1, ("TODO", "change-me", "https://example.org/x", "http://www.example.com", "https://localhost/x", "https://a.test/x", "stats.gov.in", ""))):
+        for text in texts:
+            assert not Citation(*(text if j == i else part for j, part in enumerate(real))).complete, text
     assert not Citation("p", "u", "soon").complete and not Citation("p", "u", "2026-13-01").complete
 
 
@@ -236,6 +244,32 @@ def test_landing_is_idempotent_and_pruned(spark, tmp_path):
     assert only.count() == 2 and "PartitionFilters: [isnotnull(source" in only._jdf.queryExecution().toString()
 
 
+def test_empty_batches_change_nothing(spark, tmp_path):
+    schema = "source string, entity_type string, entity_id string, fetched_at timestamp, body string"
+    path, merge = str(tmp_path / "raw"), streams.land(str(tmp_path / "raw"))
+    empty, one = spark.createDataFrame([], schema), spark.createDataFrame([("git", "commit", "1", at(0), "v")], schema)
+    merge(empty, 0)
+    assert not streams.landed(spark, path)
+    for batch in (one, empty, one, empty):
+        merge(batch, 1)
+        assert [(r.entity_id, r.body) for r in spark.read.parquet(path).collect()] == [("1", "v")]
+
+
+def test_exact_ranks(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0.0, 1.5, 2.25, 2.2500001, rng.uniform(-3, 400)])) for g in "abc" for _ in range(rng.choice([1, 2, 9, 60]))]
+    df = spark.createDataFrame([*rows, ("a", None)], "g string, v double")
+    got = {r.g: r for r in with_ranks(df, ["g"], "v", [F.count("*").alias("n")], {"m": (0.5, "between"), "q": (0.9, "nearest"), "f": (0.9, "floor")}).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g)
+        n = len(v) - 1
+        low, high = v[n // 2], v[-(-n // 2)]
+        assert got[g].n == len(v) + (g == "a") and abs(got[g].m - (low + high) / 2) < 1e-9
+        assert got[g].q == v[round(0.9 * n)] and got[g].f == v[int(0.9 * n)]
+    alone = with_ranks(df.limit(0), [], "v", [F.count("*").alias("n")], {"m": (0.5, "between")}).collect()
+    assert not alone or alone[0].m is None
+
+
 def test_streamed_landing(spark, tmp_path):
     schema = "source string, entity_type string, entity_id string, fetched_at timestamp, body string"
     for i in range(2):
