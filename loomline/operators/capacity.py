@@ -94,8 +94,9 @@ def reallocation_grid(capacity: DataFrame, counts: tuple[int, ...] = (1, 2, 3),
     """
     cols = ("repo", "component", "n_engineers", "open_items", "items_per_week", "throughput_cv", "cost", "span_weeks")
     side = capacity.where("n_engineers > 0 and closed_items > 0").select(*cols)
-    source, dest = (side.select(*[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in ("source", "dest"))
-    grid = source.crossJoin(F.broadcast(dest)).withColumn("n", F.explode(F.array(*[F.lit(n) for n in counts])))
+    # the aggregate is computed once: each of its rows is given the list of all, which the grid's size is the square of
+    listed = side.withColumn("dests", F.collect_list(F.struct(*[F.col(c).alias(f"dest_{c}") for c in cols])).over(Window.partitionBy(F.lit(0))))
+    grid = listed.select(*[F.col(c).alias(f"source_{c}") for c in cols], F.inline("dests")).withColumn("n", F.explode(F.array(*[F.lit(n) for n in counts])))
     s, d, n = (lambda c: F.col(f"source_{c}")), (lambda c: F.col(f"dest_{c}")), F.col("n")
     same = (s("repo") == d("repo")) & (s("component") == d("component"))
     refusal = F.when(n <= 0, "count must be at least 1").when(same, "same component").when(n >= s("n_engineers"), "would empty the source").when((s("items_per_week") <= 1e-9) | (d("items_per_week") <= 1e-9), "no observed delivery rate")

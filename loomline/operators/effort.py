@@ -72,9 +72,13 @@ def gap_sweep(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def _swept(events: DataFrame, p: Params) -> DataFrame:
-    keys = ["gap_minutes", "actor_hash"]
-    work = events.select("event_id", "actor_hash", "work_item_id", "activity", "ts", F.explode(F.array(*[F.lit(g) for g in p.gap_sweep])).alias("gap_minutes"))
-    return _sessions(_clustered(work, keys, F.col("gap_minutes")), keys, p)
+    """Sessions at every gap setting: one exchange and order of the events by actor, a running number for each setting."""
+    w = Window.partitionBy("actor_hash").orderBy("ts", "event_id")
+    work = events.where("actor_hash is not null and activity != 'ci_run'").select("actor_hash", "event_id", "ts")
+    gapped = work.withColumn("_gap", micros("ts") - micros(F.lag("ts").over(w)))
+    numbers = [F.sum(F.when(F.col("_gap") > g * 60_000_000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) for g in p.gap_sweep]
+    numbered = gapped.select("actor_hash", "ts", F.array(*[F.struct(F.lit(g).alias("gap_minutes"), n.alias("_session")) for g, n in zip(p.gap_sweep, numbers)]).alias("s"))
+    return _sessions(numbered.select("actor_hash", "ts", F.inline("s")), ["gap_minutes", "actor_hash"], p)
 
 
 def spend_sweep(events: DataFrame, actors: DataFrame, rates: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -215,13 +215,12 @@ def process_map(by_class: DataFrame, k: int, p: Params = DEFAULT, repo: str | No
     kept = by_class.where(~is_in("source_activity", p.excluded_from_map) & ~is_in("target_activity", p.excluded_from_map)) if p.excluded_from_map else by_class
     kept = kept if repo is None else kept.where(F.col("repo") == repo)
     grouped = kept.groupBy("source_activity", "target_activity", "variant_class").agg(F.sum("n_transitions").alias("frequency"), F.sum("cost_rupees").alias("cost_rupees"))
-    edge = Window.partitionBy("source_activity", "target_activity")
-    total = grouped.withColumn("edge_cost", F.sum("cost_rupees").over(edge))
-    top = total.groupBy("source_activity", "target_activity").agg(F.max("edge_cost").alias("c")).orderBy(F.round("c", 4).desc(), "source_activity", "target_activity").limit(k)
-    shown = total.join(F.broadcast(top.drop("c")), ["source_activity", "target_activity"], "left_semi")
-    everything = grouped.agg(F.sum("cost_rupees").alias("all_cost"))
-    covered = shown.agg(F.sum("cost_rupees").alias("shown_cost")).crossJoin(everything).select(F.coalesce(F.col("shown_cost") / F.nullif(F.col("all_cost"), F.lit(0.0)), F.lit(0.0)).alias("coverage"))
-    return shown.drop("edge_cost").crossJoin(F.broadcast(covered))
+    # one pass: windows over the aggregated transitions, of which there are as many as pairs of activities and classes
+    edge, whole = Window.partitionBy("source_activity", "target_activity"), Window.partitionBy(F.lit(0))
+    ranked = grouped.withColumn("edge_cost", F.round(F.sum("cost_rupees").over(edge), 4)).withColumn("place", F.dense_rank().over(whole.orderBy(F.col("edge_cost").desc(), "source_activity", "target_activity")))
+    shown = F.sum(F.when(F.col("place") <= k, F.col("cost_rupees"))).over(whole)
+    covered = F.coalesce(shown / F.nullif(F.sum("cost_rupees").over(whole), F.lit(0.0)), F.lit(0.0))
+    return ranked.withColumn("coverage", covered).where(F.col("place") <= k).drop("edge_cost", "place")
 
 
 def rework_returns(log: DataFrame) -> DataFrame:
