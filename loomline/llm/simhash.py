@@ -189,12 +189,15 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     digest = F.xxhash64(F.coalesce(t, F.lit("")))
     printed = cut(fingerprints(own.select(k.alias("_key"), digest.alias("_hash"), t.alias("_text")), "_text", words=words))
     roots = _roots(printed, radius, segments)
-    rooted = cut(printed.join(roots, "fingerprint").select("_key", "_hash", F.col("root").alias("_root")))
-    order = F.struct(F.col("_key").isNull(), "_key", "_hash")
-    best = rooted.groupBy("_root").agg(F.min(order).alias("_best"))
-    judged = rooted.join(best, "_root").select("_key", "_hash", "_root", (order == F.col("_best")).alias("_best"))
+    order = F.struct(F.col("_key").isNull().alias("_null"), "_key", "_hash")
+    # by fingerprint, then by component, so that no row is dealt by its group; a row stays if its key and text are a winner's
+    firsts = printed.groupBy("fingerprint").agg(F.min(order).alias("_best"))
+    best = firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("_best").alias("_best"))
+    winners = cut(best.select("_best._key", "_best._hash", F.col("root").alias("_root")))
+    named = printed.where(F.col("_key").isNotNull()).select("_key", "_hash")
+    judged = named.join(winners.select("_key", "_hash", F.lit(True).alias("_best")), ["_key", "_hash"], "left")
     # by key: unique ones are kept or dropped at once
-    state = cut(judged.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count("*").alias("_n"), F.bool_and("_best").alias("_best")))
+    state = cut(judged.groupBy("_key").agg(F.count("*").alias("_n"), F.bool_and(F.coalesce("_best", F.lit(False))).alias("_best")))
     out = small(state.where("_n > 1 or not _best").select("_key"))
     kept = own.withColumn("_key", k).join(out, "_key", "left_anti")
     repeated = state.where("_n > 1").select("_key")
@@ -203,9 +206,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
         special = special.unionByName(own.withColumn("_key", k).join(small(repeated), "_key", "left_semi").select(*special.columns))
     kept = kept.where(F.col("_key").isNotNull())
     if not special.isEmpty():
-        bests = judged.where("_best").select("_key", "_hash", "_root").distinct()
         hashed = special.withColumns({"_hash": digest, "_all": F.xxhash64(F.lit(1), *[f"`{c}`" for c in own.columns])})
-        b = bests.select(F.col("_key").alias("_print"), F.col("_hash").alias("_n"), "_root")
+        b = winners.select(F.col("_key").alias("_print"), F.col("_hash").alias("_n"), "_root")
         met = hashed.join(b, F.col("_key").eqNullSafe(F.col("_print")) & (F.col("_hash") == F.col("_n")))
         one = met.withColumn("_best", F.row_number().over(Window.partitionBy("_root").orderBy("_all"))).where("_best = 1")
         kept = kept.select(*back).unionByName(one.select(*back))
