@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import evidence_id, hours_between, iso_utc, micros
@@ -10,12 +10,26 @@ from ..functions.ranks import with_ranks
 from ..params import DEFAULT, Params
 
 
-def _clustered(events: DataFrame, keys: list[str], gap_minutes) -> DataFrame:
-    """Events that count as work, numbered by session: a new one after a gap longer than allowed (an equal one still joins)."""
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    work = events.where("actor_hash is not null and activity != 'ci_run'")
-    gap = micros("ts") - micros(F.lag("ts").over(w))
-    return work.withColumn("_new", F.when(gap > gap_minutes.cast("long") * 60_000_000, 1).otherwise(0)).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def _cells(events: DataFrame, keys: list[str], gap_minutes: int) -> DataFrame:
+    """Events that count as work, counted by actor and by cells of time as wide as the gap, with the first and last time of each.
+
+    Two events of one cell are less than the gap apart, so no session ends within a cell. The events themselves are
+    therefore never ordered, only combined on the map side; an actor has as many cells as its span has gaps, however
+    many events.
+    """
+    width = max(gap_minutes * 60_000_000, 1)
+    work = events.where("actor_hash is not null and activity != 'ci_run'").withColumn("_cell", micros("ts") - F.pmod(micros("ts"), F.lit(width)))
+    return work.groupBy("actor_hash", "_cell", *keys).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.count("*").alias("n_events"))
+
+
+def _number(gap_minutes: int) -> Column:
+    """Running number of a cell's session: a new one after a gap longer than allowed (an equal one still joins)."""
+    w = Window.partitionBy("actor_hash").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(F.when(F.col("_gap") > gap_minutes * 60_000_000, 1).otherwise(0)).over(w)
+
+
+def _gapped(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("_gap", micros("_first") - micros(F.lag("_last").over(Window.partitionBy("actor_hash").orderBy("_cell"))))
 
 
 def _capped(sessions: DataFrame, keys: list[str], p: Params) -> DataFrame:
@@ -24,22 +38,26 @@ def _capped(sessions: DataFrame, keys: list[str], p: Params) -> DataFrame:
     return sessions.withColumn("hours", F.col("raw_hours") * F.when(day > p.cap_hours, F.lit(p.cap_hours) / day).otherwise(1.0))
 
 
-def _sessions(clustered: DataFrame, keys: list[str], p: Params) -> DataFrame:
+def _sessions(cells: DataFrame, keys: list[str], p: Params) -> DataFrame:
     lead = F.expr(f"INTERVAL {p.lead_in_minutes} MINUTES")
-    grouped = clustered.groupBy(*keys, "_session").agg((F.min("ts") - lead).alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("n_events"))
+    grouped = cells.groupBy(*keys, "_session").agg((F.min("_first") - lead).alias("started_at"), F.max("_last").alias("ended_at"), F.sum("n_events").alias("n_events"))
     return _capped(grouped.withColumn("raw_hours", hours_between("started_at", "ended_at")), keys, p)
 
 
 def sessions(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row per actor and session: started_at, ended_at, n_events, raw_hours, hours (capped)."""
-    return _sessions(_clustered(events, ["actor_hash"], F.lit(p.gap_minutes)), ["actor_hash"], p)
+    return _sessions(_gapped(_cells(events, [], p.gap_minutes)).withColumn("_session", _number(p.gap_minutes)), ["actor_hash"], p)
 
 
 def work_sessions(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Sessions split over work items by their share of events, with ids that a rerun repeats."""
-    clustered = _clustered(events, ["actor_hash"], F.lit(p.gap_minutes))
-    per_item = clustered.groupBy("actor_hash", "_session", "work_item_id").agg(F.count("*").alias("n_events"))
-    whole = _sessions(clustered, ["actor_hash"], p).withColumnRenamed("n_events", "n_all")
+    by_item = _cells(events, ["work_item_id"], p.gap_minutes)
+    cells = by_item.groupBy("actor_hash", "_cell").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("n_events").alias("n_events"))
+    numbered = _gapped(cells).withColumn("_session", _number(p.gap_minutes))
+    same = (F.col("i.actor_hash") == F.col("c.actor_hash")) & F.col("i._cell").eqNullSafe(F.col("c._cell"))
+    placed = by_item.alias("i").join(numbered.alias("c"), same).select("i.actor_hash", "_session", "work_item_id", "i.n_events")
+    per_item = placed.groupBy("actor_hash", "_session", "work_item_id").agg(F.sum("n_events").alias("n_events"))
+    whole = _sessions(numbered, ["actor_hash"], p).withColumnRenamed("n_events", "n_all")
     split = per_item.join(whole, ["actor_hash", "_session"])
     return split.select(
         evidence_id("actor_hash", iso_utc("started_at"), "work_item_id").alias("session_id"),
@@ -72,13 +90,11 @@ def gap_sweep(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def _swept(events: DataFrame, p: Params) -> DataFrame:
-    """Sessions at every gap setting: one exchange and order of the events by actor, a running number for each setting."""
-    w = Window.partitionBy("actor_hash").orderBy("ts", "event_id")
-    work = events.where("actor_hash is not null and activity != 'ci_run'").select("actor_hash", "event_id", "ts")
-    gapped = work.withColumn("_gap", micros("ts") - micros(F.lag("ts").over(w)))
-    numbers = [F.sum(F.when(F.col("_gap") > g * 60_000_000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) for g in p.gap_sweep]
-    numbered = gapped.select("actor_hash", "ts", F.array(*[F.struct(F.lit(g).alias("gap_minutes"), n.alias("_session")) for g, n in zip(p.gap_sweep, numbers)]).alias("s"))
-    return _sessions(numbered.select("actor_hash", "ts", F.inline("s")), ["gap_minutes", "actor_hash"], p)
+    """Sessions at every gap setting: cells of the shortest gap serve all settings, with a running number for each."""
+    gapped = _gapped(_cells(events, [], min(p.gap_sweep)))
+    numbers = F.array(*[F.struct(F.lit(g).alias("gap_minutes"), _number(g).alias("_session")) for g in p.gap_sweep])
+    numbered = gapped.withColumn("s", numbers).select("actor_hash", "_first", "_last", "n_events", F.inline("s"))
+    return _sessions(numbered, ["gap_minutes", "actor_hash"], p)
 
 
 def spend_sweep(events: DataFrame, actors: DataFrame, rates: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -35,6 +35,30 @@ def test_gap_is_exclusive(spark, minutes, n):
     assert effort.sessions(commits(spark, minutes), Params(gap_minutes=90)).count() == n
 
 
+@pytest.mark.parametrize("gap", [0, 7, 90])
+def test_sessions_against_a_walk_over_the_events(spark, gap):
+    rng = random.Random(gap)
+    long_ago = -40_000_000  # minutes: cells before 1970 as well
+    rows = [(rng.choice("xyz"), rng.choice("aab"), "commit", rng.choice((0, long_ago)) + rng.randrange(3_000)) for _ in range(600)]
+    rows += [("x", "a", "ci_run", 5), ("x", None, "commit", 6)]
+    p = Params(gap_minutes=gap, lead_in_minutes=0)
+    want, items = [], []
+    for actor in "ab":
+        groups: list[list] = []
+        for case, _, _, m in sorted((r for r in rows if r[1] == actor and r[2] != "ci_run"), key=lambda r: r[3]):
+            if groups and m - groups[-1][-1][1] <= gap:
+                groups[-1].append((case, m))
+            else:
+                groups.append([(case, m)])
+        want += [(actor, at(g[0][1]), at(g[-1][1]), len(g)) for g in groups]
+        items += [(actor, at(g[0][1]), c, sum(x == c for x, _ in g)) for g in groups for c in {x for x, _ in g}]
+    df = events(spark, rows)
+    assert sorted(map(tuple, effort.sessions(df, p).select("actor_hash", "started_at", "ended_at", "n_events").collect())) == sorted(want)
+    assert sorted(map(tuple, effort.work_sessions(df, p).select("actor_hash", "started_at", "work_item_id", "n_events").collect())) == sorted(items)
+    swept = {r.gap_minutes: r.n_sessions for r in effort.gap_sweep(df, Params(gap_sweep=(gap, 500), lead_in_minutes=0)).collect()}
+    assert swept[gap] == len(want) and swept[500] == effort.sessions(df, Params(gap_minutes=500)).count()
+
+
 def test_lead_in(spark):
     assert effort.sessions(commits(spark, [0, 60]), Params(lead_in_minutes=30)).first().hours == pytest.approx(1.5)
 
