@@ -68,7 +68,7 @@ def window_counts(prs: DataFrame, cutoff: str) -> DataFrame:
 
 def ticket_key(prs: DataFrame, projects: DataFrame) -> DataFrame:
     """The first valid key in title, branch or body, and the field it is in. projects(repo, project): whose keys are valid where."""
-    prs = prs.join(F.broadcast(projects), "repo", "left")
+    prs = prs.join(projects, "repo", "left")
 
     def first(field: str) -> Column:
         found = F.regexp_extract_all(F.coalesce(F.col(field), F.lit("")), F.lit(TICKET), F.lit(1))
@@ -102,7 +102,7 @@ def commit_case(commits: DataFrame, projects: DataFrame) -> DataFrame:
     """A commit's case: a valid ticket at the beginning of the subject, the pull request at its end, else repo@sha."""
     key = F.nullif(F.regexp_extract("subject", LEADING_TICKET, 1), F.lit(""))
     pr = F.nullif(F.regexp_extract("subject", TRAILING_PR, 1), F.lit(""))
-    known = commits.join(F.broadcast(projects), "repo", "left").withColumn("ticket", F.when(F.split_part(key, F.lit("-"), F.lit(1)) == F.col("project"), key)).drop("project")
+    known = commits.join(projects, "repo", "left").withColumn("ticket", F.when(F.split_part(key, F.lit("-"), F.lit(1)) == F.col("project"), key)).drop("project")
     case = F.coalesce("ticket", F.when(pr.isNotNull(), F.concat_ws("#", F.col("repo"), pr)), F.concat_ws("@", F.col("repo"), F.substring("sha", 1, 12)))
     return known.withColumns({"work_item_id": case, "case_source": F.when(F.col("ticket").isNotNull(), "ticket_key").otherwise("pr")})
 
@@ -220,7 +220,7 @@ def ticket_events(issues: DataFrame, changelogs: DataFrame) -> tuple[DataFrame,
 
 def tickets(issues: DataFrame, projects: DataFrame) -> DataFrame:
     """The case of each issue whose project has a repository."""
-    known = issues.withColumn("project", F.split_part("key", F.lit("-"), F.lit(1))).join(F.broadcast(projects), "project")
+    known = issues.withColumn("project", F.split_part("key", F.lit("-"), F.lit(1))).join(projects, "project")
     f = F.col("fields")
     return known.select(
         F.col("key").alias("work_item_id"), "repo", F.lit("issue").alias("case_source"), F.col("key").alias("jira_key"), F.try_element_at(f["components"], F.lit(1))["name"].alias("component"),
@@ -262,7 +262,7 @@ def repair_cases(events: DataFrame, items: DataFrame, runs: DataFrame, projects:
     """
     project = F.split_part("work_item_id", F.lit("-"), F.lit(1))
     valid = projects.select(F.col("project").alias("_p")).distinct()
-    bad = items.where("case_source = 'ticket_key'").withColumn("_p", project).join(F.broadcast(valid), "_p", "left_anti").select("work_item_id", "repo").withColumnRenamed("repo", "_repo")
+    bad = items.where("case_source = 'ticket_key'").withColumn("_p", project).join(valid, "_p", "left_anti").select("work_item_id", "repo").withColumnRenamed("repo", "_repo")
     known = events.join(bad, "work_item_id", "left")
     target = F.when(F.col("attrs.pr_number").isNotNull(), F.concat_ws("#", "_repo", F.col("attrs.pr_number"))).when(F.col("attrs.sha").isNotNull(), F.concat_ws("@", F.col("_repo"), F.substring("attrs.sha", 1, 12)))
     moved = known.where(~((F.col("activity") == "ci_run") & F.col("_repo").isNotNull())).withColumn("work_item_id", F.when(F.col("_repo").isNotNull(), F.coalesce(target, F.col("work_item_id"))).otherwise(F.col("work_item_id"))).select(*events.columns)

@@ -45,7 +45,7 @@ def requirements(openings: DataFrame, taxonomy: DataFrame, languages: DataFrame)
     known = openings.withColumn("_stated", F.filter(F.coalesce("required_skills", F.array().cast("array<string>")), lambda s: F.trim(s) != ""))
     hits = known.select("opening_id", "component").join(F.broadcast(taxonomy), F.lower(F.col("component")).contains(F.col("token")))
     best = hits.groupBy("opening_id").agg(F.max_by(F.struct("skills", "areas"), F.struct(F.length("token"), F.col("token"))).alias("b"))
-    joined = known.join(best, "opening_id", "left").join(F.broadcast(languages), "repo", "left")
+    joined = known.join(best, "opening_id", "left").join(languages, "repo", "left")
     none = F.array().cast("array<string>")
     derived = F.array_distinct(F.concat(F.coalesce("b.skills", none), F.coalesce("languages", none)))
     stated = F.size("_stated") > 0
@@ -65,10 +65,10 @@ def _share(hits: Column, of: Column, empty: float) -> Column:
 def fit_scores(candidates: DataFrame, required: DataFrame) -> DataFrame:
     """Every candidate against every opening: why they are not eligible (null: they are), sub-scores, contributions and score.
 
-    Openings are a small table; each candidate meets each of them.
+    Each candidate meets each opening, so the result has that many rows; Spark broadcasts the openings where they are small.
     """
     r = required.select("opening_id", F.col("component").alias("target"), "required_skills", F.col("work_areas").alias("areas"), F.col("shift").alias("wanted_shift"), F.col("availability").alias("wanted_days"))
-    pairs = candidates.crossJoin(F.broadcast(r))
+    pairs = candidates.crossJoin(r)
     have, wanted = norms("skills"), F.col("required_skills")
     matched = F.filter(wanted, lambda s: F.array_contains(have, norm(s)))
     corpus = norm(F.array_join(F.concat("projects", "experience"), " "))
@@ -128,7 +128,7 @@ def fit_points(scores: DataFrame) -> DataFrame:
 def opportunities(candidates: DataFrame, required: DataFrame, threshold: int = 50) -> DataFrame:
     """Openings from an employee's side: skills (18 each, 45 at most), place, shift and days; above the threshold or not."""
     r = required.select("opening_id", F.concat_ws("/", "repo", F.col("component")).alias("component_key"), F.col("location").alias("place"), "required_skills", F.col("shift").alias("wanted_shift"), F.col("availability").alias("wanted_days"))
-    pairs = candidates.crossJoin(F.broadcast(r))
+    pairs = candidates.crossJoin(r)
     have = norms("skills")
     wanted = norms("required_skills")
     n_skills = F.size(F.filter(have, lambda s: F.array_contains(wanted, s)))
