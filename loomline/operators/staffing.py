@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import measured
+
 # Weights of the five sub-scores, and the years that count as full experience.
 WEIGHTS = (("skill", 0.35), ("experience", 0.25), ("preference", 0.20), ("availability", 0.10), ("familiarity", 0.10))
 FULL_YEARS, AREA_SHARE, SHIFT_SHARE, FLEXIBLE = 6.0, 0.6, 0.4, 0.85
@@ -65,10 +67,10 @@ def _share(hits: Column, of: Column, empty: float) -> Column:
 def fit_scores(candidates: DataFrame, required: DataFrame) -> DataFrame:
     """Every candidate against every opening: why they are not eligible (null: they are), sub-scores, contributions and score.
 
-    Each candidate meets each opening, so the result has that many rows; Spark broadcasts the openings where they are small.
+    Each candidate meets each opening, so the result has that many rows; the openings are broadcast if they measure small.
     """
     r = required.select("opening_id", F.col("component").alias("target"), "required_skills", F.col("work_areas").alias("areas"), F.col("shift").alias("wanted_shift"), F.col("availability").alias("wanted_days"))
-    pairs = candidates.crossJoin(r)
+    pairs = candidates.crossJoin(measured(r))
     have, wanted = norms("skills"), F.col("required_skills")
     matched = F.filter(wanted, lambda s: F.array_contains(have, norm(s)))
     corpus = norm(F.array_join(F.concat("projects", "experience"), " "))
@@ -128,7 +130,7 @@ def fit_points(scores: DataFrame) -> DataFrame:
 def opportunities(candidates: DataFrame, required: DataFrame, threshold: int = 50) -> DataFrame:
     """Openings from an employee's side: skills (18 each, 45 at most), place, shift and days; above the threshold or not."""
     r = required.select("opening_id", F.concat_ws("/", "repo", F.col("component")).alias("component_key"), F.col("location").alias("place"), "required_skills", F.col("shift").alias("wanted_shift"), F.col("availability").alias("wanted_days"))
-    pairs = candidates.crossJoin(r)
+    pairs = candidates.crossJoin(measured(r))
     have = norms("skills")
     wanted = norms("required_skills")
     n_skills = F.size(F.filter(have, lambda s: F.array_contains(wanted, s)))
