@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, floored, is_in, micros, suppressed
+from ..functions.ranks import with_ranks
 from ..params import DEFAULT, REVIEWS, Params
 
 
@@ -15,14 +16,15 @@ def forecast_cycle_time(cycles: DataFrame, p: Params = DEFAULT) -> DataFrame:
     Outliers are left out and counted. A group of too few samples takes its repository's figures, or else all of them.
     """
     kept = F.col("cycle_hours") <= p.max_cycle_hours
-    value = F.when(kept, F.col("cycle_hours"))
-    quantiles = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")
-    facts = [quantiles, count_if(kept).alias("n"), count_if(~kept).alias("out")]
-    positive = cycles.where("cycle_hours > 0")
-    own = positive.groupBy("repo", "component").agg(*facts)
-    repo = positive.groupBy("repo").agg(*facts).select("repo", *[F.col(c).alias(f"repo_{c}") for c in ("q", "n", "out")])
-    whole = positive.agg(*facts).select(*[F.col(c).alias(f"all_{c}") for c in ("q", "n", "out")])
-    joined = own.join(repo, "repo").crossJoin(F.broadcast(whole))
+    places = F.array(F.array("repo", "component"), F.array("repo"), F.array().cast("array<string>"))
+    long = cycles.where("cycle_hours > 0").select(F.when(kept, F.col("cycle_hours")).alias("hours"), kept.alias("kept"), F.explode(places).alias("place"))
+    facts = [count_if(F.col("kept")).alias("n"), count_if(~F.col("kept")).alias("out")]
+    found = with_ranks(long, ["place"], "hours", facts, {"p10": (0.1, "between"), "p50": (0.5, "between"), "p90": (0.9, "between")})
+    known = found.select("place", F.get("place", F.lit(0)).alias("repo"), F.get("place", F.lit(1)).alias("component"), F.array("p10", "p50", "p90").alias("q"), "n", "out")
+    figures = F.struct("q", "n", "out")
+    # there are few groups, so the windows that give each its repository's and the overall figures are cheap
+    joined = known.withColumns({"in_repo": F.max(F.when(F.size("place") == 1, figures)).over(Window.partitionBy("repo")), "in_all": F.max(F.when(F.size("place") == 0, figures)).over(Window.partitionBy(F.lit(0)))})
+    joined = joined.where("size(place) = 2 and repo is not null").select("repo", "component", "q", "n", "out", *[F.col(f"in_{w}")[c].alias(f"{w}_{c}") for w in ("repo", "all") for c in ("q", "n", "out")])
     basis = F.when((F.col("n") >= p.min_group_samples) & F.col("component").isNotNull(), "component").when(F.col("repo_n") >= p.min_group_samples, "repo").otherwise("global")
 
     def pick(c: str) -> Column:

@@ -79,7 +79,9 @@ def waste_by_project(pairs: DataFrame, actors: DataFrame, rates: DataFrame, item
     money = "decimal(18,2)"
     rework = _priced_pairs(pairs, actors, rates).join(places, "work_item_id").groupBy("repo", "component").agg(F.count("*").alias("n_items"), F.sum("gap_hours").alias("hours"), F.round(F.sum("pair_cost"), 2).cast(money).alias("cost"))
     meeting = case_cost.where("meeting_cost > 0").groupBy("repo", "component").agg(F.count("*").alias("n_items"), F.lit(0.0).alias("hours"), F.sum("meeting_cost").cast(money).alias("cost"))
-    latency = both.where("definition = 'pr_opened_to_first_review'").join(places, "work_item_id").groupBy("repo", "component").agg(F.count("*").alias("n_items"), F.percentile("latency_hours", F.lit(0.5)).alias("hours"), F.lit(None).cast(money).alias("cost"))
+    reviewed = both.where("definition = 'pr_opened_to_first_review'").join(places, "work_item_id").withColumn("place", F.array("repo", "component"))
+    latency = with_ranks(reviewed, ["place"], "latency_hours", [F.count("*").alias("n_items")], {"hours": (0.5, "between")})
+    latency = latency.select(F.col("place")[0].alias("repo"), F.col("place")[1].alias("component"), "n_items", "hours", F.lit(None).cast(money).alias("cost"))
     rate, _ = cited(p.ci_per_minute, p.ci_citation, "ci rate")
     ci = wasted.groupBy("repo").agg(F.count("*").alias("n_items"), (F.sum("runner_minutes") / 60.0).alias("hours"), F.sum("runner_minutes").alias("m"))
     ci = ci.select("repo", F.lit(None).cast("string").alias("component"), "n_items", "hours", F.round(F.col("m").cast("decimal(18,3)") * rate, 2).cast(money).alias("cost"))
