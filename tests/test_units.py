@@ -8,6 +8,7 @@ import random
 
 import pytest
 from loomline.operators import capacity, cost, effort, normalise, privacy, process, quality, waste
+from loomline.functions.joins import measured
 from loomline.functions.ranks import with_ranks
 from loomline.params import Citation, Params
 from loomline.sources import landing, sample_log
@@ -59,6 +60,23 @@ def test_sessions_against_a_walk_over_the_events(spark, gap):
     assert swept[gap] == len(want) and swept[500] == effort.sessions(df, Params(gap_minutes=500)).count()
 
 
+def test_forecast_of_unnamed_components_and_repositories(spark):
+    rows = [("r", None, float(h)) for h in range(1, 6)] + [("r", "c", 10.0), ("r", "c", 9000.0), (None, "c", 500.0), ("s", "d", -1.0)]
+    df = spark.createDataFrame(rows, "repo string, component string, cycle_hours double")
+    got = {(r.repo, r.component): r for r in capacity.forecast_cycle_time(df, Params(min_group_samples=6)).collect()}
+    assert set(got) == {("r", None), ("r", "c")}
+    assert all(r.basis == "repo" and r.n_samples == 6 and r.n_excluded == 1 and r.p50_hours == pytest.approx(3.5) for r in got.values())
+    whole = capacity.forecast_cycle_time(df, Params(min_group_samples=7)).first()
+    assert (whole.basis, whole.n_samples, whole.p50_hours) == ("global", 7, pytest.approx(4.0))
+    assert capacity.forecast_cycle_time(df.limit(0)).collect() == []
+
+
+def test_only_small_sides_are_broadcast(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', 100) AS t")
+    hinted = [measured(df, *bounds)._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") for bounds in ((10, 2000), (9, 2000), (10, 1000))]
+    assert hinted == [1, 0, 0] and measured(df.limit(0)).count() == 0
+
+
 def test_lead_in(spark):
     assert effort.sessions(commits(spark, [0, 60]), Params(lead_in_minutes=30)).first().hours == pytest.approx(1.5)
 
