@@ -11,7 +11,7 @@ def with_ranks(df: DataFrame, keys: list[str], value: str, facts: list[Column],
 
     Two passes. Rows are counted by cells of equal width, and the running counts of the cells, of which there are as
     many as the range of values needs, tell in which cells the wanted places lie. Only the distinct values in these cells are ordered.
-    Groups are those of rows with non-null keys; null values count in the facts only.
+    Groups are those of rows with non-null keys; null values count in the facts only. Without facts, groups that have no value are left out.
     """
     by = keys or ["_all"]
     own = df if keys else df.withColumn("_all", F.lit(0))
@@ -38,5 +38,7 @@ def with_ranks(df: DataFrame, keys: list[str], value: str, facts: list[Column],
         ends = [value_at(p) for p in places(share, rule)]
         part = F.max(F.lit(share) * (F.col("_total") - 1) - F.floor(F.lit(share) * (F.col("_total") - 1)))
         found.append((ends[0] + (ends[1] - ends[0]) * part if rule == "between" else ends[0]).alias(name))
-    out = own.groupBy(*by).agg(*facts).join(placed.groupBy(*by).agg(*found), by, "left")
+    out = placed.groupBy(*by).agg(*found)
+    if facts:
+        out = own.groupBy(*by).agg(*facts).join(out, by, "left")
     return out if keys else out.drop("_all")

@@ -145,11 +145,11 @@ def edges(moves: DataFrame, items: DataFrame, case_cost: DataFrame) -> DataFrame
     """Directly-follows edges by repository with their median gap and the cost of all cases that took them, each case once."""
     key = ["repo", "source_activity", "target_activity"]
     labelled = moves.where("target_activity is not null").join(items.select("work_item_id", "repo"), "work_item_id")
-    by_case = labelled.select(*key, "work_item_id").distinct()
+    by_case = labelled.dropna(subset=key).groupBy(*key, "work_item_id").agg(F.count("*").alias("n"))
     exposed = by_case.join(case_cost.select("work_item_id", "total_cost"), "work_item_id", "left").groupBy(*key)
-    exposed = exposed.agg(F.count("*").alias("n_cases"), F.sum(F.coalesce("total_cost", F.lit(0).cast("decimal(18,2)"))).alias("case_cost_exposure"))
-    gaps = with_ranks(labelled, key, "gap_hours", [F.count("*").alias("n_transitions")], {"median_gap_hours": (0.5, "between")})
-    return gaps.join(exposed, key)
+    exposed = exposed.agg(F.sum("n").alias("n_transitions"), F.count("*").alias("n_cases"), F.sum(F.coalesce("total_cost", F.lit(0).cast("decimal(18,2)"))).alias("case_cost_exposure"))
+    gaps = with_ranks(labelled, key, "gap_hours", [], {"median_gap_hours": (0.5, "between")})
+    return exposed.join(gaps, key, "left")
 
 
 def significant_edges(edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
