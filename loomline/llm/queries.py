@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, mixing, pii, simhash, winnow
+from . import chat, decontaminate, langid, licenses, mixing, pii, sentencepieces, simhash, winnow
 from .common import cut, table
 from .sharding import hypergeometric_shards
 from .token_counts import narrow_token_counts
 
 
-def vocabulary() -> str:
-    """The public vocabulary file; its place is a parameter of the operator."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; its place is a parameter of the operator."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_chat_formatting, op5_personal_data, op6_simhash, op7_mixing, op8_language_id, op9_license_scan, op10_decontamination)
+    for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_chat_formatting, op5_personal_data, op6_simhash, op7_mixing, op8_language_id, op9_license_scan, op10_decontamination, op13_sentencepiece)
 }
 
 #: Containment of an item's word 5-grams, for items of five words and more, by brute force.
