@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, mixing, pii, sentencepieces, simhash, winnow
+from . import chat, decontaminate, langid, licenses, mixing, pii, sentencepieces, simhash, vector_codes, winnow
 from .common import cut, table
 from .sharding import hypergeometric_shards
 from .token_counts import narrow_token_counts
@@ -78,13 +78,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_chat_formatting, op5_personal_data, op6_simhash, op7_mixing, op8_language_id, op9_license_scan, op10_decontamination, op13_sentencepiece)
+    for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_chat_formatting, op5_personal_data, op6_simhash, op7_mixing, op8_language_id, op9_license_scan, op10_decontamination, op12_vector_codes, op13_sentencepiece)
 }
 
 #: Containment of an item's word 5-grams, for items of five words and more, by brute force.
@@ -119,4 +124,34 @@ SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op10_decontamination": OP10}
+
+
+def op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Codebooks by plain arithmetic: every part against every entry, component by component."""
+
+    def assigned(i: int) -> str:
+        return f"""
+a{i} AS (
+  SELECT part, vec_id, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT x.part, x.vec_id, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM pieces AS x JOIN b{i} AS b ON b.part = x.part AND b.at = x.at GROUP BY x.part, x.vec_id, b.entry)
+  GROUP BY part, vec_id),"""
+
+    moved = "".join(
+        f"""{assigned(i)}
+m{i} AS (SELECT x.part, a.entry, x.at, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM pieces AS x JOIN a{i} AS a ON a.part = x.part AND a.vec_id = x.vec_id GROUP BY x.part, a.entry, x.at),
+b{i + 1} AS (SELECT b.part, b.entry, b.at, COALESCE(m.v, b.v) AS v FROM b{i} AS b LEFT JOIN m{i} AS m ON m.part = b.part AND m.entry = b.entry AND m.at = b.at),"""
+        for i in range(rounds)
+    )
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // {parts} AS width
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS at, v[i] AS v FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part, at ORDER BY vec_id) - 1 AS entry, at, v FROM pieces WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),{moved}{assigned(rounds)}
+whole AS (SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, at)) FROM b{rounds}) AS codebooks_sha256
+FROM whole JOIN kept USING (vec_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op10_decontamination": OP10, "op12_vector_codes": op12_sql()}
