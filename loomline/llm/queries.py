@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, mixing, pii, sentencepieces, simhash, vector_codes, winnow
+from . import chat, conversation_trie, decontaminate, langid, licenses, mixing, pii, sentencepieces, simhash, vector_codes, winnow
 from .common import cut, table
 from .sharding import hypergeometric_shards
 from .token_counts import narrow_token_counts
@@ -78,6 +78,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
@@ -89,7 +93,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_chat_formatting, op5_personal_data, op6_simhash, op7_mixing, op8_language_id, op9_license_scan, op10_decontamination, op12_vector_codes, op13_sentencepiece)
+    for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_chat_formatting, op5_personal_data, op6_simhash, op7_mixing, op8_language_id, op9_license_scan, op10_decontamination, op11_prefix_trie, op12_vector_codes, op13_sentencepiece)
 }
 
 #: Containment of an item's word 5-grams, for items of five words and more, by brute force.
@@ -125,6 +129,33 @@ FROM turns GROUP BY conv_id
 """
 
 
+#: Nodes as lists of turns; what a subtree holds is summed by every node's ancestors.
+OP11 = r"""
+WITH ordered AS (
+  SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS at
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY at) AS turns FROM ordered GROUP BY conv_id),
+bits AS (SELECT conv_id, list(b ORDER BY i) AS code FROM (SELECT conv_id, i, ord(substr(CAST(conv_id AS VARCHAR), i, 1)) AS b FROM (SELECT conv_id, unnest(range(1, length(CAST(conv_id AS VARCHAR)) + 1)) AS i FROM own)) GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, code), lambda crc, b:
+    list_reduce([xor(crc, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT conv_id, list_transform(code, lambda x: CAST(x AS BIGINT)) AS code FROM bits)),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(COALESCE(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+  FROM own AS o JOIN hashed USING (conv_id) LEFT JOIN own AS b ON b.conv_id = o.conv_id - o.conv_id % 20),
+members AS (SELECT conv_id, d AS depth, turns[1:d] AS path, d = len(turns) AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM members GROUP BY path, depth),
+born AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+sized AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM nodes AS n LEFT JOIN born AS b ON b.path = n.path),
+above AS (SELECT path[1:d] AS path, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM sized) GROUP BY ALL)
+SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, a.n_leaves, a.saved_tokens, s.ends_sha256
+FROM sized AS s JOIN above AS a ON a.path = s.path LEFT JOIN nodes AS p ON s.depth > 0 AND p.path = s.path[1:s.depth - 1]
+"""
+
 
 def op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """Codebooks by plain arithmetic: every part against every entry, component by component."""
@@ -154,4 +185,4 @@ FROM whole JOIN kept USING (vec_id)
 """
 
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op10_decontamination": OP10, "op12_vector_codes": op12_sql()}
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op10_decontamination": OP10, "op11_prefix_trie": OP11, "op12_vector_codes": op12_sql()}
