@@ -54,16 +54,25 @@ class Pieces:
         self.surfaces = [surface[p.type](p.piece) for p in model.pieces]
         self.is_byte = [p.type == BYTE for p in model.pieces]
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
-        self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
-        self.automaton.make_automaton()
         self.longest = max(map(len, self.ids))
-        self.stretch = re.compile(self._stretch_pattern(), re.S)
-        self.stretches: dict[str, array] = {}
+        self.stretches = Stretches(self, max_stretches)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.shorts: dict[str, str] = {}
-        self.max_stretches, self.max_pairs = max_stretches, max_pairs
+        self.max_pairs = max_pairs
+
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds every place of every piece of two characters and more; gives their lengths."""
+        out = ahocorasick.Automaton()
+        for p in self.ids:
+            if len(p) > 1:
+                out.add_word(p, len(p))
+        out.make_automaton()
+        return out
+
+    @functools.cached_property
+    def stretch(self) -> re.Pattern:
+        return re.compile(self._stretch_pattern(), re.S)
 
     def _stretch_pattern(self) -> str:
         """An expression for the longest runs of characters that pieces can reach across.
@@ -127,9 +136,8 @@ class Pieces:
     def split(self, text: str) -> list[str]:
         """The pieces of one stretch; a character that is no piece stands for itself."""
         longest = bytearray(b"\1") * len(text) if self.longest < 256 else array("L", [1]) * len(text)
-        for end, size in self.automaton.iter(text):
-            if size > longest[end - size + 1]:
-                longest[end - size + 1] = size
+        for end, size in self.automaton.iter(text):  # later ends are those of longer pieces
+            longest[end - size + 1] = size
         failed, any_failed = bytearray(len(text) // 8 + 1), False
         out: list[str] = []
         known, fits, at, piece, before = self.pairs.get, self.fits, 0, text[: longest[0]], ""
@@ -151,27 +159,29 @@ class Pieces:
                 piece = self.shorter(piece)
         return out
 
-    def _stretch(self, text: str) -> array:
-        ids = array("i")
-        for piece in self.split(text):
+    def encoded(self, stretch: str) -> bytes:
+        """The ids of one stretch, four bytes each."""
+        ids: list[int] = []
+        for piece in self.split(stretch):
             i = self.ids.get(piece)
-            ids.extend((i,) if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")])
-        if len(text) <= 32:
-            if len(self.stretches) >= self.max_stretches:
-                self.stretches.clear()
-            self.stretches[text] = ids
-        return ids
-
-    def encode(self, text: str, into: array) -> None:
-        """Append the ids of a whole text to `into`."""
-        if text:
-            get, new, extend = self.stretches.get, self._stretch, into.extend
-            for s in self.stretch.findall(self.prefix + text.replace(" ", SPACE)):
-                extend(get(s) or new(s))
+            if i is None:
+                ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            else:
+                ids.append(i)
+        return array("i", ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text, four bytes each."""
+        if not text:
+            return b""
+        return b"".join(map(self.stretches.__getitem__, self.stretch.findall(self.prefix + text.replace(" ", SPACE))))
+
+    def known(self, ids: list[int | None]) -> list[int]:
+        """Null ids are passed over, ids outside the vocabulary are unknown."""
+        return [i if 0 <= i < len(self.surfaces) else self.unknown for i in ids if i is not None]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: the blank put in front is taken away again, and each byte that is part of no character becomes U+FFFD."""
-        ids = [i if 0 <= i < len(self.surfaces) else self.unknown for i in ids if i is not None]
+        """The text of known ids: the blank put in front is taken away again, and each byte that is part of no character becomes U+FFFD."""
         data = b"".join(map(self.surfaces.__getitem__, ids))
         first = next((i for i in ids if i not in self.controls), None)
         skip = 1 if self.prefix and first in self.marked else 0
@@ -191,6 +201,24 @@ class Pieces:
         return "".join([*out, characters(held)])
 
 
+class Stretches(dict):
+    """Encodings of stretches that were met, short ones kept; when there are too many, those not used since the last time go."""
+
+    def __init__(self, model: Pieces, most: int):
+        self.model, self.most, self.older = model, most, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        out = self.older.get(stretch)
+        if out is None:
+            out = self.model.encoded(stretch)
+        if len(stretch) <= 32:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
+                self.clear()
+            self[stretch] = out
+        return out
+
+
 def characters(data: bytes) -> str:
     """UTF-8 bytes as text, one U+FFFD for each byte that is not part of a whole character."""
     out, at = [], 0
@@ -228,17 +256,17 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids", batc
         model = pieces(path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            begin, ends, ids, size = 0, [0], array("i"), 0
+            begin, found, size = 0, [], 0
             for n, t in enumerate(texts, 1):
                 whole = t.as_py() or ""
-                model.encode(whole, ids)
-                ends.append(len(ids))
+                found.append(model.encode(whole))
                 size += len(whole)
                 if size >= batch_chars or n == len(texts):
-                    column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+                    ends = np.cumsum([0, *map(len, found)]) // 4
+                    column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
                     part = batch.slice(begin, n - begin)
                     yield pa.RecordBatch.from_arrays([*part.columns, column], [*batch.schema.names, into])
-                    begin, ends, ids, size = n, [0], array("i"), 0
+                    begin, found, size = n, [], 0
 
     return df.mapInArrow(run, extended(df.schema, f"`{into}` array<int>"))
 
@@ -253,7 +281,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            texts = [model.decode(i.as_py() or []) for i in batch.column(batch.schema.get_field_index(ids))]
+            column = batch.column(batch.schema.get_field_index(ids)).fill_null([])
+            values, ends = column.flatten(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+            own = values.fill_null(-1).to_numpy()
+            if values.null_count or (len(own) and (own.min() < 0 or own.max() >= len(model.surfaces))):
+                texts = [model.decode(model.known(values[a:b].to_pylist())) for a, b in zip(ends[:-1], ends[1:])]
+            else:
+                texts = [model.decode(own[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     return df.mapInArrow(run, extended(df.schema, f"`{into}` string"))
