@@ -107,9 +107,13 @@ def commit_case(commits: DataFrame, projects: DataFrame) -> DataFrame:
     return known.withColumns({"work_item_id": case, "case_source": F.when(F.col("ticket").isNotNull(), "ticket_key").otherwise("pr")})
 
 
+def top_folder(path: Column) -> Column:
+    return F.when(F.contains(path, F.lit("/")), F.split_part(path, F.lit("/"), F.lit(1))).otherwise(ROOT)
+
+
 def component(files: str | Column) -> Column:
     """The top folder of most files, the alphabetically first on ties; `(root)` for files outside folders; null without files."""
-    tops = F.transform(col(files), lambda p: F.when(F.contains(p, F.lit("/")), F.split_part(p, F.lit("/"), F.lit(1))).otherwise(ROOT))
+    tops = F.transform(col(files), top_folder)
     counted = F.transform(F.array_distinct(tops), lambda t: F.struct((-F.size(F.filter(tops, lambda x: x == t))).alias("n"), t.alias("t")))
     return F.array_min(counted)["t"]
 
@@ -290,13 +294,16 @@ def merge_cases(prs: DataFrame, open_keeps_case_open: bool = True) -> DataFrame:
     strength = F.array_position(F.array(*[F.lit(s) for s in CASE_SOURCES]), F.col("case_source"))
     lead = F.struct(F.col("opened_at").isNull(), "opened_at", "number")
     closed = F.max("closed_at")
-    return prs.groupBy("work_item_id").agg(
+    # files are counted by case and folder, so that no case's files are gathered
+    folders = prs.select("work_item_id", F.explode("files").alias("file")).groupBy("work_item_id", top_folder(F.col("file")).alias("top")).agg(F.count("*").alias("n"))
+    most = folders.groupBy("work_item_id").agg(F.min_by("top", F.struct(-F.col("n"), F.col("top"))).alias("component"))
+    merged = prs.groupBy("work_item_id").agg(
         F.min("repo").alias("repo"), F.min("opened_at").alias("opened_at"),
         (F.when(F.count("closed_at") == F.count("*"), closed) if open_keeps_case_open else closed).alias("closed_at"),
-        component(F.flatten(F.collect_list(F.coalesce("files", F.array().cast("array<string>"))))).alias("component"),
         F.mode("epic", True).alias("epic"), F.mode("jira_key", True).alias("jira_key"), F.min_by("case_source", strength).alias("case_source"),
         F.min_by(F.concat_ws("#", "repo", F.col("number").cast("string")), lead).alias("source_ref"), F.count("*").alias("n_prs"),
     )
+    return merged.join(most, "work_item_id", "left")
 
 
 def dedup_events(events: DataFrame, order: Column | None = None) -> DataFrame:

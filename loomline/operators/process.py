@@ -2,7 +2,8 @@
 
 Input columns: events(event_id, work_item_id, actor_hash, activity, ts, duration_s, source, attrs), items(work_item_id,
 repo, component, sprint, case_source, jira_key, opened_at, jira_created_at, ...), case_cost(work_item_id, total_cost).
-Everything that orders a case does so by (ts, event_id), so that ties have one order.
+Everything that orders a case does so by (ts, event_id), so that ties have one order. Cases of more than `rows` events are
+ordered in cells (functions/cells.py), so none is ordered in one task.
 """
 
 from __future__ import annotations
@@ -10,24 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cells
+from ..functions.cells import in_cells
 from ..functions.exprs import count_if, hours_between, is_in, sorted_list
+from ..functions.joins import measured
 from ..functions.ranks import with_ranks
 from ..params import DEFAULT, REVIEWS, Params
 
 
-def by_case():
-    return Window.partitionBy("work_item_id").orderBy("ts", "event_id")
+CASE, ORDER = "work_item_id", ["ts", "event_id"]
 
 
 def first_time(activity: str):
     return F.min(F.when(F.col("activity") == activity, F.col("ts")))
 
 
-def canonical_log(events: DataFrame, items: DataFrame, cutoff: str | None = None) -> DataFrame:
+def canonical_log(events: DataFrame, items: DataFrame, cutoff: str | None = None, rows: int = cells.ROWS) -> DataFrame:
     """Events with their case's attributes, the connector they came from, whether they fall in the window, and their step."""
     source = F.coalesce(F.col("attrs.ingest_source"), F.when(F.col("activity") == "commit", "git_local"), F.col("source"))
     known = items.select("work_item_id", "repo", "component", "sprint", "case_source", "jira_key")
-    return events.join(known, "work_item_id").select(
+    numbered = cells.numbered(cells.with_facts(in_cells(events, CASE, ORDER, rows), known, CASE), [CASE], [*ORDER], "step")
+    return numbered.select(
         "event_id",
         F.col("work_item_id").alias("case_id"),
         "activity",
@@ -42,7 +46,7 @@ def canonical_log(events: DataFrame, items: DataFrame, cutoff: str | None = None
         "case_source",
         "jira_key",
         (F.lit(True) if cutoff is None else F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz")).alias("in_window"),
-        F.row_number().over(by_case()).cast("long").alias("step"),
+        "step",
     )
 
 
@@ -65,22 +69,41 @@ def case_evidence(log: DataFrame, items: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_events", "n_pre_window")})
 
 
-def event_sequence(events: DataFrame) -> DataFrame:
+def event_sequence(events: DataFrame, rows: int = cells.ROWS) -> DataFrame:
     """Each event with the activity, time and actor of the next one on its case."""
-    following = [F.lead(c).over(by_case()).alias(f"next_{c}") for c in ("activity", "ts", "actor_hash", "event_id")]
-    return events.select("event_id", "work_item_id", "actor_hash", "activity", "ts", *following)
+    new = {f"next_{c}": c for c in ("activity", "ts", "actor_hash", "event_id")}
+    return cells.following(in_cells(events, CASE, ORDER, rows), [CASE], ORDER, new).select("event_id", CASE, "actor_hash", "activity", "ts", *new)
 
 
-def transitions(events: DataFrame) -> DataFrame:
+def transitions(events: DataFrame, rows: int = cells.ROWS) -> DataFrame:
     """Raw directly-follows pairs with the gap between them."""
-    pairs = event_sequence(events).where("next_activity is not null")
+    pairs = event_sequence(events, rows).where("next_activity is not null")
     return pairs.select("work_item_id", F.col("activity").alias("source_activity"), F.col("next_activity").alias("target_activity"), F.col("ts").alias("source_ts"), F.col("next_ts").alias("target_ts"), hours_between("ts", "next_ts").alias("gap_hours"))
 
 
-def case_sequence(events: DataFrame, items: DataFrame) -> DataFrame:
-    """P5: a case's ordered activities, their digest, and its extent."""
-    listed = events.groupBy("work_item_id").agg(sorted_list(["ts", "event_id"], "activity").alias("activity_sequence"), F.count("*").alias("n_events"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
-    return listed.join(items.select("work_item_id", "repo", "component", "sprint"), "work_item_id").withColumn("variant_id", F.md5(F.array_join("activity_sequence", ">")))
+def path_digest(step: str, label: str):
+    """A digest of labels in order, 128 bits. As a sum over (step, label) it needs no order and is combined before the shuffle."""
+    return F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.col(step).cast("long"), label)).alias("a"), F.bit_xor(F.xxhash64(label, F.lit("path"), F.col(step).cast("long"))).alias("b")).alias("path")
+
+
+def spelled(steps: DataFrame, cases: DataFrame, step: str, label: str) -> DataFrame:
+    """The labels in order, as an array, of the given cases only: those that stand for all cases of one path."""
+    own = steps.join(cases.select(CASE), CASE, "left_semi")
+    return own.groupBy(CASE).agg(sorted_list([step], label).alias("activity_sequence"))
+
+
+def by_path(paths: DataFrame, steps: DataFrame, step: str, label: str) -> DataFrame:
+    """The array of each path (column path of `paths`), spelled once, from the case that comes first."""
+    first = paths.groupBy("path").agg(F.min(CASE).alias(CASE))
+    return first.join(spelled(steps, first, step, label), CASE).select("path", "activity_sequence")
+
+
+def case_sequence(events: DataFrame, items: DataFrame, rows: int = cells.ROWS) -> DataFrame:
+    """P5: a case's ordered activities, their digest, and its extent. Cases of one path share the array, which only one of them gathers."""
+    steps = cells.numbered(in_cells(events, CASE, ORDER, rows), [CASE], [*ORDER], "_step")
+    paths = steps.groupBy(CASE).agg(path_digest("_step", "activity"), F.count("*").alias("n_events"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
+    arrays = by_path(paths, steps, "_step", "activity").withColumn("variant_id", F.md5(F.array_join("activity_sequence", ">")))
+    return paths.join(arrays, "path").drop("path").join(items.select(CASE, "repo", "component", "sprint"), CASE)
 
 
 def cycle_time(events: DataFrame, items: DataFrame) -> DataFrame:
@@ -97,22 +120,34 @@ def rework_pairs(events: DataFrame) -> DataFrame:
     return pairs.join(commits, ["work_item_id", "target_ts"]).select("work_item_id", F.col("source_ts").alias("changes_requested_at"), F.col("target_ts").alias("redo_commit_at"), "gap_hours", "redone_by")
 
 
-def review_latency(events: DataFrame) -> DataFrame:
+def review_latency(events: DataFrame, rows: int = cells.ROWS) -> DataFrame:
     """From a request for review to the first response strictly after it.
 
     A running minimum from the case's end backwards takes the place of a self-join, in time linear in its events;
-    requests at one instant are one request.
+    requests at one instant are one request. In a case of cells the minimum runs within each one, over instants, and
+    behind it the least response of all later cells is the next one.
     """
-    later = Window.partitionBy("work_item_id").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    timed = events.where(is_in("activity", ("review_requested", *REVIEWS))).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    answered = timed.withColumn("responded_at", F.min(F.when(is_in("activity", REVIEWS), F.col("ts"))).over(later)).where("activity = 'review_requested' and responded_at is not null")
-    once = answered.groupBy("work_item_id", F.col("ts").alias("requested_at")).agg(F.min("responded_at").alias("responded_at"))
-    return once.withColumn("latency_hours", hours_between("requested_at", "responded_at"))
-
-
-def review_latency_both(events: DataFrame, items: DataFrame) -> DataFrame:
+    timed = in_cells(events.where(is_in("activity", ("review_requested", *REVIEWS))), CASE, ["ts"], rows)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    response = F.when(is_in("activity", REVIEWS), F.col("ts"))
+    if not cells.cell(timed):
+        later = Window.partitionBy(CASE).orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
+        answered = timed.withColumn("at", at).withColumn("responded_at", F.min(response).over(later)).where("activity = 'review_requested' and responded_at is not null")
+        once = answered.groupBy(CASE, F.col("ts").alias("requested_at")).agg(F.min("responded_at").alias("responded_at"))
+        return once.withColumn("latency_hours", hours_between("requested_at", "responded_at"))
+    instants = timed.groupBy(CASE, "ts").agg(F.min(cells.CELL).alias(cells.CELL), F.bool_or(F.col("activity") == "review_requested").alias("asked"), F.min(response).alias("response"))
+    later = Window.partitionBy(CASE, cells.CELL).orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    own = instants.withColumn("responded_at", F.min("response").over(later)).where("asked")
+    behind = F.min("_least").over(Window.partitionBy(CASE).orderBy(cells.CELL).rowsBetween(1, Window.unboundedFollowing))
+    carried = instants.where(F.col(cells.CELL) > 0).groupBy(CASE, cells.CELL).agg(F.min("response").alias("_least")).withColumn("_behind", behind)
+    answered = own.join(measured(cells.cut(carried.drop("_least"))), [CASE, cells.CELL], "left")
+    answered = answered.select(CASE, F.col("ts").alias("requested_at"), F.coalesce("responded_at", "_behind").alias("responded_at")).where("responded_at is not null")
+    return answered.withColumn("latency_hours", hours_between("requested_at", "responded_at"))
+
+
+def review_latency_both(events: DataFrame, items: DataFrame, rows: int = cells.ROWS) -> DataFrame:
     """Both definitions of review latency, told apart by a column."""
-    asked = review_latency(events).select(F.lit("requested_to_first_response").alias("definition"), "work_item_id", "latency_hours")
+    asked = review_latency(events, rows).select(F.lit("requested_to_first_response").alias("definition"), "work_item_id", "latency_hours")
     first = events.where("activity = 'review'").groupBy("work_item_id").agg(F.min("ts").alias("first_review"))
     opened = items.select("work_item_id", "opened_at").join(first, "work_item_id").where("first_review > opened_at")
     return asked.unionByName(opened.select(F.lit("pr_opened_to_first_review").alias("definition"), "work_item_id", hours_between("opened_at", "first_review").alias("latency_hours")))
@@ -125,20 +160,23 @@ def backlog_time(events: DataFrame, items: DataFrame) -> DataFrame:
     return waited.select("work_item_id", "repo", "component", hours_between("jira_created_at", "first_commit_at").alias("backlog_hours"), "priority", "issue_type")
 
 
-def collapsed_sequence(events: DataFrame) -> DataFrame:
-    """Runs of one activity become a node with a repeat count; CI runs are left out. Nodes are ordered by their first event."""
-    same = Window.partitionBy("work_item_id", "activity").orderBy("ts", "event_id")
-    human = events.where("activity != 'ci_run'").withColumn("run_id", (F.row_number().over(by_case()) - F.row_number().over(same)).cast("long"))
-    nodes = human.groupBy("work_item_id", "activity", "run_id").agg(F.min(F.struct("ts", "event_id")).alias("begin"), F.max("ts").alias("ended_at"), F.count("*").alias("repeat_count"))
-    step = F.row_number().over(Window.partitionBy("work_item_id").orderBy("begin")).cast("long")
-    return nodes.withColumn("node_step", step).select("work_item_id", "activity", "run_id", F.col("begin.ts").alias("started_at"), "ended_at", "repeat_count", "node_step")
+def collapsed_sequence(events: DataFrame, rows: int = cells.ROWS) -> DataFrame:
+    """Runs of one activity become a node with a repeat count; CI runs are left out. Nodes are ordered by their first event.
+
+    Events of one run have the same difference between their number in the case and their number among those of their
+    activity, also where the run goes on in the next cell. The nodes of a case in cells keep the cell of their first event.
+    """
+    human = in_cells(events.where("activity != 'ci_run'"), CASE, ORDER, rows)
+    placed = cells.numbered(cells.numbered(human, [CASE], [*ORDER], "_at"), [CASE, "activity"], [*ORDER], "_same")
+    first = [F.min(c).alias(c) for c in cells.cell(placed)]
+    nodes = placed.groupBy(CASE, "activity", (F.col("_at") - F.col("_same")).alias("run_id")).agg(F.min(F.struct(*ORDER)).alias("begin"), F.max("ts").alias("ended_at"), F.count("*").alias("repeat_count"), *first)
+    return cells.numbered(nodes, [CASE], ["begin"], "node_step").select(CASE, "activity", "run_id", F.col("begin.ts").alias("started_at"), "ended_at", "repeat_count", "node_step", *cells.cell(nodes))
 
 
 def human_transitions(nodes: DataFrame) -> DataFrame:
     """From each collapsed node to the next (null after the last); the gap runs from the end of one to the start of the other."""
-    w = Window.partitionBy("work_item_id").orderBy("node_step")
-    nexts = nodes.withColumns({"target_activity": F.lead("activity").over(w), "target_started_at": F.lead("started_at").over(w)})
-    return nexts.select("work_item_id", F.col("activity").alias("source_activity"), "target_activity", F.col("started_at").alias("source_started_at"), "target_started_at", hours_between("ended_at", "target_started_at").alias("gap_hours"))
+    nexts = cells.following(nodes, [CASE], ["node_step"], {"target_activity": "activity", "target_started_at": "started_at"})
+    return nexts.select(CASE, F.col("activity").alias("source_activity"), "target_activity", F.col("started_at").alias("source_started_at"), "target_started_at", hours_between("ended_at", "target_started_at").alias("gap_hours"))
 
 
 def edges(moves: DataFrame, items: DataFrame, case_cost: DataFrame) -> DataFrame:
@@ -165,21 +203,35 @@ def significant_edges(edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return shared.where(F.col("running_pct") <= p.significance_pct)
 
 
+def labelled(nodes: DataFrame) -> DataFrame:
+    repeats = F.when(F.col("repeat_count") > 1, F.concat(F.lit("x"), F.col("repeat_count"))).otherwise("")
+    return nodes.withColumn("label", F.concat("activity", repeats))
+
+
+def case_paths(nodes: DataFrame, items: DataFrame, case_cost: DataFrame) -> DataFrame:
+    """A case's collapsed path as a digest, with its cost; the path itself is not gathered."""
+    paths = labelled(nodes).groupBy(CASE).agg(path_digest("node_step", "label"))
+    priced = paths.join(items.select(CASE, "repo"), CASE).join(case_cost.select(CASE, "total_cost"), CASE, "left")
+    return priced.select(CASE, "repo", "path", F.coalesce("total_cost", F.lit(0).cast("decimal(18,2)")).alias("case_cost"))
+
+
 def case_variant(nodes: DataFrame, items: DataFrame, case_cost: DataFrame) -> DataFrame:
-    """A case's collapsed path as an array and a key, with its cost."""
-    label = F.concat("activity", F.when(F.col("repeat_count") > 1, F.concat(F.lit("x"), F.col("repeat_count"))).otherwise(""))
-    paths = nodes.withColumn("label", label).groupBy("work_item_id").agg(sorted_list(["node_step"], "label").alias("activity_sequence"))
-    priced = paths.join(items.select("work_item_id", "repo"), "work_item_id").join(case_cost.select("work_item_id", "total_cost"), "work_item_id", "left")
-    return priced.select("work_item_id", "repo", F.array_join("activity_sequence", ">").alias("variant_key"), "activity_sequence", F.coalesce("total_cost", F.lit(0).cast("decimal(18,2)")).alias("case_cost"))
-
-
-def variants(cases: DataFrame) -> DataFrame:
-    """Variants by repository, with their share of its cost; the most frequent ones are modal (several on ties)."""
-    grouped = cases.groupBy("repo", "variant_key").agg(F.min("activity_sequence").alias("activity_sequence"), F.count("*").alias("n_cases"), F.sum("case_cost").alias("total_cost"))
-    repo = Window.partitionBy("repo")
-    share = 100.0 * F.col("total_cost").cast("double") / F.nullif(F.sum("total_cost").over(repo).cast("double"), F.lit(0.0))
-    modal = F.rank().over(repo.orderBy(F.col("n_cases").desc())) == 1
-    return grouped.select(F.md5(F.concat_ws("|", "repo", "variant_key")).alias("variant_id"), "repo", "variant_key", "activity_sequence", "n_cases", "total_cost", F.round(share, 2).alias("cost_share_pct"), modal.alias("is_modal"))
+    """A case's collapsed path as an array and a key, with its cost. Cases of one path share the array, which only one of them gathers."""
+    paths = case_paths(nodes, items, case_cost)
+    arrays = by_path(paths, labelled(nodes), "node_step", "label")
+    return paths.join(arrays, "path").select(CASE, "repo", F.array_join("activity_sequence", ">").alias("variant_key"), "activity_sequence", "case_cost")
+
+
+def variants(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Variants by repository, with their share of its cost; the most frequent ones are modal (several on ties).
+
+    paths: of `case_paths`. Cases are grouped by the digests of their paths; one case of each variant spells it out.
+    """
+    grouped = paths.groupBy("repo", "path").agg(F.min(CASE).alias(CASE), F.count("*").alias("n_cases"), F.sum("case_cost").alias("total_cost"))
+    whole = grouped.groupBy(F.col("repo").alias("_repo")).agg(F.max("n_cases").alias("_most"), F.sum("total_cost").cast("double").alias("_all"))
+    share = 100.0 * F.col("total_cost").cast("double") / F.nullif(F.col("_all"), F.lit(0.0))
+    named = grouped.join(whole, F.col("repo").eqNullSafe(F.col("_repo"))).join(spelled(labelled(nodes), grouped, "node_step", "label"), CASE).withColumn("variant_key", F.array_join("activity_sequence", ">"))
+    return named.select(F.md5(F.concat_ws("|", "repo", "variant_key")).alias("variant_id"), "repo", "variant_key", "activity_sequence", "n_cases", "total_cost", F.round(share, 2).alias("cost_share_pct"), (F.col("n_cases") == F.col("_most")).alias("is_modal"))
 
 
 def rare_but_costly(variants: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -97,7 +97,7 @@ class Tables:
 
     @cached_property
     def variants(self) -> DataFrame:
-        return process.variants(process.case_variant(self.nodes, self.items, self.case_cost))
+        return process.variants(process.case_paths(self.nodes, self.items, self.case_cost), self.nodes)
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import shared_folder
 from ..operators import normalise as n
 from ..sources import landing
 from ..sources import sample_payloads as payloads
-from ..streaming import streams
 from .base import Tables, query
 
 ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({c}) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(epoch_us({c}) % 1000000 AS VARCHAR), 6, '0') END || '+00:00'"
@@ -347,7 +347,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("s1_read_landed", "entity_id:s version:s", f"SELECT repo || '#' || number AS entity_id, CASE WHEN number % 3 = 1 THEN '0' ELSE '1' END AS version FROM ({PR}) AS p")
 def _(t: Tables) -> DataFrame:
-    path = f"{streams.shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
     both = landing.upsert_raw(landed(t, 0), landed(t, 1))
     landing.write_raw(both.unionByName(both.withColumn("entity_type", F.lit("other"))), path)
     return landing.raw(t.spark, path, "github_graphql", "pull_request").withColumn("version", F.split_part("body", F.lit(":"), F.lit(1)))
@@ -355,10 +355,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("s6_rewritten_sprints", "sprint:i n:i", "SELECT sprint, COUNT(*) AS n FROM work_item GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    path = f"{streams.shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
     for _ in range(2):  # a rerun leaves the same rows
-        landing.write_table(t.items.select("work_item_id", "sprint"), path, "sprint")
-    return t.spark.read.parquet(path).groupBy("sprint").agg(F.count("*").alias("n"))
+        landing.write_table(t.items.select("work_item_id", "sprint"), path, ("work_item_id",), "sprint")
+    landing.upsert_table(t.items.where("sprint = 0").select("work_item_id", "sprint"), path, ("work_item_id",), "sprint")
+    return landing.derived_log(t.spark, path, ("work_item_id",), "sprint").read().groupBy("sprint").agg(F.count("*").alias("n"))
 
 
 @query("s3_changed_only", "key:s", f"SELECT {KEY} AS key FROM (SELECT k, COUNT(*) AS c FROM ev WHERE activity LIKE 'ticket%' GROUP BY 1) WHERE c % 2 = 1")

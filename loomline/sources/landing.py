@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .keyed_log import KeyedLog
+
 ENVELOPE = "source string, entity_type string, entity_id string, fetched_at timestamp, body string"
 RAW_KEY = ["source", "entity_type", "entity_id"]
 
 
+def raw_log(spark: SparkSession, path: str) -> KeyedLog:
+    """The log of landed payloads at `path`: the last fetch of each entity counts."""
+    return KeyedLog(spark, path, keys=("entity_id",), kinds=("source", "entity_type"), newest=("fetched_at",), ties=("body",))
+
+
 def raw(spark: SparkSession, path: str, source: str, entity_type: str) -> DataFrame:
-    """Landed payloads of one kind. The table is partitioned by source and entity_type, so other kinds are not read."""
-    return spark.read.parquet(path).where((F.col("source") == source) & (F.col("entity_type") == entity_type))
+    """Landed payloads of one kind; files of other kinds are not opened. An unwritten log is empty."""
+    found = raw_log(spark, path).read(source=source, entity_type=entity_type)
+    return spark.createDataFrame([], ENVELOPE) if found is None else found
 
 
 def write_raw(df: DataFrame, path: str) -> None:
-    """Land payloads, one folder per kind; only the kinds in `df` are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "entity_type").parquet(path)
+    """Land payloads; the kinds in `df` are replaced at once, others stay as they are."""
+    raw_log(df.sparkSession, path).replace(df)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -76,12 +84,19 @@ def ci_runs(payloads: DataFrame, attempt_in_key: bool = False) -> DataFrame:
     return b.select(key.alias("run_id"), "repo", "head_sha", start.alias("ts"), F.round(F.greatest(F.lit(0.0), F.coalesce(seconds, F.lit(0.0))) / 60, 3).alias("runner_minutes"), "conclusion", attempt.alias("attempt"))
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Write a derived table so that a rerun leaves the same rows: keys are derived, partitions replaced whole."""
-    writer = df.write.mode("overwrite")
-    if partition:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
-    writer.parquet(path)
+def derived_log(spark: SparkSession, path: str, keys: tuple[str, ...], partition: str | None = None) -> KeyedLog:
+    """The log of a derived table, whose keys are computed from its rows' facts."""
+    return KeyedLog(spark, path, keys=keys, kinds=(partition,) if partition else ())
+
+
+def write_table(df: DataFrame, path: str, keys: tuple[str, ...], partition: str | None = None) -> None:
+    """Write a derived table so that a rerun leaves the same rows: keys are derived, partitions (or the table) replaced whole and at once."""
+    derived_log(df.sparkSession, path, keys, partition).replace(df)
+
+
+def upsert_table(df: DataFrame, path: str, keys: tuple[str, ...], partition: str | None = None) -> None:
+    """Write some rows of a derived table; only these are written, whatever the table's size."""
+    derived_log(df.sparkSession, path, keys, partition).upsert(df)
 
 
 def replace_where(existing: DataFrame, new: DataFrame, column: str, value: str) -> DataFrame:

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import shared_folder
 from ..params import DEFAULT, Params
-from ..sources.landing import upsert_raw, write_raw
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, a local session gets a temporary folder and a cluster an error."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-streams-")
+from ..sources.landing import raw_log
 
 
 def drain(stream: DataFrame) -> DataFrame:
@@ -36,27 +28,16 @@ def deduplicated(stream: DataFrame, key: str = "event_id", time: str = "ts", del
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def landed(spark: SparkSession, path: str) -> bool:
-    """Whether there is a table at `path`, asked of the file system that the path belongs to."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
-
-
-def land(path: str) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function that merges payloads into the landed table; a repeated batch changes nothing.
+def land(path: str, writer: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that adds payloads to the landed log; a batch writes its own rows only.
 
-    Only the kinds that the batch brings are read and replaced. An empty batch changes nothing, whether it is the first or a later one.
+    A batch that was landed before (by its number, under `writer` or else the query that the stream's checkpoint names)
+    changes nothing, nor does an empty one. Outside a stream without `writer`, each call is a batch of its own.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        existing = batch.limit(0)
-        if landed(spark, path):
-            kinds = batch.select("source", "entity_type").distinct()
-            existing = spark.read.schema(batch.schema).parquet(path).join(kinds, ["source", "entity_type"], "left_semi").select(batch.columns)
-        write_raw(upsert_raw(existing, batch).checkpoint(), path)
+    def merge(batch: DataFrame, number: int) -> None:
+        name = writer or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        raw_log(batch.sparkSession, path).upsert(batch, (name, number) if name else None)
 
     return merge
 

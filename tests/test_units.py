@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import random
 
 import pytest
 from loomline.operators import capacity, cost, effort, normalise, privacy, process, quality, waste
+from loomline.functions import cells
 from loomline.functions.joins import measured
 from loomline.functions.ranks import with_ranks
 from loomline.params import Citation, Params
-from loomline.sources import landing, sample_log
+from loomline.sources import keyed_log, landing, sample_log
 from loomline.streaming import streams
 from pyspark.sql import functions as F
 
@@ -272,29 +274,81 @@ def test_both_offset_styles(spark):
     assert got[0] == got[1] and got[0] is not None and got[2] is None and got[3] is None
 
 
+ENVELOPE = "source string, entity_type string, entity_id string, fetched_at timestamp, body string"
+
+
+def landed_rows(spark, path):
+    return sorted((r.source, r.entity_id, r.body) for r in landing.raw_log(spark, path).read().collect())
+
+
 def test_landing_is_idempotent_and_pruned(spark, tmp_path):
-    schema = "source string, entity_type string, entity_id string, fetched_at timestamp, body string"
     rows = [("git", "commit", "1", at(0), "old"), ("git", "commit", "2", at(0), "old"), ("jira", "issue", "1", at(0), "old")]
     path = str(tmp_path / "raw")
-    landing.write_raw(spark.createDataFrame(rows, schema), path)
-    newer = spark.createDataFrame([("git", "commit", "1", at(5), "new"), ("git", "commit", "2", at(-5), "older")], schema)
-    merge = streams.land(path)
+    landing.write_raw(spark.createDataFrame(rows, ENVELOPE), path)
+    newer = spark.createDataFrame([("git", "commit", "1", at(5), "new"), ("git", "commit", "2", at(-5), "older")], ENVELOPE)
+    merge = streams.land(path, "fetch")
     for _ in range(2):
         merge(newer, 0)
-        assert sorted((r.source, r.entity_id, r.body) for r in spark.read.parquet(path).collect()) == [("git", "1", "new"), ("git", "2", "old"), ("jira", "1", "old")]
+        assert landed_rows(spark, path) == [("git", "1", "new"), ("git", "2", "old"), ("jira", "1", "old")]
+    assert landing.raw_log(spark, path).versions() == [1, 2]
     only = landing.raw(spark, path, "git", "commit")
-    assert only.count() == 2 and "PartitionFilters: [isnotnull(source" in only._jdf.queryExecution().toString()
+    assert only.count() == 2 and only.inputFiles() and all("_cell=git" in f for f in only.inputFiles())
+    assert landing.raw(spark, path, "git", "none").count() == 0 and landing.raw(spark, str(tmp_path / "none"), "git", "commit").count() == 0
 
 
 def test_empty_batches_change_nothing(spark, tmp_path):
-    schema = "source string, entity_type string, entity_id string, fetched_at timestamp, body string"
     path, merge = str(tmp_path / "raw"), streams.land(str(tmp_path / "raw"))
-    empty, one = spark.createDataFrame([], schema), spark.createDataFrame([("git", "commit", "1", at(0), "v")], schema)
+    empty, one = spark.createDataFrame([], ENVELOPE), spark.createDataFrame([("git", "commit", "1", at(0), "v")], ENVELOPE)
     merge(empty, 0)
-    assert not streams.landed(spark, path)
+    assert landing.raw_log(spark, path).versions() == []
     for batch in (one, empty, one, empty):
         merge(batch, 1)
-        assert [(r.entity_id, r.body) for r in spark.read.parquet(path).collect()] == [("1", "v")]
+        assert landed_rows(spark, path) == [("git", "1", "v")]
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    """Files and bytes of a batch of one row, beside a log of 2,000: one cell is written, none is read or rewritten."""
+    log = landing.raw_log(spark, str(tmp_path / "raw"))
+    log.upsert(spark.createDataFrame([("git", "commit", str(i), at(0), "x" * 100) for i in range(2000)], ENVELOPE))
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "raw" / "data").rglob("*.parquet")}
+    log.upsert(spark.createDataFrame([("git", "commit", "7", at(1), "changed")], ENVELOPE))
+    now = {f: f.stat().st_mtime_ns for f in (tmp_path / "raw" / "data").rglob("*.parquet")}
+    assert files.items() <= now.items() and len(now) == len(files) + 1
+    assert sum(f.stat().st_size for f in now.keys() - files.keys()) < sum(f.stat().st_size for f in files) / 10
+    assert {b: len(c) for b, c in log.manifest()["cells"].items() if len(c) > 1} and sum(len(c) for c in log.manifest()["cells"].values()) == 17
+    assert {r.entity_id: r.body for r in log.read().where("body = 'changed'").collect()} == {"7": "changed"} and log.read().count() == 2000
+
+
+def test_a_crash_before_the_switch_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    log = landing.raw_log(spark, str(tmp_path / "raw"))
+    log.upsert(spark.createDataFrame([("git", "commit", "1", at(0), "old")], ENVELOPE), ("w", 0))
+    new = spark.createDataFrame([("git", "commit", "1", at(1), "new"), ("git", "issue", "2", at(1), "new")], ENVELOPE)
+    with monkeypatch.context() as m:
+        m.setattr(type(log), "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+        for change in (lambda: log.upsert(new, ("w", 1)), lambda: log.replace(new)):
+            with pytest.raises(RuntimeError, match="crash"):
+                change()
+    assert log.versions() == [1] and landed_rows(spark, log.path) == [("git", "1", "old")]
+    assert log.upsert(new, ("w", 1)) and landed_rows(spark, log.path) == [("git", "1", "new"), ("git", "2", "new")]
+    assert not log.upsert(spark.createDataFrame([("git", "commit", "1", at(9), "replayed")], ENVELOPE), ("w", 1)) and log.read(version=1).first().body == "old"
+
+
+def test_two_writers_and_merged_cells(spark, tmp_path):
+    """A version is committed once; many pieces are merged in full cells only; unused folders go."""
+    log = replace(landing.raw_log(spark, str(tmp_path / "raw")), buckets=4, most_pieces=3)
+    first = spark.createDataFrame([("git", "commit", str(i), at(0), "0") for i in range(40)], ENVELOPE)
+    log.upsert(first)
+    with pytest.raises(keyed_log.Conflict):
+        log._commit(log.manifest())
+    for n in range(1, 6):
+        log.upsert(spark.createDataFrame([("git", "commit", "3", at(n), str(n))], ENVELOPE))
+    pieces = sorted(len(c) for c in log.manifest()["cells"].values())
+    assert pieces[:3] == [1, 1, 1] and pieces[3] <= 3
+    rows = {r.entity_id: r.body for r in log.read().collect()}
+    assert len(rows) == 40 and rows["3"] == "5"
+    assert log.vacuum(keep=1) > 0 and len(log.versions()) == 1 and {r.entity_id: r.body for r in log.read().collect()} == rows
+    log.replace(spark.createDataFrame([("git", "commit", "9", None, "only"), ("git", "commit", "9", at(0), "dated")], ENVELOPE))
+    assert landed_rows(spark, log.path) == [("git", "9", "dated")]
 
 
 def test_exact_ranks(spark):
@@ -313,19 +367,27 @@ def test_exact_ranks(spark):
 
 
 def test_streamed_landing(spark, tmp_path):
-    schema = "source string, entity_type string, entity_id string, fetched_at timestamp, body string"
+    schema = ENVELOPE
     for i in range(2):
         spark.createDataFrame([("git", "commit", "1", at(i), f"v{i}")], schema).write.mode("append").parquet(str(tmp_path / "in"))
     run = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(streams.land(str(tmp_path / "raw"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination()
-    assert [r.body for r in spark.read.parquet(str(tmp_path / "raw")).collect()] == ["v1"]
+    assert [r.body for r in landing.raw(spark, str(tmp_path / "raw"), "git", "commit").collect()] == ["v1"]
+    assert len(landing.raw_log(spark, str(tmp_path / "raw")).manifest()["batches"]) == 1
 
 
 def test_tables_are_rewritten_whole(spark, tmp_path):
     path = str(tmp_path / "t")
     for values in ([(1, "a"), (2, "b")], [(3, "b")]):
-        landing.write_table(spark.createDataFrame(values, "n int, p string"), path, "p")
-    assert sorted((r.n, r.p) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b")]
+        landing.write_table(spark.createDataFrame(values, "n int, p string"), path, ("n",), "p")
+    log = landing.derived_log(spark, path, ("n",), "p")
+    assert sorted((r.n, r.p) for r in log.read().collect()) == [(1, "a"), (3, "b")]
+    landing.upsert_table(spark.createDataFrame([(1, "a"), (4, "a")], "n int, p string"), path, ("n",), "p")
+    assert sorted((r.n, r.p) for r in log.read().collect()) == [(1, "a"), (3, "b"), (4, "a")]
+    whole = str(tmp_path / "w")
+    for values in ([(1, "a")], [(2, "b")], []):
+        landing.write_table(spark.createDataFrame(values, "n int, p string"), whole, ("n",))
+        assert [tuple(r) for r in landing.derived_log(spark, whole, ("n",)).read().collect()] == values
 
 
 def test_commit_log_from_a_file(spark, tmp_path):
@@ -364,3 +426,53 @@ def test_redaction_of_all_documents(spark, sf_dir):
 
     rows = QUERIES["v3_redacted_documents"](spark, sf_dir)
     assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def giant_log(spark, n=3000, share=2, seed=4):
+    """A log in which one case has half of all events, many of them at one instant or one after another of one activity."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        case = "giant" if i % share == 0 else f"c{rng.randrange(40)}"
+        activity = rng.choice(["commit"] * 6 + ["review", "approved", "changes_requested", "review_requested", "ci_run", "merged"])
+        rows.append((case, rng.choice("abc"), activity, rng.choice([float(i), float(i), 1000.0])))
+    return events(spark, rows)
+
+
+def same(a, b):
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+
+
+def test_giant_cases_in_cells_change_nothing(spark):
+    """All orders of a case found in cells of some hundred rows equal those found in one window."""
+    log = giant_log(spark)
+    items = log.groupBy("work_item_id").agg(F.min("ts").alias("opened_at")).withColumns({c: F.lit(c) for c in ("repo", "component", "sprint", "case_source", "jira_key")})
+    items = items.withColumn("jira_created_at", F.col("opened_at"))
+    log = log.withColumns({"source": F.lit("github"), "duration_s": F.lit(1.0), "attrs": F.struct(F.lit("x").alias("ingest_source"))})
+    split = cells.in_cells(log, "work_item_id", ["ts", "event_id"], 400)
+    sizes = [r["count"] for r in split.where("_cell > 0").groupBy("_cell").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 400 and sum(sizes) == 1500 and cells.in_cells(log, "work_item_id", ["ts", "event_id"]).columns == log.columns
+    for f in (process.event_sequence, process.transitions, lambda e, rows: process.canonical_log(e, items, rows=rows), process.review_latency, lambda e, rows: process.case_sequence(e, items, rows), lambda e, rows: process.review_latency_both(e, items, rows)):
+        assert same(f(log, rows=10**6), f(log, rows=400))
+    whole, parts = process.collapsed_sequence(log), process.collapsed_sequence(log, rows=400)
+    assert "_cell" in parts.columns and same(whole, parts) and same(process.human_transitions(whole), process.human_transitions(parts))
+    cost_of = items.select("work_item_id", F.lit(1).cast("decimal(18,2)").alias("total_cost"))
+    assert same(process.case_variant(whole, items, cost_of), process.case_variant(parts, items, cost_of))
+    assert same(process.variants(process.case_paths(whole, items, cost_of), whole), process.variants(process.case_paths(parts, items, cost_of), parts))
+
+
+def test_a_giant_case_leaves_no_giant_task(spark):
+    """Half of a million events on one case: after the split no (case, cell) has more than a few per cent of all rows."""
+    log = spark.range(1_000_000).select(F.col("id").cast("string").alias("event_id"), F.when(F.col("id") % 2 == 0, "giant").otherwise(F.concat(F.lit("c"), F.col("id") % 999)).alias("work_item_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") % 100_000)).alias("ts"))
+    largest = cells.in_cells(log, "work_item_id", ["ts", "event_id"]).groupBy("work_item_id", "_cell").count().agg(F.max("count")).first()[0]
+    assert largest <= 30_000
+
+
+def test_variants_spell_one_case_each(spark):
+    """Cases of one path are grouped by its digest; order and repeats count."""
+    log = events(spark, [(c, "a", k, i) for c, path in (("x", "rcm"), ("y", "rcm"), ("z", "crm"), ("w", "rccm")) for i, k in enumerate({"r": "review", "c": "commit", "m": "merged"}[p] for p in path)])
+    items = log.select("work_item_id").distinct().withColumn("repo", F.lit("r"))
+    cost_of = items.select("work_item_id", F.lit(2).cast("decimal(18,2)").alias("total_cost"))
+    nodes = process.collapsed_sequence(log)
+    found = {r.variant_key: (r.n_cases, r.total_cost, r.cost_share_pct, r.is_modal) for r in process.variants(process.case_paths(nodes, items, cost_of), nodes).collect()}
+    assert {k: v[0] for k, v in found.items()} == {"review>commit>merged": 2, "commit>review>merged": 1, "review>commitx2>merged": 1}
+    assert found["review>commit>merged"][2:] == (50.0, True) and not found["commit>review>merged"][3]
