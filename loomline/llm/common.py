@@ -63,6 +63,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if found[0] <= rows and 16 * len(df.columns) * found[0] + sum(found[1:]) <= size else df
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """`names`, each with as many underscores in front as it takes to differ from all that are taken (in any case)."""
+    held = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in held:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def aside(df: DataFrame, reserved: Iterable[str]) -> tuple[DataFrame, list[Column]]:
     """`df` with the columns whose names are reserved (in any case) under names of their own, and what gives all its columns back."""
     taken = {c.lower() for c in (*df.columns, *reserved)}

@@ -161,12 +161,13 @@ def held_out(key: Column) -> Column:
 
 
 def sample(df: DataFrame, text: str, label: str, key: str, s: Settings) -> list[tuple[tuple[np.ndarray, np.ndarray], str]]:
-    """Bucket counts of a bounded sample of labelled rows that may be learned from: a seeded hash of key and text below a limit for each language."""
+    """Bucket counts of a bounded sample of labelled rows that may be learned from: a seeded hash of key and text below a limit for each language.
+
+    Of more than `most_languages` labels the most frequent ones are learned (ties by name).
+    """
     own = df.select(F.col(f"`{label}`").alias("l"), F.col(f"`{text}`").alias("t"), F.col(f"`{key}`").alias("k"))
     usable = own.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("k")))
-    counts = usable.groupBy("l").count().limit(s.most_languages + 1).collect()
-    if len(counts) > s.most_languages:
-        raise ValueError(f"over {s.most_languages} different labels")
+    counts = usable.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(s.most_languages).collect()
     if not counts:
         return []
     limits = df.sparkSession.createDataFrame([(r[0], int(min(1.0, s.rows_per_language / r[1]) * (1 << 30))) for r in counts], "l string, below long")

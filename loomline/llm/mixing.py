@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, cut
+from .common import aside, cut, fresh
 
 WEIGHTS = (5, 2, 1)
 
@@ -129,7 +129,7 @@ def _path(start: int, depth_set: list[int], depth_source: list[int], members: li
     return []
 
 
-def mix(df: DataFrame, memberships: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, keys: tuple[str, ...] = ("doc_id",), seed: int = 11, buckets: int = 4096, most_sets: int = 100_000) -> DataFrame:
+def mix(df: DataFrame, memberships: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, keys: tuple[str, ...] = ("doc_id",), seed: int = 11, buckets: int = 4096, most_sets: int = 250_000) -> DataFrame:
     """Add size, taken (long: tokens the mix takes, repeats counted), sources (array<string>), target and source_size (arrays of double and long, by source).
 
     `memberships` is an array of source names (a null array or name: the source null), `size` a token count. The
@@ -144,12 +144,14 @@ def mix(df: DataFrame, memberships: Column, size: Column, weights: tuple[int, ..
     that part is summed by row. Rows are not shuffled.
     """
     spark, added = df.sparkSession, ("size", "sources", "target", "source_size", "taken")
-    df = df.withColumns({"_mix_members": memberships, "_mix_size": size.cast("long"), "_mix_key": F.struct(*keys)})
-    memberships, size = F.col("_mix_members"), F.col("_mix_size")
+    own = list(df.columns)
+    members, size_of, place = fresh(own, "_mix_members", "_mix_size", "_mix_key")
+    df = df.withColumns({members: memberships, size_of: size.cast("long"), place: F.struct(*keys)})
     df, back = aside(df, ("_sources", "_order", "_set", "_bucket", "_size", "_tokens", "_whole", "_part", "_target", "_source_size", "_end", "_cut", "_left", "_tied", "_room", "_before"))
-    kept = [c for c, name in zip(back, df.columns) if not name.startswith("_mix_") and name not in added]
+    memberships, size = F.col(members), F.col(size_of)
+    kept = [c for c, name in zip(back, own) if name.lower() not in added]
     names = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(memberships, F.array().cast("array<string>"))) > 0, memberships).otherwise(F.array(F.lit(None).cast("string")))))
-    base = df.withColumns({"_sources": names, "_order": F.xxhash64(F.lit(seed), "_mix_key")})
+    base = df.withColumns({"_sources": names, "_order": F.xxhash64(F.lit(seed), place)})
     base = base.withColumns({"_set": F.to_json(F.struct(F.transform("_sources", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))).alias("s"))), "_bucket": F.pmod(F.shiftrightunsigned("_order", 20), F.lit(buckets)).cast("int")})
     sums = cut(base.select("_set", "_bucket", "_sources", size.alias("_size")).groupBy("_set", "_bucket").agg(F.sum("_size").alias("_tokens"), F.first("_sources").alias("_sources")))
     sets = sums.groupBy("_set").agg(F.sum("_tokens").alias("tokens"), F.first("_sources").alias("sources")).limit(most_sets + 1).collect()

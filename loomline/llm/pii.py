@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
-Exact expressions find seed entities: four base kinds, and secrets, quoted lower-case hexadecimal digests that are assigned
-to a name. What stands around a seed, together with the seed's shape, gives lexical patterns: the word before (`=`), the
+Exact expressions find seed entities: four base kinds, and a small set of secrets, one in `seed_share` (by its CRC-32) of the
+quoted lower-case hexadecimal digests that are assigned to a name. All other secrets have to be found by patterns. What stands around a seed, together with the seed's shape, gives lexical patterns: the word before (`=`), the
 two words before (`token =`), a name glued to it (`mailto:`), the word after, and how the token itself begins (`sk-`).
 Spark builds the graph of patterns and instances and scores it in turns: a pattern is as good as the share of all its
 occurrences in the corpus that stand at good instances, an instance as good as the patterns that point to it say
@@ -11,6 +11,7 @@ together. Identifier-like tokens that a pattern of high confidence points to are
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -171,14 +172,20 @@ class Settings:
     support: int = 3  # different seeds that a pattern must stand at
     confidence: float = 0.6
     rounds: int = 3
+    seed_share: int = 3  # one secret in so many is a seed
     patterns_per_pass: int = 100_000  # how many patterns one pass over the texts counts
 
 
 OCCURRENCE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("shape", pa.string()), ("token", pa.string()), ("contexts", pa.list_(pa.struct([("side", pa.string()), ("word", pa.string())])))])
 
 
-def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """_key, _row (a number of its own), base, found (arrays of struct of kind, start, end; without and with secrets) and seen (array of occurrences)."""
+def seed_secrets(text: str, share: int) -> list[tuple[str, int, int]]:
+    """The secrets that begin the search: of equal digests all or none."""
+    return [("secret", a, b) for a, b in secrets(text) if zlib.crc32(text[a:b].encode()) % share == 0]
+
+
+def extract(df: DataFrame, key: str, text: str, share: int = Settings.seed_share) -> DataFrame:
+    """_key, _row (a number of its own), base, found (arrays of struct of kind, start, end; without and with seed secrets) and seen (array of occurrences)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -187,7 +194,7 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
             for t in batch.column(1):
                 t = t.as_py() or ""
                 first = seeds(t)
-                more = first + [("secret", a, b) for a, b in secrets(t)]
+                more = first + seed_secrets(t, share)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in first])
                 every.append([{"kind": k, "start": a, "end": b} for k, a, b in more])
                 seen.append([{"start": a, "end": b, "kind": k, "shape": s, "token": w, "contexts": [{"side": x, "word": y} for x, y in c]} for a, b, k, s, w, c in occurrences(t, more)])
@@ -279,13 +286,13 @@ def discover(df: DataFrame, found: DataFrame, text: str, s: Settings) -> DataFra
 def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of `df`: `key`, base and spans (arrays of struct of kind, start, end; by kind as listed, then start).
 
-    base holds the seeds of the four base kinds; spans also secrets and what the patterns add, never overlapping a seed.
+    base holds the seeds of the four base kinds; spans also the seed secrets and what the patterns add, never overlapping a seed.
     A null text counts as empty, an empty one has no spans; a null key is kept. Repeated rows and equal keys are rows of
     their own; of patterns tied in confidence the kind later in the alphabet wins. An empty table gives no rows; other
     columns are ignored, whatever their names. Whole texts are read, tokens and context words of any length. What is
     shuffled grows with the number of identifiers, not of words.
     """
-    found = extract(df, key, text)
+    found = extract(df, key, text, settings.seed_share)
     added = discover(df, found, text, settings)
     spans = F.col("found")
     if added is not None:

@@ -51,5 +51,7 @@ def test_labels_and_rows_are_bounded(spark):
     rows = [(i, f"words of label {i % 7}", f"l{i % 7}") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert len(learn(df, settings=FAST).languages) == 7
-    with pytest.raises(ValueError):
-        learn(df, settings=Settings(most_languages=6))
+    assert len(learn(df, settings=Settings(most_languages=6)).languages) == 6
+    dirty = spark.createDataFrame(rows + [(1000 + i, "some text", f"dirty {i}") for i in range(300)], df.schema)
+    found = learn(dirty, settings=Settings(most_languages=9)).languages
+    assert len(found) == 9 and {f"l{i}" for i in range(7)} < set(found)

@@ -36,6 +36,13 @@ def test_run_repeats_itself(spark, sf_dir):
     assert a == b
 
 
+@pytest.mark.parametrize("extra", ["_mix_foo", "_mix_size", "_MIX_members", "_mix_key", "_bucket", "taken", "_copy", "_kept0_size"])
+def test_mix_keeps_columns_of_any_name(spark, sf_dir, awkward, extra):
+    docs = awkward(extra)
+    out = dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs, sf_dir)
+    assert out.columns == docs.columns and {(r.doc_id, r.text, r[extra]) for r in out.collect()} <= {(r.doc_id, r.text, r[extra]) for r in docs.collect()}
+
+
 #: Names that the stages use for columns of their own.
 CLASHES = {"language ID": "score", "SimHash near-dedup": "_best", "benchmark decontamination": "_leaks", "mixing sources to target weights": "size", "sharding": "_order"}
 

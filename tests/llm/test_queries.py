@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from loomline.llm.pii import seed_secrets
 from loomline.llm.queries import QUERIES
 from loomline.llm.simhash import fingerprint
 from loomline.llm.winnow import edited
@@ -80,10 +81,15 @@ def test_op4(spark, sf_dir):
 
 
 def test_op5(spark, sf_dir, texts):
-    added = 0
-    for r in run(spark, "/root/testdata/sf0.01", "op5_personal_data"):
-        added += "secret" in r.spans
-    assert added
+    """The patterns find secrets that are no seeds, in several texts and with different digests; then the base spans."""
+    big, found = "/root/testdata/sf0.01", set()
+    whole = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text").collect()}
+    for r in run(spark, big, "op5_personal_data"):
+        begun = seed_secrets(whole[r.doc_id], 3)
+        for kind, a, b in (x.split(":") for x in filter(None, r.spans.split(","))):
+            if kind == "secret" and (kind, int(a), int(b)) not in begun:
+                found.add((r.doc_id, whole[r.doc_id][int(a) : int(b)]))
+    assert len(found) >= 5 and len({x for _, x in found}) >= 5 and all(re.fullmatch("[0-9a-fA-F]{40}", x) for _, x in found)
     rows = run(spark, sf_dir, "op5_personal_data")
     assert len(rows) == len(texts)
     for r in rows:
