@@ -88,17 +88,20 @@ def _weeks(open_items: Column, rate: Column) -> Column:
     return open_items / rate
 
 
-def reallocation_grid(capacity: DataFrame, counts: tuple[int, ...] = (1, 2, 3), p: Params = DEFAULT) -> DataFrame:
+def reallocation_grid(capacity: DataFrame, counts: tuple[int, ...] = (1, 2, 3), p: Params = DEFAULT, blocks: int = 6) -> DataFrame:
     """what moving n engineers from one component to another does, for every pair and count.
 
-    Refused moves stay as rows with a reason and without figures. The grid has components squared times counts rows;
-    the smaller side is the table of components, which is an aggregate.
+    Refused moves stay as rows with a reason and without figures. The grid has components squared times counts rows.
+    Components are dealt into `blocks` blocks by a hash; a pair of blocks is the key of the exchange, and each pair of
+    components meets in the task of its pair of blocks, so that a component is sent to as many tasks as there are blocks.
     """
     cols = ("repo", "component", "n_engineers", "open_items", "items_per_week", "throughput_cv", "cost", "span_weeks")
     side = capacity.where("n_engineers > 0 and closed_items > 0").select(*cols)
-    # the aggregate is computed once: each of its rows is given the list of all, which the grid's size is the square of
-    listed = side.withColumn("dests", F.collect_list(F.struct(*[F.col(c).alias(f"dest_{c}") for c in cols])).over(Window.partitionBy(F.lit(0))))
-    grid = listed.select(*[F.col(c).alias(f"source_{c}") for c in cols], F.inline("dests")).withColumn("n", F.explode(F.array(*[F.lit(n) for n in counts])))
+    # the aggregate is computed once: each of its rows goes to its blocks as a source and as a destination, told apart by a flag
+    own = F.pmod(F.xxhash64("repo", "component"), F.lit(blocks)).cast("int")
+    ways = F.flatten(F.array(*[F.array(F.struct(own.alias("row"), F.lit(i).alias("column"), F.lit(True).alias("gives")), F.struct(F.lit(i).alias("row"), own.alias("column"), F.lit(False).alias("gives"))) for i in range(blocks)]))
+    sent = side.withColumn("to", F.explode(ways)).select("*", "to.row", "to.column").repartition(blocks * blocks, "row", "column").groupBy("row", "column").agg(*[F.collect_list(F.when(F.col("to.gives") == gives, F.struct(*[F.col(c).alias(f"{name}_{c}") for c in cols]))).alias(name) for name, gives in (("source", True), ("dest", False))])
+    grid = sent.select(F.inline("source"), "dest").select("*", F.inline("dest")).drop("dest").withColumn("n", F.explode(F.array(*[F.lit(n) for n in counts])))
     s, d, n = (lambda c: F.col(f"source_{c}")), (lambda c: F.col(f"dest_{c}")), F.col("n")
     same = (s("repo") == d("repo")) & (s("component") == d("component"))
     refusal = F.when(n <= 0, "count must be at least 1").when(same, "same component").when(n >= s("n_engineers"), "would empty the source").when((s("items_per_week") <= 1e-9) | (d("items_per_week") <= 1e-9), "no observed delivery rate")

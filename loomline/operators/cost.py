@@ -243,8 +243,19 @@ def meeting_sizes(meetings: DataFrame) -> DataFrame:
 
 
 def free_gaps(events: DataFrame, minutes: float, start_hour: int = 9, end_hour: int = 18) -> DataFrame:
-    """Gaps between an actor's consecutive events that hold a slot of so many minutes and begin in working hours."""
-    w = Window.partitionBy("actor_hash").orderBy("ts", "event_id")
-    nexts = events.where("actor_hash is not null").withColumn("gap_end", F.lead("ts").over(w))
-    gaps = nexts.where(F.col("gap_end").isNotNull()).select("actor_hash", "work_item_id", F.col("ts").alias("gap_start"), "gap_end", minutes_between("ts", "gap_end").alias("gap_minutes"))
+    """Gaps between an actor's consecutive events that hold a slot of so many minutes and begin in working hours.
+
+    Two neighbours further apart than a slot never share a cell of half a slot's width, so a gap leads from the last event of a
+    cell to the first one of the actor's next cell: events are combined by cell before the shuffle, and cells are put in order
+    instead of events. A slot of no length has no such cells; then every neighbour is a gap and all events are ordered.
+    """
+    known = events.where("actor_hash is not null")
+    first, last = F.struct("ts", "event_id"), F.struct("ts", "event_id", "work_item_id")
+    if minutes > 0:
+        width = max(1, int(minutes * 30_000_000))
+        cells = known.groupBy("actor_hash", F.floor(micros("ts") / width).alias("cell")).agg(F.min(first).alias("first"), F.max_by(last, first).alias("last"))
+    else:
+        cells = known.select("actor_hash", first.alias("first"), last.alias("last"))
+    nexts = cells.withColumn("gap_end", F.lead("first.ts").over(Window.partitionBy("actor_hash").orderBy("first")))
+    gaps = nexts.where(F.col("gap_end").isNotNull()).select("actor_hash", F.col("last.work_item_id").alias("work_item_id"), F.col("last.ts").alias("gap_start"), "gap_end", minutes_between("last.ts", "gap_end").alias("gap_minutes"))
     return gaps.where((F.col("gap_minutes") >= minutes) & (F.hour("gap_start") >= start_hour) & (F.hour("gap_start") < end_hour))

@@ -81,7 +81,7 @@ def session_distribution(sessions: DataFrame, p: Params = DEFAULT) -> DataFrame:
     labels = [label for _, label in BUCKETS] + ["8h+"]
     counts = [F.count(F.when(F.col("bucket") == label, 1)).alias(f"n_{i}") for i, label in enumerate(labels)]
     facts = [F.count("*").alias("n_sessions"), F.avg("hours").alias("mean_hours"), F.sum("hours").alias("total_hours"), (F.sum("hours") / p.hours_per_engineer_year).alias("engineer_years"), *counts]
-    return with_ranks(sessions.withColumn("bucket", chain.otherwise("8h+")), [], "hours", facts, {"median_hours": (0.5, "between"), "p90_hours": (0.9, "floor")}, cells_per_unit=64)
+    return with_ranks(sessions.withColumn("bucket", chain.otherwise("8h+")), [], "hours", facts, {"median_hours": (0.5, "between"), "p90_hours": (0.9, "floor")})
 
 
 def gap_sweep(events: DataFrame, p: Params = DEFAULT) -> DataFrame:

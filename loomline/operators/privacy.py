@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,26 +46,32 @@ def is_bot(login: str | Column, typename: Column | None = None) -> Column:
     return typed | F.coalesce(handle, F.lit("")).eqNullSafe("") | F.coalesce(listed | handle.rlike(BOT_PATTERN), F.lit(False))
 
 
+def woven(text: Column, pattern: Column, group: int, name: Callable[[Column], Column]) -> Column:
+    """The text with each match of the pattern replaced by what `name` makes of the group: cut at the matches and put together again."""
+    found, parts = F.regexp_extract_all(text, pattern, F.lit(group)), F.split(text, pattern)
+    rest = F.zip_with(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), found, lambda part, match: F.concat(name(match), part))
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+
 def redact(df: DataFrame, text: str, logins: str, salt: str) -> DataFrame:
-    """V3: e-mail addresses go, the record's own logins (longest first) and mentions become short pseudonyms."""
+    """V3: e-mail addresses go, the record's own logins and mentions become short pseudonyms.
+
+    All logins of a record are searched for in one pass, the longest one first where several begin; a pseudonym does not
+    depend on case, so it comes from the match itself. Texts without an @ or a login's characters are not searched.
+    """
 
     def short(login: Column) -> Column:
         return F.substring(pseudonym(login, salt), 1, 8)
 
     known = F.array_sort(F.filter(F.array_distinct(F.coalesce(F.col(logins), F.array().cast("array<string>"))), lambda x: F.trim(x) != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    plain = F.regexp_replace(F.col(text), EMAIL, "<email-redacted>")
-
-    def one(t: Column, login: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), login, F.lit(r"\E(?![A-Za-z0-9])"))
-        return F.regexp_replace(t, quoted, short(login))
-
-    named = F.aggregate(known, plain, one)
-    # mentions: cut the text at each of them and put a pseudonym between the parts
-    found = F.regexp_extract_all("_t", F.lit(MENTION), F.lit(1))
-    parts = F.split("_t", MENTION)
-    woven = F.concat(F.element_at("_parts", 1), F.array_join(F.zip_with(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), "_found", lambda p, m: F.concat(F.lit("@"), short(m), p)), ""))
-    out = df.withColumn("_t", named).withColumns({"_found": found, "_parts": parts})
-    return out.withColumn(text, F.when(F.col(text).isNull(), F.col(text)).when(F.size("_found") > 0, woven).otherwise(F.col("_t"))).drop("_t", "_found", "_parts")
+    mails = F.contains(F.col(text), F.lit("@"))
+    out = df.withColumn("_known", known).withColumn("_t", F.when(mails, F.regexp_replace(F.col(text), EMAIL, "<email-redacted>")).otherwise(F.col(text)))
+    quoted = F.transform("_known", lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    anywhere = F.exists("_known", lambda x: F.contains(F.lower("_t"), F.lower(x)))
+    named = woven(F.col("_t"), F.concat(F.lit("(?i)(?<![A-Za-z0-9])(?:"), F.array_join(quoted, "|"), F.lit(")(?![A-Za-z0-9])")), 0, short)
+    out = out.withColumn("_t", F.when(anywhere, named).otherwise(F.col("_t")))
+    mentioned = woven(F.col("_t"), F.lit(MENTION), 1, lambda m: F.concat(F.lit("@"), short(m)))
+    return out.withColumn(text, F.when(F.contains("_t", F.lit("@")), mentioned).otherwise(F.col("_t"))).drop("_t", "_known")
 
 
 def scrub_person(person: Column, salt: str) -> Column:

@@ -103,13 +103,13 @@ def waste_summary(rework: DataFrame, ci: DataFrame, backlog: DataFrame) -> DataF
 
 def waste_categories(waste: DataFrame, exposure: tuple[str, ...] = ("key_person",)) -> DataFrame:
     """Amount by kind, its share of what is recoverable, and hours: summed if all is priced, else their median."""
-    by = waste.groupBy("waste_type").agg(
+    facts = [
         F.count("*").alias("n_rows"),
         F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("amount"),
         (F.count("cost") == F.count("*")).alias("priced"),
-        F.sum(F.coalesce("hours", F.lit(0.0))).alias("sum_hours"),
-        F.percentile(F.coalesce("hours", F.lit(0.0)), F.lit(0.5)).alias("mid_hours"),
-    )
+        F.sum("hours").alias("sum_hours"),
+    ]
+    by = with_ranks(waste.withColumn("hours", F.coalesce("hours", F.lit(0.0))), ["waste_type"], "hours", facts, {"mid_hours": (0.5, "between")})
     recoverable = ~is_in("waste_type", exposure)
     total = F.sum(F.when(recoverable, F.col("amount")).otherwise(0.0)).over(Window.partitionBy(F.lit(0)))
     share = F.when(recoverable & F.col("priced") & (total > 0), F.col("amount") / total).otherwise(0.0)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import hashlib
 import random
 
 import pytest
 from loomline.operators import capacity, cost, effort, normalise, privacy, process, quality, waste
 from loomline.functions import cells
 from loomline.functions.joins import measured
-from loomline.functions.ranks import with_ranks
+from loomline.functions.ranks import ordered_bits, with_ranks
 from loomline.params import Citation, Params
 from loomline.sources import keyed_log, landing, sample_log
 from loomline.streaming import streams
@@ -476,3 +477,47 @@ def test_variants_spell_one_case_each(spark):
     found = {r.variant_key: (r.n_cases, r.total_cost, r.cost_share_pct, r.is_modal) for r in process.variants(process.case_paths(nodes, items, cost_of), nodes).collect()}
     assert {k: v[0] for k, v in found.items()} == {"review>commit>merged": 2, "commit>review>merged": 1, "review>commitx2>merged": 1}
     assert found["review>commit>merged"][2:] == (50.0, True) and not found["commit>review>merged"][3]
+
+
+def test_ranks_of_dense_values(spark):
+    """A hundred thousand values within one thousandth: cells of the last bits decide, and no round orders all values."""
+    rng = random.Random(8)
+    values = [1.0 + rng.random() / 1000 for _ in range(100_000)] + [0.0, -0.0, -1e-310, 5e-324, 1e308, -1e308, float("inf"), -2.5, -2.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = with_ranks(df, [], "v", [F.count("*").alias("n")], {"m": (0.5, "between"), "low": (0.0, "floor"), "p": (0.9, "nearest")}).first()
+    values.sort()
+    assert got.n == len(values) and got.m == pytest.approx(values[len(values) // 2], rel=1e-12) and got.low == -1e308 and got.p == values[round(0.9 * (len(values) - 1))]
+
+
+def test_bits_are_ordered_as_the_values(spark):
+    rng = random.Random(9)
+    values = sorted({0.0, 5e-324, 2.0**-1022, 1.0, 2.0, 3.0, 1e308, float("inf"), *(rng.choice((-1, 1)) * rng.random() * 2.0 ** rng.randint(-1070, 1000) for _ in range(3000)), *(2.0**i for i in range(-1030, 1000, 7)), *(-(2.0**i) * (1 - 2**-53) for i in range(-60, 60))})
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").withColumn("b", ordered_bits("v")).orderBy("i").collect()
+    assert all(a.b < b.b for a, b in zip(rows, rows[1:]))
+
+
+def test_grid_without_a_window_over_all(spark):
+    rows = [("r", f"c{i}", 5, 3, 2, 2.0, 0.5, None, 4.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "repo string, component string, n_engineers int, closed_items int, open_items int, items_per_week double, throughput_cv double, cost decimal(18,2), span_weeks double")
+    grid = capacity.reallocation_grid(df)
+    assert grid.count() == 40 * 40 * 3 and "Window" not in grid._jdf.queryExecution().toString()
+    assert grid.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+@pytest.mark.parametrize("minutes", [0, 30, 45.5])
+def test_free_gaps_against_a_walk(spark, minutes):
+    rng = random.Random(2)
+    log = events(spark, [(f"w{i % 3}", rng.choice("ab"), "commit", rng.choice([rng.randrange(3000), 600, 645.5, 630])) for i in range(200)])
+    want = []
+    for who in "ab":
+        own = sorted((r.ts, r.event_id, r.work_item_id) for r in log.where(F.col("actor_hash") == who).collect())
+        want += [(who, a[2], a[0], b[0]) for a, b in zip(own, own[1:]) if (b[0] - a[0]).total_seconds() / 60 >= minutes and 9 <= a[0].hour < 18]
+    assert sorted((r.actor_hash, r.work_item_id, r.gap_start, r.gap_end) for r in cost.free_gaps(log, minutes).collect()) == sorted(want)
+
+
+def test_redaction_in_one_pass(spark):
+    rows = [("ann and Ann-Lee, not anna; by ann-lee@x.org @ANN", ["ann", "ann-lee", " "]), ("a.b [bot] a.b x\\Ey", ["a.b", "[bot]", "x\\Ey"]), (None, ["ann"]), ("plain text", None), ("@bob! hi", [])]
+    out = [r.t for r in privacy.redact(spark.createDataFrame(rows, "t string, l array<string>"), "t", "l", "s").collect()]
+    p = lambda x: hashlib.sha256((x + "s").encode()).hexdigest()[:8]
+    assert out[1:] == [f"{p('a.b')} {p('[bot]')} {p('a.b')} {p(chr(120) + chr(92) + 'ey')}", None, "plain text", f"@{p('bob')}! hi"]
+    assert out[0].startswith(f"{p('ann')} and {p('ann-lee')}, not anna; by <email-redacted> @")
