@@ -15,7 +15,8 @@ ACTIVITIES = (
 )
 SOURCES = ("github", "jira", "synthetic")
 # First words of a publisher or address that stand for a missing one.
-PLACEHOLDER = re.compile(r"(?i)(todo|tbd|fill|xxx|change-?me|none|n/?a|unknown|\?)(?![a-z0-9])")
+PLACEHOLDERS = ("todo", "tbd", "fill", "xxx", "changeme", "change-me", "none", "na", "n/a", "unknown", "?")
+PLACEHOLDER = re.compile("(?i)(" + "|".join(map(re.escape, PLACEHOLDERS)) + ")(?![a-z0-9])")
 # Names that are kept for examples and never belong to a source.
 EXAMPLE_HOST = re.compile(r"(?i)https?://([^/]*\.)?(example(\.(org|com|net))?|localhost|[^/]*\.(test|invalid))(?![a-z0-9.-])")
 
