@@ -64,29 +64,36 @@ def _share(hits: Column, of: Column, empty: float) -> Column:
     return F.when(F.size(of) > 0, F.size(hits) / F.size(of)).otherwise(empty)
 
 
-def fit_scores(candidates: DataFrame, required: DataFrame) -> DataFrame:
-    """Every candidate against every opening: why they are not eligible (null: they are), sub-scores, contributions and score.
+def _asked(required: DataFrame) -> DataFrame:
+    return required.select("opening_id", F.col("component").alias("target"), "required_skills", F.col("work_areas").alias("areas"), F.col("shift").alias("wanted_shift"), F.col("availability").alias("wanted_days"))
 
-    Each candidate meets each opening, so the result has that many rows; the openings are broadcast if they measure small.
-    """
-    r = required.select("opening_id", F.col("component").alias("target"), "required_skills", F.col("work_areas").alias("areas"), F.col("shift").alias("wanted_shift"), F.col("availability").alias("wanted_days"))
-    pairs = candidates.crossJoin(measured(r))
+
+def _cheap() -> tuple[dict[str, Column], Column, Column]:
+    """Of a candidate beside an opening: the sub-scores that compare lists and numbers (of experience, the part of the years), shared days and matched skills."""
     have, wanted = norms("skills"), F.col("required_skills")
     matched = F.filter(wanted, lambda s: F.array_contains(have, norm(s)))
-    corpus = norm(F.array_join(F.concat("projects", "experience"), " "))
-    topical = _share(F.filter(wanted, lambda s: F.contains(corpus, norm(s))), wanted, 0.0)
     shift = F.when(F.col("preferred_shift") == F.col("wanted_shift"), 1.0).when((F.col("preferred_shift") == "flexible") | (F.col("wanted_shift") == "flexible"), FLEXIBLE).otherwise(0.0)
     area = F.when(F.arrays_overlap("preferred_areas", "areas"), 1.0).otherwise(0.0)
     days = F.array_intersect("availability", "wanted_days")
-    declared, target = F.filter(norms("familiar_components"), lambda c: c != ""), norm(F.col("target"))
-    near = F.exists(declared, lambda c: F.contains(target, c) | F.contains(c, target))
     subs = {
         "skill": _share(matched, wanted, 0.0),
-        "experience": 0.5 * F.least(F.lit(1.0), F.col("years_experience") / FULL_YEARS) + 0.5 * topical,
+        "experience": 0.5 * F.least(F.lit(1.0), F.col("years_experience") / FULL_YEARS),
         "preference": F.when(F.size("areas") > 0, AREA_SHARE * area + SHIFT_SHARE * shift).otherwise(shift),
         "availability": _share(days, F.col("wanted_days"), 1.0),
-        "familiarity": F.when(F.array_contains(declared, target), 1.0).when(near, 0.5).otherwise(0.0),
+        "familiarity": F.lit(0.0),
     }
+    return subs, days, matched
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Reasons, sub-scores, contributions and score of candidates beside openings."""
+    subs, days, matched = _cheap()
+    wanted = F.col("required_skills")
+    corpus = norm(F.array_join(F.concat("projects", "experience"), " "))
+    topical = _share(F.filter(wanted, lambda s: F.contains(corpus, norm(s))), wanted, 0.0)
+    declared, target = F.filter(norms("familiar_components"), lambda c: c != ""), norm(F.col("target"))
+    near = F.exists(declared, lambda c: F.contains(target, c) | F.contains(c, target))
+    subs |= {"experience": subs["experience"] + 0.5 * topical, "familiarity": F.when(F.array_contains(declared, target), 1.0).when(near, 0.5).otherwise(0.0)}
     reason = F.when(~F.col("open_to_other_teams"), "not open to other teams").when(F.size(days) == 0, "available on none of the days").when((F.size(wanted) > 0) & (F.size(matched) == 0), "none of the skills")
     scored = pairs.withColumns({f"sub_{n}": F.round(c, 4) for n, c in subs.items()} | {f"part_{n}": F.round(F.lit(dict(WEIGHTS)[n]) * c, 4) for n, c in subs.items()} | {"excluded_reason": reason, "n_matched": F.size(matched)})
     total = F.lit(0.0)
@@ -95,6 +102,48 @@ def fit_scores(candidates: DataFrame, required: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round(total, 4)).select("opening_id", "employee_id", "name", "excluded_reason", "n_matched", *[f"sub_{n}" for n, _ in WEIGHTS], *[f"part_{n}" for n, _ in WEIGHTS], "score")
 
 
+def fit_scores(candidates: DataFrame, required: DataFrame) -> DataFrame:
+    """Every candidate against every opening: why they are not eligible (null: they are), sub-scores, contributions and score.
+
+    Each candidate meets each opening, so the result has that many rows; the openings are broadcast if they measure small.
+    For the best of each opening see `best_candidates`, which scores far fewer.
+    """
+    return _scored(candidates.crossJoin(measured(_asked(required))))
+
+
+def shortlist(candidates: DataFrame, required: DataFrame, k: int) -> DataFrame:
+    """The pairs that can be among an opening's k best, with all columns that `_scored` reads.
+
+    An index from skills to people gives an opening's people who have any of its skills; others are not eligible, unless it
+    asks for none. What compares lists and numbers gives each pair a least and a greatest possible score. The k-th best
+    least score of an opening is its bar, and only pairs whose greatest score reaches it are kept. The k first of each
+    opening are picked in every task before they are shuffled.
+    """
+    asked = _asked(required)
+    people = candidates.where("open_to_other_teams")
+    held = people.select("employee_id", F.explode(F.array_distinct(norms("skills"))).alias("_skill"))
+    sought = asked.select("opening_id", F.explode(F.array_distinct(F.transform("required_skills", norm))).alias("_skill"))
+    linked = held.join(measured(sought), "_skill").select("opening_id", "employee_id").distinct()
+    anyone = people.select("employee_id").crossJoin(measured(asked.where(F.size("required_skills") == 0).select("opening_id"))).select("opening_id", "employee_id")
+    subs, days, _ = _cheap()
+    least = F.lit(0.0)
+    for n, weight in WEIGHTS:
+        least = least + weight * subs[n]
+    w = dict(WEIGHTS)
+    # 0.001: each part and the score are rounded to four digits
+    most = F.col("_least") + w["experience"] * 0.5 + w["familiarity"] + 0.001
+    pairs = linked.unionByName(anyone).join(people, "employee_id").join(measured(asked), "opening_id").where(F.size(days) > 0).withColumn("_least", least)
+    order = Window.partitionBy("opening_id").orderBy(F.col("_least").desc(), "employee_id")
+    first = pairs.select("opening_id", "employee_id", "_least").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    bars = first.where(F.col("_n") == k).select("opening_id", (F.col("_least") - 0.001).alias("_bar"))
+    return pairs.join(bars, "opening_id", "left").where(F.col("_bar").isNull() | (most >= F.col("_bar"))).drop("_least", "_bar")
+
+
+def best_candidates(candidates: DataFrame, required: DataFrame, n: int, alternates: int = 3) -> DataFrame:
+    """`rank_candidates` of `fit_scores`, with only those pairs scored that can be among the best of their opening."""
+    return rank_candidates(_scored(shortlist(candidates, required, n + alternates)), n, alternates)
+
+
 def candidates(profiles: DataFrame, preferences: DataFrame) -> DataFrame:
     """People behind the consent gate with the columns that `fit_scores` reads."""
     return nameable(profiles, preferences).withColumnRenamed("work_areas", "preferred_areas")

@@ -342,7 +342,10 @@ def landed(t: Tables, shift: int) -> DataFrame:
 
 @query("s2_upserted_payloads", "entity_id:s version:s", f"SELECT repo || '#' || number AS entity_id, CASE WHEN number % 3 = 1 THEN '0' WHEN number % 3 = 0 THEN '1' ELSE '1' END AS version FROM ({PR}) AS p")
 def _(t: Tables) -> DataFrame:
-    return landing.upsert_raw(landed(t, 0), landed(t, 1)).withColumn("version", F.split_part("body", F.lit(":"), F.lit(1)))
+    log = landing.raw_log(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}")
+    for fetch in (0, 1):
+        log.upsert(landed(t, fetch), ("connector", fetch))
+    return log.read(source="github_graphql", entity_type="pull_request").withColumn("version", F.split_part("body", F.lit(":"), F.lit(1)))
 
 
 @query("s1_read_landed", "entity_id:s version:s", f"SELECT repo || '#' || number AS entity_id, CASE WHEN number % 3 = 1 THEN '0' ELSE '1' END AS version FROM ({PR}) AS p")

@@ -83,7 +83,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("g5_ranking", "opening_id:s position:i employee_id:s score:h role:s", sql("SELECT opening_id, position, employee_id, score, CASE WHEN position <= 3 THEN 'chosen' ELSE 'alternate' END AS role FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY opening_id ORDER BY score DESC, employee_id) AS position FROM scored WHERE reason IS NULL) WHERE position <= 6"), prelude=False)
 def _(t: Tables) -> DataFrame:
-    return staffing.rank_candidates(scores(t), 3)
+    return staffing.best_candidates(people(t), required(t), 3)
 
 
 G6 = """, terms AS (SELECT opening_id, employee_id, CAST(ROUND(score * 100, 0) AS INTEGER) AS headline, unnest([0, 1, 2, 3, 4]) AS i, unnest(['skill', 'experience', 'preference', 'availability', 'familiarity']) AS term, ROUND(unnest([pa, pb, pc, pd, pe]) * 100, 6) AS exact FROM scored WHERE reason IS NULL)

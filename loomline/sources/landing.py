@@ -33,7 +33,7 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def upsert_raw(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Payloads by key, the last fetch wins; on equal times the new one."""
+    """Payloads by key, the last fetch wins; on equal times the new one. For two tables at hand; `raw_log(...).upsert` adds to a landed one."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     return latest(both, RAW_KEY, [F.col("fetched_at").desc_nulls_last(), F.col("_new").desc(), F.col("body")]).drop("_new")
 

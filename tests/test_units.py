@@ -9,7 +9,7 @@ import hashlib
 import random
 
 import pytest
-from loomline.operators import capacity, cost, effort, normalise, privacy, process, quality, waste
+from loomline.operators import capacity, cost, effort, normalise, privacy, process, quality, staffing, waste
 from loomline.functions import cells
 from loomline.functions.joins import measured
 from loomline.functions.ranks import ordered_bits, with_ranks
@@ -521,3 +521,21 @@ def test_redaction_in_one_pass(spark):
     p = lambda x: hashlib.sha256((x + "s").encode()).hexdigest()[:8]
     assert out[1:] == [f"{p('a.b')} {p('[bot]')} {p('a.b')} {p(chr(120) + chr(92) + 'ey')}", None, "plain text", f"@{p('bob')}! hi"]
     assert out[0].startswith(f"{p('ann')} and {p('ann-lee')}, not anna; by <email-redacted> @")
+
+
+def test_best_candidates_score_few_pairs(spark):
+    """Equal to ranking all pairs; of ten thousand people and a thousand openings a small part is scored."""
+
+    def made(n, m):
+        pick = lambda c, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(len(values))) + 1).cast("int"))
+        skills = [f"Skill {i}" for i in range(40)]
+        people = spark.range(n).select(F.format_string("e%05d", "id").alias("employee_id"), F.lit("x").alias("name"), F.array(pick("a", skills), pick("b", skills)).alias("skills"), F.array(pick("c", skills)).alias("projects"), F.array(F.lit("text")).alias("experience"), F.pmod("id", F.lit(9)).alias("years_experience"),
+                                       F.array(pick("d", ["core", "lib", "web"])).alias("familiar_components"), pick("e", ["morning", "flexible", "evening"]).alias("preferred_shift"), F.array(pick("f", ["backend", "data"])).alias("preferred_areas"), F.array(pick("g", staffing.WEEKDAYS), pick("h", staffing.WEEKDAYS)).alias("availability"), (F.col("id") % 5 > 0).alias("open_to_other_teams"))
+        openings = spark.range(m).select(F.format_string("o%04d", "id").alias("opening_id"), pick("i", ["core", "lib", "web"]).alias("component"), F.when(F.col("id") % 50 == 7, F.array().cast("array<string>")).otherwise(F.array(pick("j", skills), pick("k", skills), pick("l", skills))).alias("required_skills"),
+                                         F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("data"))).alias("work_areas"), pick("m", ["morning", "flexible"]).alias("shift"), F.array(pick("n", staffing.WEEKDAYS), pick("o", staffing.WEEKDAYS)).alias("availability"))
+        return people, openings
+
+    people, openings = made(400, 60)
+    assert same(staffing.rank_candidates(staffing.fit_scores(people, openings), 3), staffing.best_candidates(people, openings, 3))
+    people, openings = made(10_000, 1_000)
+    assert staffing.shortlist(people, openings, 6).count() < 10_000 * 1_000 / 15
