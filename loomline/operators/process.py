@@ -176,13 +176,13 @@ def collapsed_sequence(events: DataFrame, rows: int = cells.ROWS) -> DataFrame:
 def human_transitions(nodes: DataFrame) -> DataFrame:
     """From each collapsed node to the next (null after the last); the gap runs from the end of one to the start of the other."""
     nexts = cells.following(nodes, [CASE], ["node_step"], {"target_activity": "activity", "target_started_at": "started_at"})
-    return nexts.select(CASE, F.col("activity").alias("source_activity"), "target_activity", F.col("started_at").alias("source_started_at"), "target_started_at", hours_between("ended_at", "target_started_at").alias("gap_hours"))
+    return nexts.select(CASE, F.col("activity").alias("source_activity"), "target_activity", F.col("started_at").alias("source_started_at"), "target_started_at", hours_between("ended_at", "target_started_at").alias("gap_hours"), *cells.cell(nodes))
 
 
 def edges(moves: DataFrame, items: DataFrame, case_cost: DataFrame) -> DataFrame:
     """Directly-follows edges by repository with their median gap and the cost of all cases that took them, each case once."""
     key = ["repo", "source_activity", "target_activity"]
-    labelled = moves.where("target_activity is not null").join(items.select("work_item_id", "repo"), "work_item_id")
+    labelled = cells.with_facts(moves.where("target_activity is not null"), items.select("work_item_id", "repo"), CASE)
     by_case = labelled.dropna(subset=key).groupBy(*key, "work_item_id").agg(F.count("*").alias("n"))
     exposed = by_case.join(case_cost.select("work_item_id", "total_cost"), "work_item_id", "left").groupBy(*key)
     exposed = exposed.agg(F.sum("n").alias("n_transitions"), F.count("*").alias("n_cases"), F.sum(F.coalesce("total_cost", F.lit(0).cast("decimal(18,2)"))).alias("case_cost_exposure"))
@@ -247,11 +247,12 @@ def variant_class(events: DataFrame) -> DataFrame:
 
 def edges_by_class(moves: DataFrame, classes: DataFrame, items: DataFrame, case_cost: DataFrame) -> DataFrame:
     """Edges by repository and class, a case's cost split evenly over its transitions."""
-    taken = moves.where("target_activity is not null").withColumn("n_own", F.count("*").over(Window.partitionBy("work_item_id")))
-    known = taken.join(items.select("work_item_id", "repo"), "work_item_id").join(classes, "work_item_id").join(case_cost.select("work_item_id", "total_cost"), "work_item_id", "left")
-    share = F.coalesce(F.col("total_cost").cast("double"), F.lit(0.0)) / F.col("n_own")
-    by_case = known.groupBy("repo", "variant_class", "source_activity", "target_activity", "work_item_id").agg(F.count("*").alias("n"), F.sum(share).alias("cost"))
-    return by_case.groupBy("repo", "variant_class", "source_activity", "target_activity").agg(F.sum("n").alias("n_transitions"), F.count("*").alias("n_cases"), F.sum("cost").alias("cost_rupees"))
+    # counted by case and edge first: a case has no more rows here than there are pairs of activities
+    taken = moves.where("target_activity is not null").groupBy(CASE, "source_activity", "target_activity").agg(F.count("*").alias("n"))
+    owned = taken.withColumn("n_own", F.sum("n").over(Window.partitionBy(CASE)))
+    known = owned.join(items.select("work_item_id", "repo"), "work_item_id").join(classes, "work_item_id").join(case_cost.select("work_item_id", "total_cost"), "work_item_id", "left")
+    cost = F.coalesce(F.col("total_cost").cast("double"), F.lit(0.0)) / F.col("n_own") * F.col("n")
+    return known.groupBy("repo", "variant_class", "source_activity", "target_activity").agg(F.sum("n").alias("n_transitions"), F.count("*").alias("n_cases"), F.sum(cost).alias("cost_rupees"))
 
 
 def class_summary(classes: DataFrame, items: DataFrame, case_cost: DataFrame) -> DataFrame:
