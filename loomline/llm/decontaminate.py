@@ -28,7 +28,7 @@ def words(text: Column) -> Column:
 
 
 def shingles(words: Column, n: int | Column) -> Column:
-    """All runs of n words, joined by spaces; an empty array if there are fewer."""
+    """All runs of n words, joined by spaces; an empty array if there are fewer, and so for an empty text; null for null words. Repeats are kept."""
     n = F.lit(n) if isinstance(n, int) else n
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
@@ -59,7 +59,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     name them. Other columns are ignored. Whole documents are searched, words and texts of any length; of hashes that tie
     in a sketch's order the first by its words counts. Documents are split once for all lengths of items. Hashes of
     sketches and the keys of candidate documents are broadcast if they are measured to be small, else shuffled; words
-    of shingles are never broadcast by request.
+    of shingles are never broadcast by request. Without documents or without items there are no rows.
     """
     parts = cut(item_shingles(items.where(F.col(item_key).isNotNull()), item_key, item_text, shingle, threshold, seed))
     lengths = sorted(r[0] for r in parts.select("n").distinct().collect())  # at most `shingle` different ones

@@ -163,7 +163,7 @@ def _roots(printed: DataFrame, radius: int, segments: int) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3) -> DataFrame:
     """One row per row of `df`: `key`, fingerprint (long) and component_id, the least `key` reachable over links.
 
-    Texts without words have fingerprint 0 and are linked like any other. Null keys are given a component but never
+    Texts without words have fingerprint 0 and are linked like any other; very long ones are hashed whole, a part at a time. Null keys are given a component but never
     name one, unless it has no other. Copies, repeated rows and ties meet in one row per fingerprint before anything is
     compared. An empty table gives no rows; columns of `df` but the two named are ignored.
     """

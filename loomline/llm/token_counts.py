@@ -300,7 +300,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", into: str = "n_to
     """Add a column `into` with the number of tokens of `text` under the byte-level BPE file at `path`.
 
     `path` must be readable on each executor. A null text counts as empty (0 tokens). Rows keep their order and all
-    other columns, whatever their names; repeated rows and empty tables need no special care. No shuffle. Memory: a
+    other columns, whatever their names; repeated rows give equal counts, nothing is decided by ties, an empty table gives no rows. No shuffle. Memory: a
     batch of texts is processed in pieces of about `batch_chars` characters (one longer text at a time).
     """
     df = df.drop(into)

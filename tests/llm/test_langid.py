@@ -1,6 +1,5 @@
 import zlib
 
-import pytest
 from loomline.llm.langid import Settings, bucket_counts, held_out, identify, learn, predict, subwords, train
 from pyspark.sql import functions as F
 
