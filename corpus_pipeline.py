@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates: fingerprints of five-word shingles at most 5 of 64 bits apart.
 
     Of a group the row with the least doc_id stays (null last, ties by text), so of repeated rows one; null and empty
-    texts are one group. All columns come back, whatever their names; an empty table gives no rows.
+    texts are one group, very long ones are hashed whole. All columns come back, whatever their names; an empty table gives no rows.
     """
     return simhash.one_of_each(docs, radius=5, segments=3, words=5)
 
@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks. Rows that share a doc_id are one document, those without one are known by their text.
 
-    Null and empty texts stay, as do all columns, whatever their names; an empty table gives no rows.
+    Null and empty texts stay, very long ones are searched whole, repeated rows share their fate; all columns stay, whatever
+    their names; an empty table gives no rows.
     """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
