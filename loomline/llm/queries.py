@@ -132,9 +132,9 @@ FROM turns GROUP BY conv_id
 #: Nodes as lists of turns; what a subtree holds is summed by every node's ancestors.
 OP11 = r"""
 WITH ordered AS (
-  SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS at
+  SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY at) AS turns FROM ordered GROUP BY conv_id),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM ordered GROUP BY conv_id),
 bits AS (SELECT conv_id, list(b ORDER BY i) AS code FROM (SELECT conv_id, i, ord(substr(CAST(conv_id AS VARCHAR), i, 1)) AS b FROM (SELECT conv_id, unnest(range(1, length(CAST(conv_id AS VARCHAR)) + 1)) AS i FROM own)) GROUP BY conv_id),
 hashed AS (
   SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, code), lambda crc, b:
@@ -164,23 +164,23 @@ def op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
         return f"""
 a{i} AS (
   SELECT part, vec_id, arg_min(entry, (d, entry)) AS entry, min(d) AS d
-  FROM (SELECT x.part, x.vec_id, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM pieces AS x JOIN b{i} AS b ON b.part = x.part AND b.at = x.at GROUP BY x.part, x.vec_id, b.entry)
+  FROM (SELECT x.part, x.vec_id, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM pieces AS x JOIN b{i} AS b ON b.part = x.part AND b.pos = x.pos GROUP BY x.part, x.vec_id, b.entry)
   GROUP BY part, vec_id),"""
 
     moved = "".join(
         f"""{assigned(i)}
-m{i} AS (SELECT x.part, a.entry, x.at, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM pieces AS x JOIN a{i} AS a ON a.part = x.part AND a.vec_id = x.vec_id GROUP BY x.part, a.entry, x.at),
-b{i + 1} AS (SELECT b.part, b.entry, b.at, COALESCE(m.v, b.v) AS v FROM b{i} AS b LEFT JOIN m{i} AS m ON m.part = b.part AND m.entry = b.entry AND m.at = b.at),"""
+m{i} AS (SELECT x.part, a.entry, x.pos, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM pieces AS x JOIN a{i} AS a ON a.part = x.part AND a.vec_id = x.vec_id GROUP BY x.part, a.entry, x.pos),
+b{i + 1} AS (SELECT b.part, b.entry, b.pos, COALESCE(m.v, b.v) AS v FROM b{i} AS b LEFT JOIN m{i} AS m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos),"""
         for i in range(rounds)
     )
     return f"""
 WITH kept AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // {parts} AS width
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-pieces AS (SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS at, v[i] AS v FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM kept)),
-b0 AS (SELECT part, row_number() OVER (PARTITION BY part, at ORDER BY vec_id) - 1 AS entry, at, v FROM pieces WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),{moved}{assigned(rounds)}
+pieces AS (SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS pos, v[i] AS v FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part, pos ORDER BY vec_id) - 1 AS entry, pos, v FROM pieces WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),{moved}{assigned(rounds)}
 whole AS (SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
-SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, at)) FROM b{rounds}) AS codebooks_sha256
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
 FROM whole JOIN kept USING (vec_id)
 """
 

@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from loomline.llm.pii import seed_secrets
-from loomline.llm.queries import QUERIES
+from loomline.llm.queries import ORACLES, QUERIES
 from loomline.llm.simhash import fingerprint
 from loomline.llm.winnow import edited
 from tests.llm.test_decontaminate import brute as leaked
@@ -151,3 +152,16 @@ def test_op9(spark, sf_dir, texts):
 def test_op10(spark, sf_dir, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert {(r.doc_id, r.item_id) for r in run(spark, sf_dir, "op10_decontamination")} == leaked([(i, r.text) for i, r in texts.items()], items)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_says_the_same(spark, sf_dir, name):
+    """Each query that has SQL against it in DuckDB."""
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
+        con.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    df, relation = QUERIES[name](spark, sf_dir), con.sql(ORACLES[name])
+    columns = sorted(df.columns)
+    at = [relation.columns.index(c) for c in columns]
+    assert sorted(relation.columns) == columns
+    assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(repr(tuple(r[i] for i in at)) for r in relation.fetchall())
