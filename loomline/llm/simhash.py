@@ -9,11 +9,15 @@ A table's cell can hold any number of fingerprints that are alike in one segment
 not paired: their entries go on to tables keyed by the segment and one of the rest, again by pigeonhole over what is
 left of the r bits, and so on until the whole fingerprint is the key, where a cell holds one. So no pair is lost and no
 cell gives all its pairs, however many fingerprints share a segment.
+
+Links can be verified on the texts too (`similar_groups`): then a wide radius finds candidates, and two texts are linked if
+their sets of word shingles are alike enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -27,17 +31,22 @@ from .common import aside, cut, extended, small
 BITS, SEED = 64, 42
 
 
-def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
-    """64-bit SimHash of the word shingles; a bit is set if it is in over half of their hashes. No word: 0."""
+def shingle_hashes(text: str, words: int, seed: int = SEED) -> list[int]:
+    """The XXH64 of each run of so many words, repeats included; of the whole sequence if it is shorter; none without words."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
-    n = len(parts)
-    if n == 0:
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(parts) < words:
+        return [digest(join(parts), seed)] if parts else []
+    return [digest(join(x), seed) for x in zip(*(parts[i:] for i in range(words)))]
+
+
+def fingerprint(text: str, words: int = 3, seed: int = SEED, distinct: bool = False) -> int:
+    """64-bit SimHash of the word shingles (each once if `distinct`); a bit is set if it is in over half of their hashes. No word: 0."""
+    hashes = shingle_hashes(text, words, seed)
+    if distinct:
+        hashes = list(set(hashes))
+    if not hashes:
         return 0
-    if n < words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), seed)]
-    else:
-        digest, join = xxhash.xxh64_intdigest, b" ".join
-        hashes = [digest(join(x), seed) for x in zip(*(parts[i:] for i in range(words)))]
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(np.array(hashes[i : i + (1 << 16)], np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -45,14 +54,14 @@ def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", into: str = "fingerprint", words: int = 3, seed: int = SEED) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", into: str = "fingerprint", words: int = 3, seed: int = SEED, distinct: bool = False) -> DataFrame:
     """Replace the column `text` by `into` (long, the 64 bits as a signed number). A null text counts as empty: 0. No shuffle."""
     kept = [c for c in df.columns if c not in (text, into)]
     df = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py() or "", words, seed) for t in batch.column(len(kept))], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t.as_py() or "", words, seed, distinct) for t in batch.column(len(kept))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(found)], [*kept, into])
 
     return df.mapInArrow(run, extended(df.select(*[F.col(f"`{c}`") for c in kept]).schema, f"{into} long"))
@@ -160,6 +169,84 @@ def _roots(printed: DataFrame, radius: int, segments: int) -> DataFrame:
     return cut(distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
 
 
+def _shingled(texts: DataFrame, words: int) -> DataFrame:
+    """(node, text) to (node, shingles): the sorted distinct hashes of the text's word shingles. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column("text")):  # a text at a time: sets may be long
+                held = np.unique(np.array(shingle_hashes(t.as_py() or "", words), np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), pa.array([held], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity, in whole numbers; two empty sets are alike.
+
+    Sets too different in size are told apart by `sizes` (node, n), before any set is fetched.
+    """
+    up, down = similarity.numerator, similarity.denominator
+    n, m = sizes.select(F.col("node").alias("a"), F.col("n")), sizes.select(F.col("node").alias("b"), F.col("n").alias("m"))
+    can = pairs.select("a", "b").join(n, "a").join(m, "b").where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    met = F.size(F.array_intersect("x", "y")) * (down + up) >= (F.col("n") + F.col("m")) * up
+    return can.join(x, "a").join(y, "b").where(met).select("a", "b")
+
+
+def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, fingerprint, root of all nodes, root being the least node reachable over the edges."""
+    return cut(nodes.join(components(edges).withColumnRenamed("root", "_r"), "node", "left").select("node", "fingerprint", F.coalesce("_r", "node").alias("root")))
+
+
+def _unjoined(named: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of nodes a > b of near or equal fingerprints that have different roots, with these (x < y)."""
+    u = named.select(F.col("fingerprint").alias("a"), F.col("node").alias("_a"), F.col("root").alias("_x"))
+    v = named.select(F.col("fingerprint").alias("b"), F.col("node").alias("_b"), F.col("root").alias("_y"))
+    mixed = named.groupBy("fingerprint").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r < _s").select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
+    met = near.unionByName(mixed).join(u, "a").join(v, "b").where((F.col("_x") != F.col("_y")) & ((F.col("a") != F.col("b")) | (F.col("_a") > F.col("_b"))))
+    return met.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b"), F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"))
+
+
+def similar_groups(nodes: DataFrame, texts: DataFrame, radius: int, segments: int, words: int, similarity: float, rounds: int = 3) -> DataFrame:
+    """node and root (the least node reachable) of all nodes, over links between texts that are alike in fact.
+
+    `nodes` has one row (node, fingerprint) for each different text; `texts` makes a node's text of the nodes it is given
+    (node, text; repeats do no harm). Two nodes are linked if their fingerprints differ in at most `radius` bits and their
+    sets of `words`-word shingles have a Jaccard similarity of at least `similarity`. The groups are those of all such links:
+
+    First each node is held against the first node of its fingerprint, and each fingerprint's first node against that of the
+    least fingerprint near it. Then, as long as more pairs than texts are left between groups, one drawn pair of each two
+    groups is, for at most `rounds` turns and while that halves them. What is left after that is held against each other whole. So thousands of texts
+    that are all alike cost about a pair each, and no link that would join two groups is left out.
+    """
+    least = Fraction(str(similarity))
+    near = cut(links(nodes.select("fingerprint").distinct(), radius, segments))
+    firsts = cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    touched = near.select(F.explode(F.array("a", "b")).alias("fingerprint")).unionByName(firsts.where("n > 1").select("fingerprint")).distinct()
+    sets = cut(_shingled(texts(cut(nodes.join(touched, "fingerprint", "left_semi").select("node"))), words).dropDuplicates(["node"]))
+    sizes = small(cut(sets.select("node", F.size("shingles").cast("long").alias("n"))))
+    within = nodes.join(firsts.where("n > 1"), "fingerprint").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    to = near.groupBy("a").agg(F.min("b").alias("b"))
+    of = firsts.select("fingerprint", "first")
+    across = to.join(of.select(F.col("fingerprint").alias("a"), F.col("first").alias("_a")), "a").join(of.select(F.col("fingerprint").alias("b"), F.col("first").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    edges = cut(_alike(within.unionByName(across), sets, sizes, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    named, enough, before = _labels(nodes, edges), sets.count(), None
+    for turn in range(rounds):
+        unjoined = cut(_unjoined(named, near))
+        left = unjoined.count()
+        if left <= enough or (before and 2 * left > before):  # few, or most of them are unlike
+            break
+        before = left
+        pair = F.struct("a", "b")
+        drawn = unjoined.groupBy("x", "y").agg(F.min_by(pair, F.xxhash64(F.lit(turn), "a", "b")).alias("_p")).select("_p.*")
+        edges = cut(edges.unionByName(_alike(drawn, sets, sizes, least)))
+        named = _labels(nodes, edges)
+    rest = _alike(_unjoined(named, near).select("a", "b"), sets, sizes, least)
+    return _labels(nodes, cut(edges.unionByName(rest))).select("node", "root")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3) -> DataFrame:
     """One row per row of `df`: `key`, fingerprint (long) and component_id, the least `key` reachable over links.
 
@@ -175,9 +262,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return printed.join(labels, "fingerprint").select(F.col("_key").alias(key), "fingerprint", "component_id")
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """`df` without near-duplicates: of each component exactly one row stays, the one with the least key.
 
+    With a `similarity`, fingerprints are of the distinct shingles of `words` words, and a link within the radius counts only if
+    the two texts' sets of `shingle`-word shingles have that Jaccard similarity (see `similar_groups`).
+
     Keys are compared first (null last), then the XXH64 of the text; of rows equal in both the first in the order of
     all their columns' hash stays. So rows with a null or repeated key are judged by their own texts, like any other.
     An empty table gives no rows; all columns are kept, whatever their names. Rows with unique keys are not shuffled:
@@ -187,12 +277,18 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     own, back = aside(df, names)
     k, t = back[df.columns.index(key)], back[df.columns.index(text)]
     digest = F.xxhash64(F.coalesce(t, F.lit("")))
-    printed = cut(fingerprints(own.select(k.alias("_key"), digest.alias("_hash"), t.alias("_text")), "_text", words=words))
-    roots = _roots(printed, radius, segments)
+    node = F.unhex(F.md5(F.coalesce(t, F.lit(""))))  # a text's name among the verified links
+    unit, rows = "fingerprint", own.select(k.alias("_key"), digest.alias("_hash"), *([node.alias("_node")] if similarity else []), t.alias("_text"))
+    printed = cut(fingerprints(rows, "_text", words=words, distinct=similarity is not None))
+    if similarity:
+        nodes = cut(printed.groupBy(F.col("_node").alias("node")).agg(F.min("fingerprint").alias("fingerprint")))
+        unit, roots = "_node", similar_groups(nodes, lambda wanted: own.select(node.alias("node"), t.alias("text")).join(small(wanted), "node", "left_semi"), radius, segments, shingle, similarity).withColumnRenamed("node", "_node")
+    else:
+        roots = _roots(printed, radius, segments)
     order = F.struct(F.col("_key").isNull().alias("_null"), "_key", "_hash")
     # by fingerprint, then by component, so that no row is dealt by its group; a row stays if its key and text are a winner's
-    firsts = printed.groupBy("fingerprint").agg(F.min(order).alias("_best"))
-    best = firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("_best").alias("_best"))
+    firsts = printed.groupBy(unit).agg(F.min(order).alias("_best"))
+    best = firsts.join(roots, unit).groupBy("root").agg(F.min("_best").alias("_best"))
     winners = cut(best.select("_best._key", "_best._hash", F.col("root").alias("_root")))
     named = printed.where(F.col("_key").isNotNull()).select("_key", "_hash")
     judged = named.join(winners.select("_key", "_hash", F.lit(True).alias("_best")), ["_key", "_hash"], "left")

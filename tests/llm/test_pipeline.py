@@ -1,8 +1,7 @@
 import corpus_pipeline
 import pytest
-from loomline.llm.simhash import fingerprint
 from tests.llm.test_decontaminate import brute as leaked
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_simhash import brute_groups
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -14,10 +13,10 @@ def test_stages_against_brute_force(spark, sf_dir):
         if name == "language ID":
             assert len(rows) >= 0.98 * len(old)
         if name == "SimHash near-dedup":
-            prints = {r.doc_id: fingerprint(r.text, 5) for r in old}
-            roots, least = brute_components(sorted(set(prints.values())), 5), {}
-            for i in sorted(prints):
-                least.setdefault(roots[prints[i]], i)
+            groups = brute_groups({r.text or "" for r in old})
+            least = {}
+            for r in sorted(old, key=lambda r: r.doc_id):
+                least.setdefault(groups[r.text or ""], r.doc_id)
             assert {r.doc_id for r in rows} == set(least.values()) and len(rows) == len(least)
         if name == "benchmark decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

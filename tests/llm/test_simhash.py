@@ -4,7 +4,7 @@ import re
 
 import pytest
 import xxhash
-from loomline.llm.simhash import ball, components, fingerprint, fingerprints, links, near_duplicates, one_of_each, split
+from loomline.llm.simhash import ball, components, fingerprint, fingerprints, links, near_duplicates, one_of_each, similar_groups, split
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,28 @@ def brute_components(values, radius=2):
     return {v: root(v) for v in values}
 
 
+def brute_groups(texts, radius=7, words=2, shingle=5, least=(4, 5)):
+    """The least text of each text's group: fingerprints of distinct shingles near, and word shingles alike in fact."""
+    texts = sorted(texts)
+    prints, sets, parent = {}, {}, {t: t for t in texts}
+    for t in texts:
+        w = t.lower().split()
+        prints[t] = fingerprint(t, words, distinct=True)
+        sets[t] = {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for a, b in itertools.combinations(texts, 2):
+        if (prints[a] ^ prints[b]).bit_count() <= radius:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both * least[1] >= either * least[0] and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {t: root(t) for t in texts}
+
+
 def test_fingerprints(spark, docs):
     texts = ["", " \n", "One", "one TWO", "a b c", "É é \x1f x\x85y z", *(r.text for r in docs.limit(40).collect())]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
@@ -62,6 +84,50 @@ def test_links_are_all_near_pairs(spark, radius, segments, most):
     assert len(got) == len(set(got)) and set(got) == brute_links(values, radius)
 
 
+def edited(rng, base, vocabulary, share):
+    return " ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_groups_of_verified_links(spark, rounds):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {"", " ", "one", "one two", "One two", " ".join(["spam"] * 50), " ".join(["spam"] * 90)}
+    for _ in range(6):
+        base = rng.choices(vocabulary, k=rng.randint(60, 300))
+        texts |= {edited(rng, base, vocabulary, rng.choice([0.002, 0.01, 0.03])) for _ in range(25)}
+    names = {i.to_bytes(16, "big"): t for i, t in enumerate(sorted(texts))}
+    # a third of all texts share their fingerprint whatever they say, so that equal fingerprints are not enough
+    prints = {n: 5 if i % 3 == 0 else fingerprint(t, 2, distinct=True) - 2**63 for i, (n, t) in enumerate(names.items())}
+    nodes = spark.createDataFrame([(n, prints[n]) for n in names], "node binary, fingerprint long")
+    whole = spark.createDataFrame(list(names.items()), "node binary, text string")
+    got = {bytes(r.node): bytes(r.root) for r in similar_groups(nodes, lambda wanted: whole.join(wanted, "node", "left_semi"), 7, 4, 5, 0.8, rounds).collect()}
+    want, sets = {}, {}
+    for n, t in names.items():
+        w = t.lower().split()
+        sets[n] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        want[n] = n
+    linked = [(a, b) for a, b in itertools.combinations(sorted(names), 2) if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 7 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in names:
+        for a, b in linked:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and len(set(want.values())) > 10
+
+
+def test_near_copies_are_caught(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    bases = [rng.choices(vocabulary, k=rng.randint(100, 600)) for _ in range(300)]
+    pairs = [(" ".join(b), edited(rng, b, vocabulary, rng.random() * 0.03)) for b in bases]
+    caught = total = 0
+    for a, b in pairs:
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        if len(x & y) >= 0.8 * len(x | y):
+            total += 1
+            caught += (fingerprint(a, 2, distinct=True) ^ fingerprint(b, 2, distinct=True)).bit_count() <= 7
+    assert total > 150 and caught >= 0.9 * total
+
+
 def test_many_fingerprints_share_a_segment(spark):
     rng = random.Random(5)
     low = rng.getrandbits(32)
