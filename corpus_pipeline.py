@@ -24,12 +24,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: fingerprints of five-word shingles at most 5 of 64 bits apart.
+    """One document of each group of near-duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates are fingerprints of two-word shingles at most 7 of 64 bits apart; the similarity is verified on whole texts.
 
     Of a group the row with the least doc_id stays (null last, ties by text), so of repeated rows one; null and empty
     texts are one group, very long ones are hashed whole. All columns come back, whatever their names; an empty table gives no rows.
     """
-    return simhash.one_of_each(docs, radius=5, segments=3, words=5)
+    return simhash.one_of_each(docs, radius=7, segments=4, words=2, similarity=0.8, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
