@@ -11,12 +11,13 @@ left of the r bits, and so on until the whole fingerprint is the key, where a ce
 cell gives all its pairs, however many fingerprints share a segment.
 
 Links can be verified on the texts too (`similar_groups`): then a wide radius finds candidates, and two texts are linked if
-their sets of word shingles are alike enough.
+their sets of word shingles are alike enough. Pairs are listed only between texts that are in different groups by then
+and whose shingles, by what is known of each text alone, could be alike enough.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import combinations
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import aside, cut, extended, small
 
-BITS, SEED = 64, 42
+BITS, SEED, MINS = 64, 42, 16
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> list[int]:
@@ -90,55 +91,74 @@ def ball(bits: list[int], radius: int) -> list[int]:
 def _enter(df: DataFrame, masks: list[int], segments: int, radius: int | None) -> DataFrame:
     """Entries of the tables keyed by each mask and one more segment; with a radius, one for each value of the ball there.
 
-    `mask` holds the bits that are key so far, `cell` their values. What is left of the radius follows from both.
+    `mask` holds the bits that are key so far, `cell` their values. What is left of the radius follows from both. All
+    other columns are kept.
     """
-    out = []
+    out, own_columns = [], [c for c in df.columns if c not in ("mask", "cell")]
     for mask in masks:
         at, parts = df.where(F.col("mask") == signed(mask)), split(mask, segments)
         for bits in parts:
             key = F.lit(signed(mask | sum(bits)))
             own = F.col("fingerprint").bitwiseAND(F.lit(signed(sum(bits))))
             if radius is None:
-                out.append(at.select("fingerprint", key.alias("mask"), F.col("cell").bitwiseOR(own).alias("cell")))
+                out.append(at.select(*own_columns, key.alias("mask"), F.col("cell").bitwiseOR(own).alias("cell")))
                 continue
             left = radius - distance(F.col("fingerprint").bitwiseAND(F.col("mask")), F.col("cell")) if mask else F.lit(radius)
             reach = F.floor(left / len(parts))
             for r in range(radius // len(parts) + 1) if mask else [radius // len(parts)]:
                 flips = F.array(*[F.lit(signed(m)) for m in ball(bits, r)])
-                x = (at.where(reach == r) if mask else at).select("fingerprint", "cell", F.explode(flips).alias("f"))
-                out.append(x.select("fingerprint", key.alias("mask"), F.col("cell").bitwiseOR(own.bitwiseXOR(F.col("f"))).alias("cell")))
+                x = (at.where(reach == r) if mask else at).select(*own_columns, "cell", F.explode(flips).alias("f"))
+                out.append(x.select(*own_columns, key.alias("mask"), F.col("cell").bitwiseOR(own.bitwiseXOR(F.col("f"))).alias("cell")))
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
     return whole
 
 
-def links(distinct: DataFrame, radius: int = 2, segments: int = 2, most: int = 1024) -> DataFrame:
-    """All pairs (a, b), a > b, of the distinct values in `fingerprint` that differ in at most `radius` bits, each once.
+def _met(rows: DataFrame, radius: int, segments: int, most: int, which: Column, out: list[Column], how: str = "inner", once: bool = False) -> DataFrame:
+    """`out` of the rows `p` and `t` whose fingerprints differ in at most `radius` bits and for which `which` holds; repeats are possible.
 
-    Cells of at most `most` entries are paired with the probes that reach them; larger ones are keyed by more bits. The
-    distance is verified within the join, so only links leave it. Only masks of large cells come to the driver.
+    Cells of at most `most` entries are paired with the probes that reach them; larger ones are keyed by more bits, until
+    the whole fingerprint is the key. All conditions are part of the join, so only what meets them leaves it. Only masks
+    of large cells come to the driver. With `once`, a pair that is near in several segments is taken in the first of them.
     """
-    held = distinct.select("fingerprint", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("cell"))
+    held = rows.withColumns({"mask": F.lit(0).cast("long"), "cell": F.lit(0).cast("long")})
     probes, masks, found = held, [0], []
+    near = which & (distance(F.col("p.fingerprint"), F.col("t.fingerprint")) <= radius)
+    parts, first, apart = split(0, segments), F.lit(False), F.lit(True)
+    for bits in parts:
+        at = F.lit(signed(sum(bits)))
+        first = first | ((F.col("p.mask") == at) & apart)
+        apart = apart & (F.bit_count(F.col("p.fingerprint").bitwiseXOR(F.col("t.fingerprint")).bitwiseAND(at)) > radius // len(parts))
     while masks:
         held, probes = _enter(held, masks, segments, None), _enter(probes, masks, segments, radius)
         if len(found):  # cells that are reached in more than one way
             held, probes = cut(held.distinct()), cut(probes.distinct())
-        large = cut(held.groupBy("mask", "cell").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "cell"))
+        large = cut(held.groupBy("mask", "cell").agg(F.count("*").alias("n")).where((F.col("n") > most) & (F.col("mask") != -1)).select("mask", "cell"))
         masks = [r[0] & ((1 << BITS) - 1) for r in large.select("mask").distinct().collect()]
         few, next_held, next_probes = held, None, None
         if masks:
             few = held.join(small(large), ["mask", "cell"], "left_anti")
             next_held, next_probes = (cut(x.join(small(large), ["mask", "cell"], "left_semi")) for x in (held, probes))
-        p, t = probes.alias("p"), few.alias("t")
-        near = (F.col("p.fingerprint") > F.col("t.fingerprint")) & (distance(F.col("p.fingerprint"), F.col("t.fingerprint")) <= radius)
-        found.append(p.join(t, (F.col("p.mask") == F.col("t.mask")) & (F.col("p.cell") == F.col("t.cell")) & near).select(F.col("p.fingerprint").alias("a"), F.col("t.fingerprint").alias("b")))
+        here = near & first if once and not found else near
+        found.append(probes.alias("p").join(few.alias("t"), (F.col("p.mask") == F.col("t.mask")) & (F.col("p.cell") == F.col("t.cell")) & here, how).select(*out))
         held, probes = next_held, next_probes
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
-    return pairs.distinct()
+    return pairs
+
+
+def links(distinct: DataFrame, radius: int = 2, segments: int = 2, most: int = 1024) -> DataFrame:
+    """All pairs (a, b), a > b, of the distinct values in `fingerprint` that differ in at most `radius` bits, each once."""
+    above = F.col("p.fingerprint") > F.col("t.fingerprint")
+    return _met(distinct.select("fingerprint"), radius, segments, most, above, [F.col("p.fingerprint").alias("a"), F.col("t.fingerprint").alias("b")]).distinct()
+
+
+def touched(distinct: DataFrame, radius: int = 2, segments: int = 2, most: int = 1024) -> DataFrame:
+    """The distinct values in `fingerprint` that differ from another in at most `radius` bits; no pairs are listed."""
+    other = F.col("p.fingerprint") != F.col("t.fingerprint")
+    return _met(distinct.select("fingerprint"), radius, segments, most, other, [F.col("p.fingerprint").alias("fingerprint")], "left_semi").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,30 +189,34 @@ def _roots(printed: DataFrame, radius: int, segments: int) -> DataFrame:
     return cut(distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
 
 
+def _mins(held: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of MINS mixing functions; zeros if there is none."""
+    if not len(held):
+        return np.zeros(MINS, np.int64)
+    mixed = [held * np.uint64(xxhash.xxh64_intdigest(str(k), SEED) | 1) for k in range(MINS)]
+    return np.array([((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).min() for x in mixed], np.uint64).view(np.int64)
+
+
 def _shingled(texts: DataFrame, words: int) -> DataFrame:
-    """(node, text) to (node, shingles): the sorted distinct hashes of the text's word shingles. No shuffle."""
+    """(node, text) to (node, shingles, mins): the sorted distinct hashes of the text's word shingles, and their MinHashes. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in enumerate(batch.column("text")):  # a text at a time: sets may be long
-                held = np.unique(np.array(shingle_hashes(t.as_py() or "", words), np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), pa.array([held], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
+                held = np.unique(np.array(shingle_hashes(t.as_py() or "", words), np.uint64))
+                lists = [pa.array([x], pa.list_(pa.int64())) for x in (held.view(np.int64), _mins(held))]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), *lists], ["node", "shingles", "mins"])
 
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>, mins array<long>")
 
-def _alike(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity, in whole numbers; two empty sets are alike.
 
-    Sets too different in size are told apart by `sizes` (node, n), before any set is fetched.
-    """
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity, in whole numbers; two empty sets are alike."""
     up, down = similarity.numerator, similarity.denominator
-    n, m = sizes.select(F.col("node").alias("a"), F.col("n")), sizes.select(F.col("node").alias("b"), F.col("n").alias("m"))
-    can = pairs.select("a", "b").join(n, "a").join(m, "b").where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    met = F.size(F.array_intersect("x", "y")) * (down + up) >= (F.col("n") + F.col("m")) * up
-    return can.join(x, "a").join(y, "b").where(met).select("a", "b")
+    met = F.size(F.array_intersect("x", "y")) * (down + up) >= (F.size("x") + F.size("y")) * up
+    return pairs.select("a", "b").join(x, "a").join(y, "b").where(met).select("a", "b")
 
 
 def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -200,51 +224,79 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(nodes.join(components(edges).withColumnRenamed("root", "_r"), "node", "left").select("node", "fingerprint", F.coalesce("_r", "node").alias("root")))
 
 
-def _unjoined(named: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of nodes a > b of near or equal fingerprints that have different roots, with these (x < y)."""
-    u = named.select(F.col("fingerprint").alias("a"), F.col("node").alias("_a"), F.col("root").alias("_x"))
-    v = named.select(F.col("fingerprint").alias("b"), F.col("node").alias("_b"), F.col("root").alias("_y"))
-    mixed = named.groupBy("fingerprint").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r < _s").select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
-    met = near.unionByName(mixed).join(u, "a").join(v, "b").where((F.col("_x") != F.col("_y")) & ((F.col("a") != F.col("b")) | (F.col("_a") > F.col("_b"))))
-    return met.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b"), F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"))
+def _sized(n: str, m: str, similarity: Fraction) -> Column:
+    """Whether sets of these sizes can be so alike."""
+    return F.least(n, m) * similarity.denominator >= F.greatest(n, m) * similarity.numerator
+
 
+def _drawn(named: DataFrame, sets: DataFrame, radius: int, similarity: Fraction, turn: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different groups that may be alike: each node with a drawn one of each of its MinHash buckets.
 
-def similar_groups(nodes: DataFrame, texts: DataFrame, radius: int, segments: int, words: int, similarity: float, rounds: int = 3) -> DataFrame:
+    At most MINS pairs a node, however many share a bucket. A bucket is two MinHashes, other ones each turn.
+    """
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("mins")[k], F.col("mins")[(k + 2 * turn + 1) % MINS]) for k in range(MINS)])
+    at = named.join(sets, "node").select("node", "root", "fingerprint", F.size("shingles").alias("n"), F.explode(keys).alias("key"))
+    lead = at.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("_b"), F.col("root").alias("_y"), F.col("fingerprint").alias("_f"), F.col("n").alias("_m")), F.xxhash64(F.lit(turn), "key", "node")).alias("_l")).select("key", "_l.*")
+    met = at.join(lead, "key").where((F.col("root") != F.col("_y")) & (distance(F.col("fingerprint"), F.col("_f")) <= radius) & _sized("n", "_m", similarity))
+    return met.select(F.greatest("node", "_b").alias("a"), F.least("node", "_b").alias("b")).distinct()
+
+
+def _open(named: DataFrame, sets: DataFrame, similarity: Fraction, turns: int = 2, rare: int = 64) -> DataFrame:
+    """The nodes that can be alike to one of another group: node, fingerprint, root, n (shingles), s (of them held by another group too), bits.
+
+    Two sets share at most what both share with other groups, so a node whose `s` is too small for its `n` has no link
+    out of its group; without such nodes others hold less, hence the turns. `bits` marks, by their hash, shared shingles
+    of at most `rare` nodes: a bit that only one of two nodes has is a shingle that they don't share.
+    """
+    up, down = similarity.numerator, similarity.denominator
+    left = named.join(sets, "node").select("node", "fingerprint", "root", F.size("shingles").cast("long").alias("n"), "shingles")
+    for _ in range(turns):
+        at = left.select("node", "root", F.explode("shingles").alias("h"))
+        held = at.groupBy("h").agg((F.min("root") == F.max("root")).alias("own"), F.count("*").alias("k")).where(F.col("own") | (F.col("k") <= rare)).select("h", "own")
+        bit = F.expr("shiftleft(1L, cast(pmod(h, 64) as int))")
+        seen = at.join(held, "h").groupBy("node").agg(F.count_if("own").alias("u"), F.bit_or(F.when(~F.col("own"), bit)).alias("_bits"))
+        known = left.drop("s", "bits").join(seen, "node", "left").withColumns({"s": F.col("n") - F.coalesce("u", F.lit(0)), "bits": F.coalesce("_bits", F.lit(0).cast("long"))})
+        left = cut(known.where(F.col("s") * down >= F.col("n") * up).drop("u", "_bits"))
+    return left.drop("shingles")
+
+
+def _between(rows: DataFrame, radius: int, segments: int, similarity: Fraction, most: int = 1024) -> DataFrame:
+    """All pairs (a, b) of the nodes of `_open` with near or equal fingerprints, in different groups, that can be so alike by what is known of each."""
+    up, down = similarity.numerator, similarity.denominator
+
+    def shared(x: str, y: str) -> Column:
+        return F.col(f"{x}.s") - F.bit_count(F.col(f"{x}.bits").bitwiseAND(F.bitwise_not(f"{y}.bits")))
+
+    can = F.least(shared("p", "t"), shared("t", "p")) * (up + down) >= (F.col("p.n") + F.col("t.n")) * up
+    which = (F.col("p.node") > F.col("t.node")) & (F.col("p.root") != F.col("t.root")) & _sized("p.n", "t.n", similarity) & can
+    return _met(rows, radius, segments, most, which, [F.col("p.node").alias("a"), F.col("t.node").alias("b")], once=True).distinct()
+
+
+def similar_groups(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, segments: int, words: int, similarity: float, rounds: int = 3) -> DataFrame:
     """node and root (the least node reachable) of all nodes, over links between texts that are alike in fact.
 
     `nodes` has one row (node, fingerprint) for each different text; `texts` makes a node's text of the nodes it is given
     (node, text; repeats do no harm). Two nodes are linked if their fingerprints differ in at most `radius` bits and their
     sets of `words`-word shingles have a Jaccard similarity of at least `similarity`. The groups are those of all such links:
 
-    First each node is held against the first node of its fingerprint, and each fingerprint's first node against that of the
-    least fingerprint near it. Then, as long as more pairs than texts are left between groups, one drawn pair of each two
-    groups is, for at most `rounds` turns and while that halves them. What is left after that is held against each other whole. So thousands of texts
-    that are all alike cost about a pair each, and no link that would join two groups is left out.
+    Only nodes that have another within the radius are looked at. For `rounds` turns each is held against a few drawn from
+    its MinHash buckets; that joins most of what is alike, for a number of pairs in proportion to the nodes. Then all
+    other pairs within the radius are listed that are still in different groups and can be alike by the sizes of what they
+    share with other groups (`_open`), and each is verified. So a large group of copies costs a few pairs a node, texts
+    that have only a passage in common mostly none, and no link that would join two groups is left out.
     """
     least = Fraction(str(similarity))
-    near = cut(links(nodes.select("fingerprint").distinct(), radius, segments))
-    firsts = cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    touched = near.select(F.explode(F.array("a", "b")).alias("fingerprint")).unionByName(firsts.where("n > 1").select("fingerprint")).distinct()
-    sets = cut(_shingled(texts(cut(nodes.join(touched, "fingerprint", "left_semi").select("node"))), words).dropDuplicates(["node"]))
-    sizes = small(cut(sets.select("node", F.size("shingles").cast("long").alias("n"))))
-    within = nodes.join(firsts.where("n > 1"), "fingerprint").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    to = near.groupBy("a").agg(F.min("b").alias("b"))
-    of = firsts.select("fingerprint", "first")
-    across = to.join(of.select(F.col("fingerprint").alias("a"), F.col("first").alias("_a")), "a").join(of.select(F.col("fingerprint").alias("b"), F.col("first").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    edges = cut(_alike(within.unionByName(across), sets, sizes, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    named, enough, before = _labels(nodes, edges), sets.count(), None
+    prints = cut(nodes.groupBy("fingerprint").agg(F.count("*").alias("_n")))
+    wanted = prints.join(touched(prints, radius, segments).withColumn("_near", F.lit(True)), "fingerprint", "left").where("_n > 1 or _near")
+    met = cut(nodes.select("node", "fingerprint").join(wanted, "fingerprint", "left_semi"))
+    sets = cut(_shingled(texts(met.select("node")), words).dropDuplicates(["node"]))
+    edges, named = None, met.withColumn("root", F.col("node"))
     for turn in range(rounds):
-        unjoined = cut(_unjoined(named, near))
-        left = unjoined.count()
-        if left <= enough or (before and 2 * left > before):  # few, or most of them are unlike
-            break
-        before = left
-        pair = F.struct("a", "b")
-        drawn = unjoined.groupBy("x", "y").agg(F.min_by(pair, F.xxhash64(F.lit(turn), "a", "b")).alias("_p")).select("_p.*")
-        edges = cut(edges.unionByName(_alike(drawn, sets, sizes, least)))
-        named = _labels(nodes, edges)
-    rest = _alike(_unjoined(named, near).select("a", "b"), sets, sizes, least)
-    return _labels(nodes, cut(edges.unionByName(rest))).select("node", "root")
+        new = _alike(_drawn(named, sets, radius, least, turn), sets, least)
+        edges = cut(edges.unionByName(new) if edges else new)
+        named = _labels(met, edges)
+    rest = _alike(cut(_between(_open(named, sets, least), radius, segments, least)), sets, least)
+    return _labels(nodes, cut(edges.unionByName(rest) if edges else rest)).select("node", "root")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3) -> DataFrame:

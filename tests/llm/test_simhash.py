@@ -4,6 +4,7 @@ import re
 
 import pytest
 import xxhash
+from loomline.llm import simhash
 from loomline.llm.simhash import ball, components, fingerprint, fingerprints, links, near_duplicates, one_of_each, similar_groups, split
 from pyspark.sql import functions as F
 
@@ -114,6 +115,27 @@ def test_groups_of_verified_links(spark, rounds):
     assert got == want and len(set(want.values())) > 10
 
 
+def test_a_common_passage_does_not_list_all_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    passage = rng.choices(vocabulary, k=150)
+    own = [" ".join(passage + rng.choices(vocabulary, k=40)) for _ in range(250)]  # a passage in common: 0.65 alike
+    copies = [edited(rng, passage, vocabulary, 0.004) for _ in range(60)]  # copies of it
+    names = {i.to_bytes(16, "big"): t for i, t in enumerate(dict.fromkeys(own + copies))}
+    nodes = spark.createDataFrame([(n, 5) for n in names], "node binary, fingerprint long")
+    whole = spark.createDataFrame(list(names.items()), "node binary, text string")
+    listed, verify = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *more: listed.append(pairs.count()) or verify(pairs, *more))
+    got = {bytes(r.node): bytes(r.root) for r in similar_groups(nodes, lambda wanted: whole.join(wanted, "node", "left_semi"), 7, 4, 5, 0.8).collect()}
+    sets = {n: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for n, t in names.items()}
+    want = {n: n for n in names}
+    linked = [(a, b) for a, b in itertools.combinations(sorted(names), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while any(want[a] != want[b] for a, b in linked):
+        for a, b in linked:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and len(set(want.values())) > 200 and sum(listed) < 50 * len(names)
+
+
 def test_near_copies_are_caught(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(5000)]
