@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import measured
+from ..functions.joins import MOST_ROWS, measured
 
 # Weights of the five sub-scores, and the years that count as full experience.
 WEIGHTS = (("skill", 0.35), ("experience", 0.25), ("preference", 0.20), ("availability", 0.10), ("familiarity", 0.10))
@@ -111,20 +111,32 @@ def fit_scores(candidates: DataFrame, required: DataFrame) -> DataFrame:
     return _scored(candidates.crossJoin(measured(_asked(required))))
 
 
+def _barred(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """opening_id and _bar, the k-th largest `value` of each opening with so many: from counts of equal values, so no task sorts its pairs."""
+    counts = rows.groupBy("opening_id", value).agg(F.count("*").alias("_c"))
+    above = Window.partitionBy("opening_id").orderBy(F.col(value).desc())
+    return counts.withColumn("_c", F.sum("_c").over(above)).where(F.col("_c") >= k).groupBy("opening_id").agg(F.max(value).alias("_bar"))
+
+
+def _broadcast_if_few(bars: DataFrame, required: DataFrame) -> DataFrame:
+    """Bars have a row an opening at most: openings are counted, not what the bars come from."""
+    return F.broadcast(bars) if required.count() <= MOST_ROWS else bars
+
+
 def shortlist(candidates: DataFrame, required: DataFrame, k: int) -> DataFrame:
     """The pairs that can be among an opening's k best, with all columns that `_scored` reads.
 
     An index from skills to people gives an opening's people who have any of its skills; others are not eligible, unless it
-    asks for none. What compares lists and numbers gives each pair a least and a greatest possible score. The k-th best
-    least score of an opening is its bar, and only pairs whose greatest score reaches it are kept. The k first of each
-    opening are picked in every task before they are shuffled.
+    asks for none. A pair is taken at the first skill it shares, so nothing is made distinct or joined back. What compares
+    lists and numbers gives each pair a least and a greatest possible score. The k-th best least score of an opening is
+    its bar, and only pairs whose greatest score reaches it are kept.
     """
     asked = _asked(required)
     people = candidates.where("open_to_other_teams")
-    held = people.select("employee_id", F.explode(F.array_distinct(norms("skills"))).alias("_skill"))
-    sought = asked.select("opening_id", F.explode(F.array_distinct(F.transform("required_skills", norm))).alias("_skill"))
-    linked = held.join(measured(sought), "_skill").select("opening_id", "employee_id").distinct()
-    anyone = people.select("employee_id").crossJoin(measured(asked.where(F.size("required_skills") == 0).select("opening_id"))).select("opening_id", "employee_id")
+    held = people.withColumn("_have", F.array_distinct(F.array_compact(norms("skills")))).withColumn("_skill", F.explode("_have"))
+    sought = asked.withColumn("_want", F.array_distinct(F.transform("required_skills", norm))).withColumn("_skill", F.explode("_want"))
+    linked = held.join(measured(sought), "_skill").where(F.col("_skill") == F.get(F.array_intersect("_have", "_want"), F.lit(0))).drop("_have", "_want", "_skill")
+    anyone = people.crossJoin(measured(asked.where(F.size("required_skills") == 0)))
     subs, days, _ = _cheap()
     least = F.lit(0.0)
     for n, weight in WEIGHTS:
@@ -132,16 +144,19 @@ def shortlist(candidates: DataFrame, required: DataFrame, k: int) -> DataFrame:
     w = dict(WEIGHTS)
     # 0.001: each part and the score are rounded to four digits
     most = F.col("_least") + w["experience"] * 0.5 + w["familiarity"] + 0.001
-    pairs = linked.unionByName(anyone).join(people, "employee_id").join(measured(asked), "opening_id").where(F.size(days) > 0).withColumn("_least", least)
-    order = Window.partitionBy("opening_id").orderBy(F.col("_least").desc(), "employee_id")
-    first = pairs.select("opening_id", "employee_id", "_least").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-    bars = first.where(F.col("_n") == k).select("opening_id", (F.col("_least") - 0.001).alias("_bar"))
-    return pairs.join(bars, "opening_id", "left").where(F.col("_bar").isNull() | (most >= F.col("_bar"))).drop("_least", "_bar")
+    pairs = linked.unionByName(anyone).where(F.size(days) > 0).withColumn("_least", least)
+    bars = _barred(pairs, "_least", k).withColumn("_bar", F.col("_bar") - 0.001)
+    return pairs.join(_broadcast_if_few(bars, required), "opening_id", "left").where(F.col("_bar").isNull() | (most >= F.col("_bar"))).drop("_least", "_bar")
 
 
 def best_candidates(candidates: DataFrame, required: DataFrame, n: int, alternates: int = 3) -> DataFrame:
-    """`rank_candidates` of `fit_scores`, with only those pairs scored that can be among the best of their opening."""
-    return rank_candidates(_scored(shortlist(candidates, required, n + alternates)), n, alternates)
+    """`rank_candidates` of `fit_scores`, with only those pairs scored that can be among the best of their opening.
+
+    Scores below the last place are dropped before ids are put in order.
+    """
+    scores = eligible(_scored(shortlist(candidates, required, n + alternates))).select("opening_id", "employee_id", "excluded_reason", "score")
+    bars = _broadcast_if_few(_barred(scores, "score", n + alternates), required)
+    return rank_candidates(scores.join(bars, "opening_id", "left").where(F.col("_bar").isNull() | (F.col("score") >= F.col("_bar"))).drop("_bar"), n, alternates)
 
 
 def candidates(profiles: DataFrame, preferences: DataFrame) -> DataFrame:

@@ -539,3 +539,15 @@ def test_best_candidates_score_few_pairs(spark):
     assert same(staffing.rank_candidates(staffing.fit_scores(people, openings), 3), staffing.best_candidates(people, openings, 3))
     people, openings = made(10_000, 1_000)
     assert staffing.shortlist(people, openings, 6).count() < 10_000 * 1_000 / 15
+
+
+def test_best_candidates_among_many_ties(spark):
+    """Equal to ranking all pairs where scores tie and skills repeat or are null; the shortlist orders and distincts no pairs."""
+    cols = "employee_id string, name string, skills array<string>, projects array<string>, experience array<string>, years_experience double, familiar_components array<string>, preferred_shift string, preferred_areas array<string>, availability array<string>, open_to_other_teams boolean"
+    skills = [["SQL", "sql", "Java"], [None, "java"], ["Go"], []]
+    people = spark.createDataFrame([(f"e{i:03}", "x", skills[i % 4], ["java"], ["x"], float(i % 2), ["core"], "flexible", ["data"], ["mon"], i % 5 > 0) for i in range(120)], cols)
+    wanted = [("o1", "core", ["java", "Sql"], ["data"], "morning", ["mon"]), ("o2", "lib", [None, "JAVA"], [], "flexible", ["mon", "fri"]), ("o3", "lib", [], [], "flexible", ["mon"]), ("o4", "lib", ["go"], [], "flexible", ["fri"])]
+    openings = spark.createDataFrame(wanted, "opening_id string, component string, required_skills array<string>, work_areas array<string>, shift string, availability array<string>")
+    assert same(staffing.rank_candidates(staffing.fit_scores(people, openings), 3), staffing.best_candidates(people, openings, 3))
+    plan = staffing.shortlist(people, openings, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Join Inner, (employee_id" not in plan
