@@ -132,7 +132,9 @@ def shortlist(candidates: DataFrame, required: DataFrame, k: int) -> DataFrame:
     its bar, and only pairs whose greatest score reaches it are kept.
     """
     asked = _asked(required)
-    people = candidates.where("open_to_other_teams")
+    # people are dealt anew, since few bytes of them become many pairs: their number of tasks must not follow from their size
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    people = candidates.where("open_to_other_teams").repartition(parts, "employee_id")
     held = people.withColumn("_have", F.array_distinct(F.array_compact(norms("skills")))).withColumn("_skill", F.explode("_have"))
     sought = asked.withColumn("_want", F.array_distinct(F.transform("required_skills", norm))).withColumn("_skill", F.explode("_want"))
     linked = held.join(measured(sought), "_skill").where(F.col("_skill") == F.get(F.array_intersect("_have", "_want"), F.lit(0))).drop("_have", "_want", "_skill")
@@ -150,13 +152,8 @@ def shortlist(candidates: DataFrame, required: DataFrame, k: int) -> DataFrame:
 
 
 def best_candidates(candidates: DataFrame, required: DataFrame, n: int, alternates: int = 3) -> DataFrame:
-    """`rank_candidates` of `fit_scores`, with only those pairs scored that can be among the best of their opening.
-
-    Scores below the last place are dropped before ids are put in order.
-    """
-    scores = eligible(_scored(shortlist(candidates, required, n + alternates))).select("opening_id", "employee_id", "excluded_reason", "score")
-    bars = _broadcast_if_few(_barred(scores, "score", n + alternates), required)
-    return rank_candidates(scores.join(bars, "opening_id", "left").where(F.col("_bar").isNull() | (F.col("score") >= F.col("_bar"))).drop("_bar"), n, alternates)
+    """`rank_candidates` of `fit_scores`, with only those pairs scored that can be among the best of their opening."""
+    return rank_candidates(_scored(shortlist(candidates, required, n + alternates)), n, alternates)
 
 
 def candidates(profiles: DataFrame, preferences: DataFrame) -> DataFrame:
