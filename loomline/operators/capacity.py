@@ -182,8 +182,8 @@ def net_impact(candidates: DataFrame, openings: DataFrame, grid: DataFrame, pack
     one = grid.where("n = 1 and refusal is null")
     c = candidates.select("employee_id", F.col("repo").alias("source_repo"), F.col("component").alias("source_component"), F.col("location").alias("home"), "open_to_relocation", "preferred_locations")
     o = openings.select("opening_id", F.col("repo").alias("dest_repo"), F.col("component").alias("dest_component"), F.col("location").alias("place"))
-    # priced moves out of a candidate's component, then the openings at their other end
-    pairs = c.join(one, ["source_repo", "source_component"]).join(o, ["dest_repo", "dest_component"])
+    # priced moves with the openings at their other end first: candidates meet only moves that lead to an opening
+    pairs = c.join(one.join(o, ["dest_repo", "dest_component"]), ["source_repo", "source_component"])
     feasible = F.when(F.col("home") == F.col("place"), "not-required").when(~F.col("open_to_relocation"), "not-opted-in").when(F.array_contains("preferred_locations", F.col("place")), "preferred").otherwise("acceptable")
     ramp = 0.0 if hourly is None else float(round(extra_weeks * hours_per_week * hourly))
     moved = F.when(F.col("feasibility") != "not-required", F.lit(package + housing + travel)).otherwise(0.0)
