@@ -92,27 +92,19 @@ def _enter(df: DataFrame, masks: list[int], segments: int, radius: int | None) -
     """Entries of the tables keyed by each mask and one more segment; with a radius, one for each value of the ball there.
 
     `mask` holds the bits that are key so far, `cell` their values. What is left of the radius follows from both. All
-    other columns are kept.
+    other columns are kept. One pass over `df`, in as many tasks as it has parts, however many tables there are.
     """
-    out, own_columns = [], [c for c in df.columns if c not in ("mask", "cell")]
+    own, found = [c for c in df.columns if c not in ("mask", "cell")], None
     for mask in masks:
-        at, parts = df.where(F.col("mask") == signed(mask)), split(mask, segments)
-        for bits in parts:
-            key = F.lit(signed(mask | sum(bits)))
-            own = F.col("fingerprint").bitwiseAND(F.lit(signed(sum(bits))))
-            if radius is None:
-                out.append(at.select(*own_columns, key.alias("mask"), F.col("cell").bitwiseOR(own).alias("cell")))
-                continue
-            left = radius - distance(F.col("fingerprint").bitwiseAND(F.col("mask")), F.col("cell")) if mask else F.lit(radius)
-            reach = F.floor(left / len(parts))
-            for r in range(radius // len(parts) + 1) if mask else [radius // len(parts)]:
-                flips = F.array(*[F.lit(signed(m)) for m in ball(bits, r)])
-                x = (at.where(reach == r) if mask else at).select(*own_columns, "cell", F.explode(flips).alias("f"))
-                out.append(x.select(*own_columns, key.alias("mask"), F.col("cell").bitwiseOR(own.bitwiseXOR(F.col("f"))).alias("cell")))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
+        parts, here = split(mask, segments), F.col("mask") == F.lit(signed(mask))
+        left = radius - distance(F.col("fingerprint").bitwiseAND(F.col("mask")), F.col("cell")) if mask and radius is not None else F.lit(radius or 0)
+        for r in range((radius or 0) // len(parts) + 1) if mask else [(radius or 0) // len(parts)]:
+            keys = ", ".join(f"named_struct('at', {signed(sum(bits))}L, 'f', {signed(m)}L)" for bits in parts for m in ball(bits, r))
+            case, table = here & (F.floor(left / len(parts)) == r), F.expr(f"array({keys})")
+            found = F.when(case, table) if found is None else found.when(case, table)
+    met = df.select(*own, "mask", "cell", F.explode(found).alias("_x"))
+    cell = F.col("cell").bitwiseOR(F.col("fingerprint").bitwiseAND(F.col("_x.at")).bitwiseXOR(F.col("_x.f")))
+    return met.select(*own, F.col("mask").bitwiseOR(F.col("_x.at")).alias("mask"), cell.alias("cell"))
 
 
 def _met(rows: DataFrame, radius: int, segments: int, most: int, which: Column, out: list[Column], how: str = "inner", once: bool = False) -> DataFrame:
@@ -161,32 +153,36 @@ def touched(distinct: DataFrame, radius: int = 2, segments: int = 2, most: int =
     return _met(distinct.select("fingerprint"), radius, segments, most, other, [F.col("p.fingerprint").alias("fingerprint")], "left_semi").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the links (a, b): one row (node, root) for each node in a link; root is the least node.
+def _stars(edges: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, with the same connected components: each node but the least of its component with the least.
 
     Alternates large-star and small-star steps, which keep the number of links bounded by their first number, until
     every node hangs on a root of its own (tested on all links). Each round is written to the checkpoint folder; a
-    node's least neighbour is found by an aggregate, never by gathering its neighbours. Only counts come to the driver.
+    node's least neighbour is found by an aggregate, never by gathering its neighbours. Only a count comes to the driver.
     """
-    edges = cut(edges)
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    while True:
+        edges = cut(edges)
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") < F.col("a")).alias("down"), F.count("*").alias("n"))
+        if not least.agg(F.count_if(F.expr("down > 1 or (down = 1 and n > 1)"))).first()[0]:
+            return edges
+        large = both.join(least.select("a", "m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b").distinct()
-        edges = cut(star)
-        n, nodes = edges.agg(F.count("*"), F.countDistinct("a")).first()
-        if n == nodes and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        star = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = star.where("a > b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the links (a, b), a > b: one row (node, root) for each node in a link; root is the least node."""
+    stars = _stars(edges)
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _roots(printed: DataFrame, radius: int, segments: int) -> DataFrame:
     """fingerprint and root (the least fingerprint reachable) of all distinct fingerprints."""
     distinct = cut(printed.select("fingerprint").distinct())
-    roots = components(links(distinct, radius, segments))
-    return cut(distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
+    roots = _stars(links(distinct, radius, segments))
+    return cut(distinct.join(roots, F.col("fingerprint") == F.col("a"), "left").select("fingerprint", F.coalesce("b", "fingerprint").alias("root")))
 
 
 def _mins(held: np.ndarray) -> np.ndarray:
@@ -211,17 +207,21 @@ def _shingled(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity, in whole numbers; two empty sets are alike."""
+    """Of `pairs` those whose nodes a and b have sets of at least this Jaccard similarity, in whole numbers; two empty sets are alike."""
     up, down = similarity.numerator, similarity.denominator
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    met = F.size(F.array_intersect("x", "y")) * (down + up) >= (F.size("x") + F.size("y")) * up
-    return pairs.select("a", "b").join(x, "a").join(y, "b").where(met).select("a", "b")
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
+    met = F.size(F.array_intersect("_x", "_y")) * (down + up) >= (F.size("_x") + F.size("_y")) * up
+    return pairs.join(x, "a").join(y, "b").where(met).select(*pairs.columns)
+
 
+def _merged(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`named` (node, fingerprint, root) once the groups whose roots `pairs` links (x, y) are one; root is the least node again.
 
-def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, fingerprint, root of all nodes, root being the least node reachable over the edges."""
-    return cut(nodes.join(components(edges).withColumnRenamed("root", "_r"), "node", "left").select("node", "fingerprint", F.coalesce("_r", "node").alias("root")))
+    Only roots are linked, so what was joined before costs nothing anew.
+    """
+    stars = _stars(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return cut(named.join(stars.select(F.col("a").alias("root"), F.col("b").alias("_r")), "root", "left").select("node", "fingerprint", F.coalesce("_r", "root").alias("root")))
 
 
 def _sized(n: str, m: str, similarity: Fraction) -> Column:
@@ -230,7 +230,7 @@ def _sized(n: str, m: str, similarity: Fraction) -> Column:
 
 
 def _drawn(named: DataFrame, sets: DataFrame, radius: int, similarity: Fraction, turn: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different groups that may be alike: each node with a drawn one of each of its MinHash buckets.
+    """Pairs (a, b) of nodes in different groups (x, y) that may be alike: each node with a drawn one of each of its MinHash buckets.
 
     At most MINS pairs a node, however many share a bucket. A bucket is two MinHashes, other ones each turn.
     """
@@ -238,7 +238,7 @@ def _drawn(named: DataFrame, sets: DataFrame, radius: int, similarity: Fraction,
     at = named.join(sets, "node").select("node", "root", "fingerprint", F.size("shingles").alias("n"), F.explode(keys).alias("key"))
     lead = at.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("_b"), F.col("root").alias("_y"), F.col("fingerprint").alias("_f"), F.col("n").alias("_m")), F.xxhash64(F.lit(turn), "key", "node")).alias("_l")).select("key", "_l.*")
     met = at.join(lead, "key").where((F.col("root") != F.col("_y")) & (distance(F.col("fingerprint"), F.col("_f")) <= radius) & _sized("n", "_m", similarity))
-    return met.select(F.greatest("node", "_b").alias("a"), F.least("node", "_b").alias("b")).distinct()
+    return met.select(F.greatest("node", "_b").alias("a"), F.least("node", "_b").alias("b"), F.greatest("root", "_y").alias("x"), F.least("root", "_y").alias("y")).distinct()
 
 
 def _open(named: DataFrame, sets: DataFrame, similarity: Fraction, turns: int = 2, rare: int = 64) -> DataFrame:
@@ -261,7 +261,7 @@ def _open(named: DataFrame, sets: DataFrame, similarity: Fraction, turns: int =
 
 
 def _between(rows: DataFrame, radius: int, segments: int, similarity: Fraction, most: int = 1024) -> DataFrame:
-    """All pairs (a, b) of the nodes of `_open` with near or equal fingerprints, in different groups, that can be so alike by what is known of each."""
+    """All pairs (a, b) of the nodes of `_open` with near or equal fingerprints, in different groups (x, y), that can be so alike by what is known of each."""
     up, down = similarity.numerator, similarity.denominator
 
     def shared(x: str, y: str) -> Column:
@@ -269,7 +269,7 @@ def _between(rows: DataFrame, radius: int, segments: int, similarity: Fraction,
 
     can = F.least(shared("p", "t"), shared("t", "p")) * (up + down) >= (F.col("p.n") + F.col("t.n")) * up
     which = (F.col("p.node") > F.col("t.node")) & (F.col("p.root") != F.col("t.root")) & _sized("p.n", "t.n", similarity) & can
-    return _met(rows, radius, segments, most, which, [F.col("p.node").alias("a"), F.col("t.node").alias("b")], once=True).distinct()
+    return _met(rows, radius, segments, most, which, [F.col("p.node").alias("a"), F.col("t.node").alias("b"), F.greatest("p.root", "t.root").alias("x"), F.least("p.root", "t.root").alias("y")], once=True).distinct()
 
 
 def similar_groups(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, segments: int, words: int, similarity: float, rounds: int = 3) -> DataFrame:
@@ -290,13 +290,11 @@ def similar_groups(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], ra
     wanted = prints.join(touched(prints, radius, segments).withColumn("_near", F.lit(True)), "fingerprint", "left").where("_n > 1 or _near")
     met = cut(nodes.select("node", "fingerprint").join(wanted, "fingerprint", "left_semi"))
     sets = cut(_shingled(texts(met.select("node")), words).dropDuplicates(["node"]))
-    edges, named = None, met.withColumn("root", F.col("node"))
+    named = met.withColumn("root", F.col("node"))
     for turn in range(rounds):
-        new = _alike(_drawn(named, sets, radius, least, turn), sets, least)
-        edges = cut(edges.unionByName(new) if edges else new)
-        named = _labels(met, edges)
-    rest = _alike(cut(_between(_open(named, sets, least), radius, segments, least)), sets, least)
-    return _labels(nodes, cut(edges.unionByName(rest) if edges else rest)).select("node", "root")
+        named = _merged(named, _alike(_drawn(named, sets, radius, least, turn), sets, least))
+    named = _merged(named, _alike(_between(_open(named, sets, least), radius, segments, least), sets, least))
+    return nodes.select("node").join(named.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 2, words: int = 3) -> DataFrame:

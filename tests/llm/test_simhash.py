@@ -201,3 +201,31 @@ def test_repeated_and_null_keys_are_judged_by_their_texts(spark):
     rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c), (None, a), (12, c + " seis"), (5, b)]
     kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(3, a), (5, b), (0, c), (12, c + " seis")])
+
+
+def test_work_grows_with_rows_not_with_tables(spark):
+    """One pass enters all tables (a union of one pass each gave as many tasks as tables, anew on each level), and merging rounds add no parts."""
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    rows = spark.createDataFrame([(simhash.signed(v), 0, 0) for v in values], "fingerprint long, mask long, cell long").repartition(3)
+    first = [sum(bits) for bits in split(0, 4)]
+    held, probes = simhash._enter(rows, [0], 4, None), simhash._enter(rows, [0], 4, 7)
+    further = simhash._enter(held, first, 4, None), simhash._enter(probes, first, 4, 7)
+    assert {x.rdd.getNumPartitions() for x in (held, probes, *further)} == {3}
+    tables = {}
+    for v in values:
+        for bits in first:
+            left = [sum(x) for x in split(bits, 4)]
+            for flip in ball([1 << b for b in range(64) if bits >> b & 1], 1):
+                reach = (7 - flip.bit_count()) // 4
+                for more in left:
+                    for m in ball([1 << b for b in range(64) if more >> b & 1], reach):
+                        entry = tuple(map(simhash.signed, (v, bits | more, (v & bits ^ flip) | (v & more ^ m))))
+                        tables[entry] = tables.get(entry, 0) + 1
+    got = {(r.fingerprint, r.mask, r.cell): r.n for r in further[1].groupBy("fingerprint", "mask", "cell").agg(F.count("*").alias("n")).collect()}
+    assert got == tables
+    named = spark.createDataFrame([(i, 0, i) for i in range(9)], "node long, fingerprint long, root long")
+    for pairs in ([(1, 0), (3, 2), (5, 4)], [(2, 0), (6, 4)], [(4, 0)]):
+        named = simhash._merged(named, spark.createDataFrame(pairs, "x long, y long"))
+        assert named.rdd.getNumPartitions() <= 4
+    assert {r.node: r.root for r in named.collect()} == {**dict.fromkeys(range(7), 0), 7: 7, 8: 8}
